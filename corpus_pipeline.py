@@ -1,2 +1,67 @@
-STAGES, ORACLE_SQL = [], None
-def run(spark, sf_dir): raise NotImplementedError
+"""A training-data pipeline over ``documents``: five stages, each one operator.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before
+kept. The first four return the columns of ``documents``; the last returns tokens.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexquarry.llm import bpe, decontaminate, lang_id, line_dedup, near_dedup
+from lexquarry.llm.common import materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no letter, no text) go; lang becomes the predicted one."""
+    found = lang_id.predict(docs, lang_id.fit(docs), carry=("source", "n_chars"))
+    return found.where(F.col("lang_pred") != lang_id.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more go; documents of which nothing but white space is left go, too."""
+    carry = ("lang", "source")
+    texts = line_dedup.kept_texts(line_dedup.line_bitmaps(docs, min_docs=10, carry=carry), carry=carry)
+    left = texts.where(F.translate("text", " \t\n\x0b\x0c\r", "") != "")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays, the one with the smallest id."""
+    kept = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = decontaminate.leaks(docs, benchmark).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of ids and decoded bytes."""
+    return bpe.encode_digest(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", dedup_lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", drop_leaks),
+    ("byte-level BPE", tokenize),
+]
+
+#: A trained network and signatures can't be stated in SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and reread as the next one's input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{i + 1}")
+    return docs

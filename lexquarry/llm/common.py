@@ -79,6 +79,16 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+class carried:  # noqa: N801
+    """Columns that go through an Arrow function untouched, under names that clash with nothing."""
+
+    def __init__(self, df: DataFrame, names: tuple[str, ...]):
+        self.names = [f"carried_{i}" for i in range(len(names))]
+        self.columns = [F.col(c).alias(n) for c, n in zip(names, self.names)]
+        self.schema = "".join(f", {n} {df.schema[c].dataType.simpleString()}" for c, n in zip(names, self.names))
+        self.back = [F.col(n).alias(c) for c, n in zip(names, self.names)]
+
+
 def lower_ascii(column: Column) -> Column:
     """Lower-case A-Z only, whatever the locale."""
     return F.translate(column, UPPER, LOWER)

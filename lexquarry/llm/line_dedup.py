@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import WHITESPACE, lower_ascii, map_arrow, materialize
+from lexquarry.llm.common import WHITESPACE, carried, lower_ascii, map_arrow, materialize
 
 KEEP, DROP, OPEN = 0, 1, 2
 
@@ -113,12 +113,12 @@ def apply_bitmap(text: str, bitmap: bytes) -> str:
     return "\n".join(line for line, k in zip(lines, keep) if k)
 
 
-def _with_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("row"))
+def _with_rows(df: DataFrame, id_col: str, text_col: str, extra: list) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("row"), *extra)
 
 
-def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = False) -> DataFrame:
-    """``(id, text, n_lines, n_dropped, bitmap)``: which lines of each document stay.
+def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, text, n_lines, n_dropped, bitmap)`` and the columns to carry along: which lines of each document stay.
 
     A line goes if its key (white space of ``[\\x20\\x09-\\x0D]`` stripped at both
     ends, A-Z lower-cased, at least one character) is found in at least
@@ -128,10 +128,10 @@ def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keeps the lines whose key stays. Rows with a null id are one document, too.
     The text column is handed through as it came; other columns are not read.
     """
-    docs = _with_rows(df, id_col, text_col)
-    ids = docs.select(F.coalesce("row", F.lit(-(2**63))).alias("row"), "text")
-    drop = dropped_positions(ids, min_docs, keep_first)
-    joined = docs.withColumn("row", F.coalesce("row", F.lit(-(2**63)))).join(drop, "row", "left").select("id", "text", "drop")
+    extra = carried(df, carry)
+    docs = _with_rows(df, id_col, text_col, extra.columns)
+    drop = dropped_positions(docs.select("row", "text"), min_docs, keep_first)
+    joined = docs.join(drop, "row", "left").select("id", "text", "drop", *extra.names)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -144,21 +144,24 @@ def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n_lines.append(n)
                 n_dropped.append(len(at))
                 bitmaps.append(keep_bitmap(n, at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(bitmaps, pa.binary())], ["id", "text", "n_lines", "n_dropped", "bitmap"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(bitmaps, pa.binary()), *batch.columns[3:]], ["id", "text", "n_lines", "n_dropped", "bitmap", *extra.names])
 
-    return map_arrow(joined, run, f"id {kind}, text string, n_lines long, n_dropped long, bitmap binary").withColumnsRenamed({"id": id_col, "text": text_col})
+    out = map_arrow(joined, run, f"id {kind}, text string, n_lines long, n_dropped long, bitmap binary" + extra.schema)
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped", "bitmap", *extra.back)
 
 
-def kept_texts(bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_texts(bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """The documents of ``line_bitmaps`` without the lines that go (a null text stays null)."""
 
     def run(batches):
         for batch in batches:
             texts = [None if t is None else apply_bitmap(t, b) for t, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:]], ["id", "text", *extra.names])
 
     kind = bitmaps.schema[id_col].dataType.simpleString()
-    return map_arrow(bitmaps.select(id_col, text_col, "bitmap"), run, f"id {kind}, text string").withColumnsRenamed({"id": id_col, "text": text_col})
+    extra = carried(bitmaps, carry)
+    out = map_arrow(bitmaps.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "bitmap", *extra.columns), run, f"id {kind}, text string" + extra.schema)
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *extra.back)
 
 
 def kept_digest(bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import bpe, kd_shards, line_dedup, near_dedup, token_files
+from lexquarry.llm import ann, bpe, decontaminate, kd_shards, lang_id, line_dedup, lm_score, near_dedup, quality, token_files
+from lexquarry.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,19 +21,55 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    found = lang_id.predict(documents, lang_id.fit(documents))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard(_table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op8_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_digest(line_dedup.line_bitmaps(_table(spark, sf_dir, "documents"), min_docs=10))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op5_kd_tree_shards, op7_token_files, op9_line_dedup)}
+def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_byte_bpe,
+        op3_decontamination,
+        op4_language_id,
+        op5_kd_tree_shards,
+        op6_quality,
+        op7_token_files,
+        op8_anisotropic_ann,
+        op9_line_dedup,
+        op10_masked_lm,
+    )
+}
 
 ORACLE_SQL = {
     "op9_line_dedup": r"""
