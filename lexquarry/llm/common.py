@@ -5,8 +5,8 @@
   re-read, not a recomputation).
 * ``components`` finds connected components with alternating large-star and
   small-star steps; links and labels stay distributed.
-* ``text_batches`` / ``utf8_buffer`` hand Arrow text columns to numpy without
-  copying them into Python strings.
+* ``utf8_buffer`` hands Arrow text columns to numpy without copying them into
+  Python strings.
 """
 
 from __future__ import annotations

@@ -216,9 +216,10 @@ def predict(df: DataFrame, network: Network | None, id_col: str = "doc_id", text
                 best = pooled.argmax(1)
                 langs = [network.langs[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())]
                 scores = np.where(known, np.clip(pooled[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(langs, pa.string()), pa.array(scores), *batch.columns[2:]], ["id", "text", "lang_pred", "score", *extra.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(langs, pa.string()), pa.array(scores), *batch.columns[2:]], ["id", "text", "lang_pred", "score", *extra_names])
 
     kind = df.schema[id_col].dataType.simpleString()
     extra = carried(df, carry)
+    extra_names = extra.names
     out = map_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *extra.columns), run, f"id {kind}, text string, lang_pred string, score double" + extra.schema)
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "lang_pred", "score", *extra.back)

@@ -129,6 +129,7 @@ def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The text column is handed through as it came; other columns are not read.
     """
     extra = carried(df, carry)
+    extra_names = extra.names
     docs = _with_rows(df, id_col, text_col, extra.columns)
     drop = dropped_positions(docs.select("row", "text"), min_docs, keep_first)
     joined = docs.join(drop, "row", "left").select("id", "text", "drop", *extra.names)
@@ -144,7 +145,7 @@ def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n_lines.append(n)
                 n_dropped.append(len(at))
                 bitmaps.append(keep_bitmap(n, at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(bitmaps, pa.binary()), *batch.columns[3:]], ["id", "text", "n_lines", "n_dropped", "bitmap", *extra.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(bitmaps, pa.binary()), *batch.columns[3:]], ["id", "text", "n_lines", "n_dropped", "bitmap", *extra_names])
 
     out = map_arrow(joined, run, f"id {kind}, text string, n_lines long, n_dropped long, bitmap binary" + extra.schema)
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped", "bitmap", *extra.back)
@@ -152,14 +153,15 @@ def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def kept_texts(bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """The documents of ``line_bitmaps`` without the lines that go (a null text stays null)."""
+    extra = carried(bitmaps, carry)
+    extra_names = extra.names
 
     def run(batches):
         for batch in batches:
             texts = [None if t is None else apply_bitmap(t, b) for t, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:]], ["id", "text", *extra.names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:]], ["id", "text", *extra_names])
 
     kind = bitmaps.schema[id_col].dataType.simpleString()
-    extra = carried(bitmaps, carry)
     out = map_arrow(bitmaps.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "bitmap", *extra.columns), run, f"id {kind}, text string" + extra.schema)
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *extra.back)
 
