@@ -39,6 +39,9 @@ SIGNATURE = CHUNKS * WIDTH
 #: Candidates differ in at most so many symbols: at similarity 0.8, four standard deviations over the mean.
 FARTHEST = 26
 BLOCK = 1024
+#: Before a pair is confirmed on its sets, longer signatures are compared: 512 symbols of 4 bits. At similarity 0.8
+#: they differ in 96 symbols, standard deviation 9; candidates differ in at most four deviations more.
+LONG, LONG_FARTHEST = 512, 131
 
 _TO_LOWER = np.arange(256, dtype=np.uint8)
 _TO_LOWER[65:91] += 32
@@ -47,6 +50,8 @@ _BLANK[[32, *range(9, 14)]] = True
 _random = np.random.default_rng(20240501)
 _XOR = _random.integers(1, 2**63, SIGNATURE, dtype=np.uint64)[:, None]
 _MULTIPLY = (_random.integers(1, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1))[:, None]
+_LONG_XOR = _random.integers(1, 2**63, LONG, dtype=np.uint64)[:, None]
+_LONG_MULTIPLY = (_random.integers(1, 2**63, LONG, dtype=np.uint64) | np.uint64(1))[:, None]
 _ORDER = _random.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -76,12 +81,30 @@ def shingle_sets(data: np.ndarray, ptr: np.ndarray, words: int) -> list[np.ndarr
     return [np.unique(total[a : a + k]) for a, k in zip(of[:-1].tolist(), lengths.tolist())]
 
 
-def signature(hashes: np.ndarray) -> bytes:
+def minima(hashes: np.ndarray, xor: np.ndarray, multiply: np.ndarray) -> np.ndarray:
     low = None
-    for i in range(0, len(hashes), 4096):
-        part = ((hashes[None, i : i + 4096] ^ _XOR) * _MULTIPLY).min(axis=1)
+    for i in range(0, len(hashes), 1024):
+        part = ((hashes[None, i : i + 1024] ^ xor) * multiply).min(axis=1)
         low = part if low is None else np.minimum(low, part)
-    return (mix(low) & np.uint64((1 << SYMBOL_BITS) - 1)).astype(np.uint8).tobytes()
+    return mix(low)
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    return (minima(hashes, _XOR, _MULTIPLY) & np.uint64((1 << SYMBOL_BITS) - 1)).astype(np.uint8).tobytes()
+
+
+def long_signature(hashes: np.ndarray) -> bytes:
+    symbols = (minima(hashes, _LONG_XOR, _LONG_MULTIPLY) & np.uint64(15)).astype(np.uint8)
+    return (symbols[::2] * 16 + symbols[1::2]).tobytes()
+
+
+def long_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many symbols each row of x differs from each row of y; both are 64-bit words."""
+    d = x[:, None, :] ^ y[None, :, :]
+    d |= d >> np.uint64(2)
+    d |= d >> np.uint64(1)
+    d &= np.uint64(0x1111111111111111)
+    return np.bitwise_count(d).sum(-1, dtype=np.int32)
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -153,21 +176,20 @@ def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("key").agg(F.sum("k").alias("total"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     rows = rows.join(mixed.select("key", "main", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")), "key")
-    rows = rows.join(nodes.select("node", "n", "sig"), "node")
+    rows = rows.join(nodes.select("node", "n", "sig", "long"), "node")
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    build = rows.select("key", own.alias("block"), F.lit(0).alias("probe"), (F.col("comp") == F.col("main")).alias("inner"), "node", "comp", "n", "sig")
-    probe = rows.where("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe"), F.lit(False).alias("inner"), "node", "comp", "n", "sig")
+    build = rows.select("key", own.alias("block"), F.lit(0).alias("probe"), (F.col("comp") == F.col("main")).alias("inner"), "node", "comp", "n", "sig", "long")
+    probe = rows.where("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe"), F.lit(False).alias("inner"), "node", "comp", "n", "sig", "long")
     dealt = build.union(probe).repartition("key", "block").sortWithinPartitions("key", "block", "probe", "node")
 
     def group(key: int, cols: list[np.ndarray]):
-        probe, inner, node, comp, n, sig = cols
+        probe, inner, node, comp, n, sig, long = cols
         p, b = np.flatnonzero(probe == 1), np.flatnonzero(probe == 0)
         spot = (key >> (SYMBOL_BITS * (WIDTH - 1))) & 0xFFFF
         for i in range(0, len(p), 64):
             q = p[i : i + 64]
-            differ = sig[q][:, None, :] != sig[b][None, :, :]
-            far = differ.sum(-1)
-            good = (far <= FARTHEST) & (comp[q][:, None] != comp[b][None, :])
+            far = long_distances(long[q], long[b])
+            good = (far <= LONG_FARTHEST) & (comp[q][:, None] != comp[b][None, :])
             good &= inner[b][None, :] | (node[q][:, None] < node[b][None, :])  # two probes meet once
             small, large = np.minimum(n[q][:, None], n[b][None, :]), np.maximum(n[q][:, None], n[b][None, :])
             good &= small * 100 >= large * percent
@@ -180,7 +202,7 @@ def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -
                 first = np.append(True, (x[1:] != x[:-1]) | (comp[b[y]][1:] != comp[b[y]][:-1]))
                 x, y = x[first], y[first]
             else:  # a pair counts at the first key that it shares
-                errors = differ[x, y].reshape(-1, CHUNKS, WIDTH)
+                errors = (sig[q[x]] != sig[b[y]]).reshape(-1, CHUNKS, WIDTH)
                 chunk = (errors.sum(-1) <= 1).argmax(-1)
                 here = errors[np.arange(len(x)), chunk]
                 keep = chunk * WIDTH + here.argmax(-1) == spot
@@ -198,10 +220,11 @@ def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -
             probe, node, comp, n = (np.asarray(table[c]) for c in ("probe", "node", "comp", "n"))
             inner = np.asarray(table["inner"].combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(table), SIGNATURE)
+            long = np.frombuffer(b"".join(table["long"].to_pylist()), np.uint64).reshape(len(table), LONG // 16)
             out = [[], [], [], []]
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
                 if probe[b - 1] == 1 and probe[a] == 0:
-                    for found in group(int(key[a]), [v[a:b] for v in (probe, inner, node, comp, n, sig)]):
+                    for found in group(int(key[a]), [v[a:b] for v in (probe, inner, node, comp, n, sig, long)]):
                         for o, f in zip(out, found):
                             o.append(f)
             if out[0]:
@@ -264,6 +287,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = materialize(wanted, "wanted")
     some = docs.join(wanted.select(F.col("doc").alias("want")), F.col("doc").eqNullSafe(F.col("want")), "left_semi")
     texts = materialize(named_texts(some, words).join(near, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    wanted = materialize(wanted.join(long_signatures(texts, words), "node"), "wanted-long")
 
     def distance(a: str, b: str):
         return F.aggregate(F.sequence(F.lit(1), F.lit(SIGNATURE)), F.lit(0), lambda s, i: s + F.when(F.substring(F.col(a), i, F.lit(1)) == F.substring(F.col(b), i, F.lit(1)), 0).otherwise(1))
@@ -286,6 +310,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
 
 
+def long_signatures(texts: DataFrame, words: int) -> DataFrame:
+    """``(node, long)`` of ``texts(node, text)``."""
+
+    def run(batches):
+        for batch in batches:
+            sets = shingle_sets(*utf8_buffer(batch.column(1)), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([long_signature(s) for s in sets], pa.binary())], ["node", "long"])
+
+    return map_arrow(texts.select("node", "text"), run, "node long, long binary")
+
+
 def named_texts(df: DataFrame, words: int) -> DataFrame:
     """``(node, text)`` of ``df(doc, text)``."""
 
