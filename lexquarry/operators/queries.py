@@ -152,9 +152,9 @@ def scl13(spark, sf):
     return summary_pairs(spark, sf).select("citation_id", "i", "j", F.round(T.word_jaccard(F.col("x"), F.col("y")), 6).alias("sim"))
 
 
-@query("agg11_mean_similarity", f"SELECT citation_id, round(avg(CAST({_JACCARD} AS DOUBLE)), 5) AS sim FROM ({_PAIRS}) GROUP BY citation_id", "w_summaries")
+@query("agg11_mean_similarity", f"SELECT citation_id, round(avg(CAST({_JACCARD} AS DOUBLE)), 8) AS sim FROM ({_PAIRS}) GROUP BY citation_id", "w_summaries")
 def agg11(spark, sf):
-    return summary_pairs(spark, sf).groupBy("citation_id").agg(F.round(F.avg(F.round(T.word_jaccard(F.col("x"), F.col("y")), 6)), 5).alias("sim"))
+    return summary_pairs(spark, sf).groupBy("citation_id").agg(F.round(F.avg(F.round(T.word_jaccard(F.col("x"), F.col("y")), 6)), 8).alias("sim"))
 
 
 @query("scl12_name_similarity", f"SELECT doc_id, i, j, CAST({_sim('x', 'y')} AS DOUBLE) AS sim FROM (SELECT a.doc_id, a.ord AS i, b.ord AS j, {_NORM.format('a.case_name')} AS x, {_NORM.format('b.case_name')} AS y FROM w_cites a JOIN w_cites b ON a.doc_id = b.doc_id AND a.ord < b.ord)", "w_cites")
