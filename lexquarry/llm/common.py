@@ -15,6 +15,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_buckets(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Write one row of every ``key`` as a table bucketed by it, so that joins on it shuffle the other side only.
+
+    Returns the table, and a function that takes its name from the catalog again.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"lexquarry_{name}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, key).dropDuplicates([key])
+    rows.write.bucketBy(buckets, key).saveAsTable(table, format="parquet", path=f"{shared_dir(spark)}/lexquarry/{table}")
+    return spark.table(table), lambda: spark.sql(f"DROP TABLE IF EXISTS {table}") and None
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Keep Arrow batches short, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import components, map_arrow, materialize, utf8_buffer
+from lexquarry.llm.common import components, map_arrow, materialize, materialize_buckets, utf8_buffer
 from lexquarry.llm.pieces import mix, slice_hashes
 
 CHUNKS, WIDTH, SYMBOL_BITS = 11, 6, 8
@@ -42,6 +42,8 @@ BLOCK = 1024
 #: Before a pair is confirmed on its sets, longer signatures are compared: 512 symbols of 4 bits. At similarity 0.8
 #: they differ in 96 symbols, standard deviation 9; candidates differ in at most four deviations more.
 LONG, LONG_FARTHEST = 512, 131
+#: The ids of documents with candidates are broadcast up to this many (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 
 _TO_LOWER = np.arange(256, dtype=np.uint8)
 _TO_LOWER[65:91] += 32
@@ -276,17 +278,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = materialize(nodes, "nodes")
     keys = index_keys(nodes).select("node", F.explode("keys").alias("key"))
+    # Most keys have one node: only a count of each is shuffled before they go.
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    rows = materialize(keys.join(shared, "key"), "shared-keys")
     # Leaders of a key: its smallest and largest node, and the first by two hashes.
     order = [F.xxhash64("node", F.lit(i)) for i in (1, 2)]
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("l0"), F.max("node").alias("l1"), *(F.min_by("node", o).alias(f"l{i + 2}") for i, o in enumerate(order)))
-    rows = materialize(keys.join(shared.where("k > 1").drop("k"), "key"), "shared-keys")
-    pairs = rows.select("node", F.explode(F.array_distinct(F.array("l0", "l1", "l2", "l3"))).alias("leader")).where("node <> leader").distinct()
-    near = rows.select("node").distinct()
-    # The texts that any comparison needs, found again by the rows' ids and checked by their node.
-    wanted = near.join(nodes.select("node", "doc", "n", "sig"), "node")
-    wanted = materialize(wanted, "wanted")
-    some = docs.join(wanted.select(F.col("doc").alias("want")), F.col("doc").eqNullSafe(F.col("want")), "left_semi")
-    texts = materialize(named_texts(some, words).join(near, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    leaders = rows.groupBy("key").agg(F.min("node").alias("l0"), F.max("node").alias("l1"), *(F.min_by("node", o).alias(f"l{i + 2}") for i, o in enumerate(order)))
+    led = rows.join(leaders, "key")
+    pairs = led.select("node", F.explode(F.array_distinct(F.array("l0", "l1", "l2", "l3"))).alias("leader")).where("node <> leader").distinct()
+    near = materialize(rows.select("node").distinct(), "near")
+    # The texts that any comparison needs, found again by the rows' ids, bucketed by their node.
+    wanted = materialize(near.join(nodes.select("node", "doc", "n", "sig"), "node"), "wanted")
+    ids = wanted.select(F.col("doc").alias("want"))
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    some = docs.join(ids, F.col("doc").eqNullSafe(F.col("want")), "left_semi")
+    texts, drop_texts = materialize_buckets(named_texts(some, words), "texts", "node")
     wanted = materialize(wanted.join(long_signatures(texts, words), "node"), "wanted-long")
 
     def distance(a: str, b: str):
@@ -298,10 +305,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = met.groupBy("node").agg(F.min(F.struct("far", "leader")).alias("x"), F.max_by("leader", F.struct(-F.col("far"), "leader")).alias("y"))
     star = star.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("x.leader", "y"))).alias("b"))
     labels = relabel(near.withColumn("comp", F.col("node")), materialize(confirm(star, texts, words, percent), "links"))
-    rows = rows.select("key", "node")
     for nearest in (True, True, False):
         pairs = materialize(candidates(rows.join(labels, "node"), wanted, nearest, percent), "pairs")
         labels = relabel(labels, materialize(confirm(pairs, texts, words, percent), "links"))
+    drop_texts()
     classes = nodes.select("node", F.col("doc").alias("least")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = classes.groupBy("comp").agg(F.min("least").alias("component"))
     classes = classes.join(lowest, "comp").select("node", "component")
