@@ -15,6 +15,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 import numpy as np
@@ -45,25 +46,49 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return it reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexquarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, by Hadoop's file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote; only for tables whose every use has been written in its turn."""
+    for df in tables:
+        if path := _WRITTEN.pop(df, None):
+            remove(df.sparkSession, path)
 
 
 def materialize_buckets(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
     """Write one row of every ``key`` as a table bucketed by it, so that joins on it shuffle the other side only.
 
-    Returns the table, and a function that takes its name from the catalog again.
+    Returns the table, and a function that drops it, files and all, once every use of it has been written.
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"lexquarry_{name}_{uuid.uuid4().hex}"
     rows = df.repartition(buckets, key).dropDuplicates([key])
-    rows.write.bucketBy(buckets, key).saveAsTable(table, format="parquet", path=f"{shared_dir(spark)}/lexquarry/{table}")
-    return spark.table(table), lambda: spark.sql(f"DROP TABLE IF EXISTS {table}") and None
+    path = f"{shared_dir(spark)}/lexquarry/{table}"
+    rows.write.bucketBy(buckets, key).saveAsTable(table, format="parquet", path=path)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(spark, path)
+
+    return spark.table(table), drop
 
 
 def arrow_batches(spark: SparkSession) -> None:
@@ -137,7 +162,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.distinct(), "large")
+        large, old = materialize(large.distinct(), "large"), e
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         e = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(old, large)

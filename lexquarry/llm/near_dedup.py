@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import components, map_arrow, materialize, materialize_buckets, utf8_buffer
+from lexquarry.llm.common import components, discard, map_arrow, materialize, materialize_buckets, utf8_buffer
 from lexquarry.llm.pieces import mix, slice_hashes
 
 CHUNKS, WIDTH, SYMBOL_BITS = 11, 6, 8
@@ -256,7 +256,9 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
     edges = edges.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
     root = components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-    return materialize(labels.join(root, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "labels")
+    out = materialize(labels.join(root, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "labels")
+    discard(labels, links)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -294,7 +296,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ids = F.broadcast(ids)
     some = docs.join(ids, F.col("doc").eqNullSafe(F.col("want")), "left_semi")
     texts, drop_texts = materialize_buckets(named_texts(some, words), "texts", "node")
-    wanted = materialize(wanted.join(long_signatures(texts, words), "node"), "wanted-long")
+    short, wanted = wanted, materialize(wanted.join(long_signatures(texts, words), "node"), "wanted-long")
+    discard(short)
 
     def distance(a: str, b: str):
         return F.aggregate(F.sequence(F.lit(1), F.lit(SIGNATURE)), F.lit(0), lambda s, i: s + F.when(F.substring(F.col(a), i, F.lit(1)) == F.substring(F.col(b), i, F.lit(1)), 0).otherwise(1))
@@ -305,9 +308,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = met.groupBy("node").agg(F.min(F.struct("far", "leader")).alias("x"), F.max_by("leader", F.struct(-F.col("far"), "leader")).alias("y"))
     star = star.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("x.leader", "y"))).alias("b"))
     labels = relabel(near.withColumn("comp", F.col("node")), materialize(confirm(star, texts, words, percent), "links"))
+    discard(near)
     for nearest in (True, True, False):
         pairs = materialize(candidates(rows.join(labels, "node"), wanted, nearest, percent), "pairs")
         labels = relabel(labels, materialize(confirm(pairs, texts, words, percent), "links"))
+        discard(pairs)
+    discard(rows, wanted)
     drop_texts()
     classes = nodes.select("node", F.col("doc").alias("least")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = classes.groupBy("comp").agg(F.min("least").alias("component"))
