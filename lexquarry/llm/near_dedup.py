@@ -198,17 +198,17 @@ def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -
             x, y = np.nonzero(good)
             if not len(x):
                 continue
-            if nearest:
+            # A pair counts at the first key that it shares.
+            errors = (sig[q[x]] != sig[b[y]]).reshape(-1, CHUNKS, WIDTH)
+            chunk = (errors.sum(-1) <= 1).argmax(-1)
+            here = errors[np.arange(len(x)), chunk]
+            keep = chunk * WIDTH + here.argmax(-1) == spot
+            x, y = x[keep], y[keep]
+            if nearest and len(x):
                 order = np.lexsort((far[x, y], comp[b[y]], x))
                 x, y = x[order], y[order]
                 first = np.append(True, (x[1:] != x[:-1]) | (comp[b[y]][1:] != comp[b[y]][:-1]))
                 x, y = x[first], y[first]
-            else:  # a pair counts at the first key that it shares
-                errors = (sig[q[x]] != sig[b[y]]).reshape(-1, CHUNKS, WIDTH)
-                chunk = (errors.sum(-1) <= 1).argmax(-1)
-                here = errors[np.arange(len(x)), chunk]
-                keep = chunk * WIDTH + here.argmax(-1) == spot
-                x, y = x[keep], y[keep]
             yield node[q[x]], node[b[y]], comp[b[y]], far[x, y]
 
     def run(batches):
