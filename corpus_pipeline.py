@@ -22,9 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; documents of which nothing but white space is left go, too."""
+    """Of lines found in ten documents or more the first occurrence stays; documents of which nothing but white space is left go, too."""
     carry = ("lang", "source")
-    texts = line_dedup.kept_texts(line_dedup.line_bitmaps(docs, min_docs=10, carry=carry), carry=carry)
+    texts = line_dedup.kept_texts(line_dedup.line_bitmaps(docs, min_docs=10, keep_first=True, carry=carry), carry=carry)
     left = texts.where(F.translate("text", " \t\n\x0b\x0c\r", "") != "")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

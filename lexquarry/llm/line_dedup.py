@@ -57,9 +57,10 @@ def stream_runs(sorted_rows: DataFrame, min_docs: int, keep_first: bool) -> Data
                 state[0] = OPEN
             if last:
                 state[-1] = OPEN
-            first = np.repeat(state == DROP, lengths) & new & keep_first
             states = np.repeat(state, lengths)
-            states[first] = KEEP
+            if keep_first:  # rows that repeat an id may share the first place
+                pos, at = np.asarray(table["pos"]), np.repeat(starts, lengths)
+                states[(states == DROP) & (row == row[at]) & (pos == pos[at])] = KEEP
             out = table.append_column("state", pa.array(states.astype(np.int32))).append_column("docs", pa.array(new_doc.astype(np.int32)))
             return out.filter(pa.array(states != KEEP)).to_batches()
 
