@@ -1,29 +1,34 @@
-"""Masked pseudo-likelihood scores from a bidirectional window network.
+"""Masked pseudo-likelihood scores from a bidirectional window network and counts of the corpus.
 
-Tokens are words (runs without white space, A-Z lower-cased), hashed into BUCKETS.
-Three passes, all over the whole corpus:
+Tokens are words (runs without white space, A-Z lower-cased), told apart by 64-bit
+hashes. Three passes, all over the whole corpus:
 
-1. Counts of all buckets, summed over all documents. Buckets of like frequency
-   form CLASSES classes of about equal mass.
+1. Counts of every word and every pair of neighbouring words. Each batch of texts
+   asks for its distinct keys, dealt over parts by key; a part adds them up and
+   answers each batch. So what is gathered grows with the corpus, and no task
+   holds more than one part or one batch. Words of like frequency form CLASSES
+   classes of about equal mass.
 2. Training: every task trains the network on all tokens of its share, in numpy,
    from one start; the networks are averaged, weighted by their tokens.
 3. Scoring: the network predicts every token's class from the SIDE words before
-   and after it, with the token itself masked; the corpus counts give the token
-   within its class. A document's score is the sum of log-probabilities.
+   and after it, with the token itself masked, and the word's count gives it within
+   the class. This is mixed with the word's shares of what the corpus has after
+   the word before and before the word after, less the token's own occurrence if
+   it is of the corpus. A document's score is the sum of log-probabilities.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import map_arrow, materialize, utf8_buffer
+from lexquarry.llm.common import discard, map_arrow, materialize, utf8_buffer
 from lexquarry.llm.near_dedup import _BLANK, _TO_LOWER
-from lexquarry.llm.pieces import slice_hashes
+from lexquarry.llm.pieces import mix, slice_hashes
 
-BUCKETS = 1 << 16
 CLASSES = 64
 INPUTS = 2048  # buckets that the input side tells apart
 HIDDEN = 16
@@ -32,12 +37,19 @@ BATCH = 2048
 RATE = 0.1
 #: Values of the averaged network that travel as one row.
 CHUNK = 4096
+#: Text bytes whose keys are added up by one part, and the fewest parts.
+PART_BYTES, PARTS = 24 << 20, 32
+#: Words of one count are told apart in so many cells, so that a count's many words spread over classes.
+CELLS = 32
+#: Weight of either neighbour's shares, and the occurrences at which a neighbour has half of it.
+PAIR_WEIGHT, PAIR_HALF = 0.35, 4
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(data: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every word, and where each text's words start (and the end)."""
+    """Hash of every word, and where each text's words start (and the end)."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(len(ptr), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(ptr), np.int64)
     solid = ~_BLANK[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[ptr] = True
@@ -45,7 +57,40 @@ def tokens(data: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begins[1:] &= ~solid[:-1] | edge[1:-1]
     finishes[:-1] &= ~solid[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    return (slice_hashes(_TO_LOWER[data], starts, ends) & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(starts, ptr)
+    return slice_hashes(_TO_LOWER[data], starts, ends), np.searchsorted(starts, ptr)
+
+
+def keys_of(words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words (even) and then of all neighbours of one text (odd), and each pair's first word."""
+    last = np.zeros(len(words) + 1, bool)
+    last[ptr] = True
+    first = np.flatnonzero(~last[1:]) if len(words) else np.zeros(0, np.int64)
+    pairs = mix(words[first] * _LEFT + words[np.minimum(first + 1, len(words) - 1)] * _RIGHT) | np.uint64(1) if len(first) else np.zeros(0, np.uint64)
+    return np.concatenate([words & ~np.uint64(1), pairs]), first
+
+
+def bucket(words: np.ndarray) -> np.ndarray:
+    return ((words >> np.uint64(1)) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """64-bit integers byte by byte, so that their zeros compress."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """The low 48 bits; a part's keys are told apart by them."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
 
 
 def contexts(words: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -63,18 +108,30 @@ def contexts(words: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Classes of buckets by frequency, and each bucket's share of its class, from counts of the corpus."""
+    """Classes of words by frequency, and each word's share of its class, from counts of the corpus."""
+
+    def __init__(self, corpus: "Corpus"):
+        self.corpus = corpus
+        self.units = corpus.units  # count * CELLS + cell, ascending
+        mass = self.units // CELLS * corpus.words
+        after = mass[::-1].cumsum()[::-1] - mass / 2
+        self.classes = np.minimum(CLASSES - 1, (after / max(1, mass.sum()) * CLASSES).astype(np.int64))
+        total = np.bincount(self.classes, mass, CLASSES)
+        total[-1] += 1  # texts outside the corpus may hold other words
+        self.total = np.log(np.maximum(total, 1e-9))
+        self.prior = self.total - np.log(total.sum())
+
+    def __getstate__(self):
+        return self.__dict__ | {"corpus": None}
 
-    def __init__(self, counts: np.ndarray):
-        smooth = counts + 0.01  # texts outside the corpus may hold other words
-        order = np.argsort(-smooth, kind="stable")
-        mass = np.cumsum(smooth[order]) - smooth[order] / 2
-        self.of = np.empty(BUCKETS, np.int64)
-        self.of[order] = np.minimum(CLASSES - 1, (mass / smooth.sum() * CLASSES).astype(np.int64))
-        total = np.bincount(self.of, smooth, CLASSES)
-        self.inside = np.log(smooth / total[self.of])
-        with np.errstate(divide="ignore"):
-            self.prior = np.log(np.maximum(total, 1e-9) / total.sum())
+    def of(self, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        if not len(self.units):
+            return np.full(len(counts), CLASSES - 1)
+        at = np.searchsorted(self.units, counts * CELLS + buckets % CELLS)
+        return np.where(counts > 0, self.classes[np.minimum(at, len(self.units) - 1)], CLASSES - 1)
+
+    def inside(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(counts, 1)) - self.total[classes]
 
 
 class Window:
@@ -109,13 +166,13 @@ class Window:
         logits -= logits.max(1, keepdims=True)
         return hidden, logits
 
-    def log_probabilities(self, words: np.ndarray, context: np.ndarray) -> np.ndarray:
-        out = np.empty(len(words))
-        for i in range(0, len(words), BATCH):
-            own = words[i : i + BATCH]
+    def log_probabilities(self, classes: np.ndarray, counts: np.ndarray, context: np.ndarray) -> np.ndarray:
+        out = np.empty(len(classes))
+        for i in range(0, len(classes), BATCH):
+            own = classes[i : i + BATCH]
             _, logits = self.forward(context[i : i + BATCH])
-            target = logits[np.arange(len(own)), self.vocabulary.of[own]]
-            out[i : i + BATCH] = target - np.log(np.exp(logits).sum(1)) + self.vocabulary.inside[own]
+            target = logits[np.arange(len(own)), own]
+            out[i : i + BATCH] = target - np.log(np.exp(logits).sum(1)) + self.vocabulary.inside(own, counts[i : i + BATCH])
         return out
 
     def _step(self, name: str, grad: np.ndarray) -> None:
@@ -124,16 +181,16 @@ class Window:
         self.squares[name] += grad * grad
         self.p[name] -= RATE * grad / np.sqrt(self.squares[name])
 
-    def learn(self, words: np.ndarray, context: np.ndarray) -> None:
-        """One pass of Adagrad over the words, in batches of neighbouring words."""
+    def learn(self, classes: np.ndarray, context: np.ndarray) -> None:
+        """One pass of Adagrad over the words' classes, in batches of neighbouring words."""
         if "e" not in self.squares:
             self.squares["e"] = np.full((2 * SIDE, INPUTS + 1, 1), 1e-6, np.float32)
-        for i in range(0, len(words), BATCH):
-            own, around = words[i : i + BATCH], context[i : i + BATCH]
+        for i in range(0, len(classes), BATCH):
+            own, around = classes[i : i + BATCH], context[i : i + BATCH]
             hidden, logits = self.forward(around)
             np.exp(logits, out=logits)
             logits /= logits.sum(1, keepdims=True)
-            logits[np.arange(len(own)), self.vocabulary.of[own]] -= 1
+            logits[np.arange(len(own)), own] -= 1
             logits /= len(own)
             back = (logits @ self.p["w"].T) * (1 - hidden * hidden)
             self._step("w", hidden.T @ logits)
@@ -149,32 +206,153 @@ class Window:
                 self.p["e"][j, at] -= RATE * grad / np.sqrt(self.squares["e"][j, at])
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of all buckets over all documents. Each task sends a row a bucket; the sums are BUCKETS rows."""
+class Corpus:
+    """What the parts counted: words by count and cell, and every key's total if they are kept."""
+
+    def __init__(self, parts: int, units: np.ndarray, words: np.ndarray, table: DataFrame | None):
+        self.parts, self.units, self.words, self.table = parts, units, words, table
+
+
+_ANSWER = "group long, part int, keys binary, totals binary"
+_UNITS, _TOTALS = -1, -2  # groups of a part's own rows
+
+
+def ask(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows of ``docs(id, text)`` by batch (``group``), and for each batch and part the batch's distinct keys with their counts there."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        task = TaskContext.get().partitionId() << 32
+        for nth, batch in enumerate(batches):
+            every, _ = keys_of(*tokens(*utf8_buffer(batch.column(1))))
+            n, empty = len(batch), pa.nulls(len(batch), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([task + nth] * n, pa.int64()), pa.nulls(n, pa.int32()), *batch.columns[:2], empty, empty], names)
+            key, count = np.unique(every, return_counts=True)
+            part = ((key >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(key) else np.zeros(0, np.int64)
+            ends = [*cut[1:].tolist(), len(key)]
+            rows = list(zip(cut.tolist(), ends))
+            m = len(cut)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([task + nth] * m, pa.int64()), pa.array(part[cut].astype(np.int32)), pa.nulls(m, batch.column(0).type), pa.nulls(m, batch.column(1).type), pa.array([pack(key[a:b]) for a, b in rows], pa.binary()), pa.array([planes(count[a:b]) for a, b in rows], pa.binary())], names
+            )
+
+    names = ["group", "part", "id", "text", "keys", "counts"]
+    return materialize(map_arrow(docs, run, f"group long, part int, id {kind}, text string, keys binary, counts binary"), "keys")
+
+
+def _rows(group: list, part: int, keys: list, totals: list) -> pa.Table:
+    return pa.table([pa.array(group, pa.int64()), pa.array([part] * len(group), pa.int32()), pa.array(keys, pa.binary()), pa.array(totals, pa.binary())], names=["group", "part", "keys", "totals"])
 
+
+def add_up(asked: DataFrame, keep: bool) -> DataFrame:
+    """Answers to all batches, in the order of their keys; each part's words by count and cell; with keep, all its keys and totals."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, groups = table["part"][0].as_py(), table["group"].to_pylist()
+        keys = [unpack(k) for k in table["keys"].to_pylist()]
+        key, spot = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, spot, np.concatenate([unplanes(c) for c in table["counts"].to_pylist()]))
+        cuts = np.cumsum([0, *map(len, keys)]).tolist()
+        answers = [planes(total[spot[a:b]]) for a, b in zip(cuts, cuts[1:])]
+        word = (key & np.uint64(1)) == 0
+        units, words = np.unique(total[word] * CELLS + (bucket(key[word]) % CELLS).astype(np.int64), return_counts=True)
+        own = [_UNITS, _TOTALS][: 1 + keep]
+        return _rows(groups + own, part, [None] * len(groups) + [planes(units), pack(key)][: 1 + keep], answers + [planes(words), planes(total)][: 1 + keep])
+
+    return materialize(asked.where("part is not null").select("group", "part", "keys", "counts").groupBy("part").applyInArrow(run, _ANSWER), "totals")
+
+
+def corpus_of(answers: DataFrame, parts: int, keep: bool) -> Corpus:
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            words, _ = tokens(*utf8_buffer(batch.column(0)))
-            total += np.bincount(words, minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+            pairs = [(unplanes(k), unplanes(n)) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            for unit, n in pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(n)], ["unit", "n"])
+
+    units = map_arrow(answers.where(F.col("group") == _UNITS).select("keys", "totals"), run, "unit long, n long")
+    rows = units.groupBy("unit").agg(F.sum("n").alias("n")).orderBy("unit").toPandas()  # a count of N words has at most CELLS rows; there are about sqrt(2 N) counts
+    return Corpus(parts, rows["unit"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), answers.where(F.col("group") == _TOTALS) if keep else None)
+
+
+def look_up(asked: DataFrame, corpus: Corpus) -> DataFrame:
+    """Answers to the batches of other texts than the corpus: 0 for unknown keys."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, total = (unpack(right["keys"][0].as_py()), unplanes(right["totals"][0].as_py())) if len(right) else (np.zeros(0, "<u8"), np.zeros(0, np.int64))
+        answers = []
+        for own in map(unpack, left["keys"].to_pylist()):
+            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+            answers.append(planes(np.where(known[at] == own, total[at], 0) if len(known) else np.zeros(len(own), np.int64)))
+        return _rows(left["group"].to_pylist(), left["part"][0].as_py() if len(left) else 0, [None] * len(answers), answers)
+
+    own = asked.where("part is not null").select("group", "part", "keys")
+    return materialize(own.groupBy("part").cogroup(corpus.table.groupBy("part")).applyInArrow(run, _ANSWER), "totals")
+
+
+def resolve(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """``(id, words)``: of every word its bucket, its count, and the count of it and the next word (18 bytes)."""
+    kind = asked.schema["id"].dataType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        text = left["text"].combine_chunks()
+        words, ptr = tokens(*utf8_buffer(text))
+        every, first = keys_of(words, ptr)
+        _, spot = np.unique(every, return_inverse=True)
+        answer = sorted(zip(right["part"].to_pylist(), right["totals"].to_pylist()))
+        total = np.concatenate([unplanes(t) for _, t in answer])[spot] if len(every) else np.zeros(0, np.int64)
+        count, pair = total[: len(words)], np.zeros(len(words), np.int64)
+        pair[first] = total[len(words) :]
+        own = bucket(words)
+        cut = zip(ptr[:-1].tolist(), ptr[1:].tolist())
+        return pa.table([left["id"], pa.array([own[a:b].tobytes() + planes(count[a:b]) + planes(pair[a:b]) for a, b in cut], pa.binary())], names=["id", "words"])
+
+    docs = asked.where("part is null").select("group", "id", "text")
+    totals = answers.where("group >= 0").select("group", "part", "totals")
+    return materialize(docs.groupBy("group").cogroup(totals.groupBy("group")).applyInArrow(run, f"id {kind}, words binary"), "words")
 
-    sums = map_arrow(docs.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
-    counts = np.zeros(BUCKETS)
-    counts[sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(float)
-    return counts
+
+def read_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets, counts and pair counts of ``resolve``, and where each text's words start (and the end)."""
+    raw = column.to_pylist()
+    n = [len(r) // 18 for r in raw]
+    ptr = np.cumsum([0, *n])
+    own = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(r, np.uint16, k) for r, k in zip(raw, n))]).astype(np.int64)
+    count = np.concatenate([np.zeros(0, np.int64), *(unplanes(r[2 * k : 10 * k]) for r, k in zip(raw, n) if k)])
+    pair = np.concatenate([np.zeros(0, np.int64), *(unplanes(r[10 * k :]) for r, k in zip(raw, n) if k)])
+    return own, count, pair, ptr
+
+
+def _parts(docs: DataFrame) -> int:
+    return max(PARTS, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+
+
+def bucket_counts(docs: DataFrame) -> Corpus:
+    """Counts of all words and pairs of neighbours over all documents, kept as a table for other texts."""
+    parts = _parts(docs)
+    asked = ask(docs.select(F.lit(None).cast("long").alias("id"), "text"), parts)
+    return corpus_of(add_up(asked, True), parts, True)
+
+
+def found_words(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    asked = ask(df, vocabulary.corpus.parts)
+    return resolve(asked, look_up(asked, vocabulary.corpus))
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary) -> Window:
+    return train_on(found_words(docs.select(F.lit(None).cast("long").alias("id"), "text"), vocabulary), vocabulary)
+
+
+def train_on(found: DataFrame, vocabulary: Vocabulary) -> Window:
     """The average of the networks that the tasks trained on their tokens."""
 
     def run(batches):
         network, seen = Window(vocabulary), 0
         for batch in batches:
-            words, ptr = tokens(*utf8_buffer(batch.column(0)))
-            network.learn(words, contexts(words, ptr))
-            seen += len(words)
+            own, count, _, ptr = read_words(batch.column(0))
+            network.learn(vocabulary.of(own, count), contexts(own, ptr))
+            seen += len(own)
         if seen:
             flat = network.flat()
             chunks = [flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)]
@@ -189,7 +367,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Window:
         mean = (parts * (seen / seen.sum())[:, None]).sum(0).astype(np.float32)
         return pdf.iloc[:1].assign(seen=int(seen.sum()), part=[mean.tobytes()])
 
-    trained = materialize(map_arrow(docs.select("text"), run, "chunk int, seen long, part binary"), "networks")
+    trained = materialize(map_arrow(found.select("words"), run, "chunk int, seen long, part binary"), "networks")
     # In two steps, so that no task adds up the chunks of very many networks.
     kind = "chunk int, seen long, part binary, team int"
     teams = trained.withColumn("team", F.pmod(F.xxhash64("part"), F.lit(64)).cast("int"))
@@ -200,20 +378,42 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Window:
     return Window(vocabulary, np.concatenate([np.frombuffer(r["part"], np.float32) for r in means]))
 
 
+def mixed(logp: np.ndarray, count: np.ndarray, pair: np.ndarray, ptr: np.ndarray, own: int) -> np.ndarray:
+    """Log-probabilities of words after mixing in the neighbours' shares; own occurrences (0 or 1) of each do not count."""
+    n = len(count)
+    share, rest = np.zeros(n), np.ones(n)
+    starts, ends = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    starts[ptr[:-1]], ends[ptr[1:]] = True, True
+    left, right = np.flatnonzero(~starts[:n]), np.flatnonzero(~ends[1:])
+    for at, beside, both in ((left, left - 1, left - 1), (right, right + 1, right)):
+        times = np.maximum(count[beside] - own, 0)
+        weight = PAIR_WEIGHT * times / (times + PAIR_HALF)
+        share[at] += weight * np.maximum(pair[both] - own, 0) / np.maximum(times, 1)
+        rest[at] -= weight
+    return np.log(rest * np.exp(logp) + share)
+
+
 def score(df: DataFrame, network: Window, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score_found`` of texts that need not be of the corpus."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return score_found(found_words(docs, network.vocabulary), network, 0).withColumnRenamed("id", id_col)
+
+
+def score_found(found: DataFrame, network: Window, own: int) -> DataFrame:
     """``(id, n_tokens, sum_logp, mean_logp)`` of every row: summed conditional log-probabilities of all its words."""
+    vocabulary = network.vocabulary
 
     def run(batches):
         for batch in batches:
-            words, ptr = tokens(*utf8_buffer(batch.column(1)))
-            logp = np.concatenate([[0.0], np.cumsum(network.log_probabilities(words, contexts(words, ptr)))])
+            words, count, pair, ptr = read_words(batch.column(1))
+            logp = network.log_probabilities(vocabulary.of(words, count), count, contexts(words, ptr))
+            logp = np.concatenate([[0.0], np.cumsum(mixed(logp, count, pair, ptr, own))])
             sums, n = logp[ptr[1:]] - logp[ptr[:-1]], np.diff(ptr)
             mean = np.where(n > 0, sums / np.maximum(n, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums), pa.array(mean, mask=n == 0)], ["id", "n_tokens", "sum_logp", "mean_logp"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    out = map_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n_tokens long, sum_logp double, mean_logp double")
-    return out.withColumnRenamed("id", id_col)
+    kind = found.schema["id"].dataType.simpleString()
+    return map_arrow(found, run, f"id {kind}, n_tokens long, sum_logp double, mean_logp double")
 
 
 def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,6 +423,10 @@ def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mean_logp null. Repeated rows count and are scored as often as they occur.
     Only the two named columns are read. An empty table gives no rows.
     """
-    docs = df.select(F.col(text_col).alias("text"))
-    network = train(docs, Vocabulary(bucket_counts(docs)))
-    return score(df, network, id_col, text_col)
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    parts = _parts(docs)
+    asked = ask(docs, parts)
+    answers = add_up(asked, False)
+    found, vocabulary = resolve(asked, answers), Vocabulary(corpus_of(answers, parts, False))
+    discard(asked, answers)
+    return score_found(found, train_on(found, vocabulary), 1).withColumnRenamed("id", id_col)

@@ -1,0 +1,24 @@
+import random
+
+from lexquarry.llm import lm_score
+
+KIND = "doc_id long, text string"
+
+
+def test_words_of_a_common_bucket_keep_their_own_counts(spark):
+    # Of 200,000 rare words many share any hashed bucket with "the": none may score as "the" does.
+    docs = [(i, " ".join(["the"] * 500 + [f"rare{i}x{j}" for j in range(2000)])) for i in range(100)]
+    corpus = lm_score.bucket_counts(spark.createDataFrame(docs, KIND))
+    counts = dict(zip((corpus.units // lm_score.CELLS).tolist(), corpus.words.tolist()))
+    assert corpus.words.sum() == 200_001 and counts[50_000] == 1 and set(counts) == {1, 50_000}
+
+
+def test_words_of_like_frequency_depend_on_their_neighbours(spark):
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice([f"left{k} right{k}" for k in range(300)]) for _ in range(200))) for i in range(20)]
+    d = spark.createDataFrame(docs, KIND)
+    network = lm_score.train(d, lm_score.Vocabulary(lm_score.bucket_counts(d)))
+    pairs = [("left7 right7 " * 20, "left7 right8 " * 20), ("left9 right9 " * 20, "left9 right200 " * 20)]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs for t in p)], KIND)
+    got = [r["mean_logp"] for r in lm_score.score(texts, network).orderBy("doc_id").collect()]
+    assert got[0] > got[1] + 0.5 and got[2] > got[3] + 0.5
