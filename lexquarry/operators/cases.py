@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lexquarry.functions import text as T
 from lexquarry.operators.queries import _GREEDY, _GROUPABLE, _NORM, _PAIRS, ORACLE_SQL, QUERIES, C, N, U, _words, greedy_groups, query, scalar, summary_pairs
@@ -40,24 +44,24 @@ def scl03(spark, sf):
 _TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def tfidf_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the two texts' TF-IDF vectors over a corpus of these two; 1 if equal, word Jaccard if neither has a token.
+@F.udf(DoubleType(), useArrow=True)
+def _cosine(x: list, y: list) -> float:
+    """Linear in the tokens: whole texts have many."""
+    p, q = Counter(x), Counter(y)
+    alone = math.log(1.5) + 1
 
-    A text's tokens are one array: meant for summaries, whose length is bounded.
-    """
-    x, y = (F.regexp_extract_all(F.lower(c), F.lit(_TOKEN), 0) for c in (a, b))
+    def norm(own: Counter, other: Counter) -> float:
+        return math.sqrt(sum((n * (1 if w in other else alone)) ** 2 for w, n in own.items()))
 
-    def times(xs: Column, w: Column) -> Column:
-        return F.size(F.filter(xs, lambda t: t == w)).cast("double")
+    return max(0.0, min(1.0, sum(n * q[w] for w, n in p.items()) / max(norm(p, q) * norm(q, p), 1e-300)))
 
-    def norm(xs: Column, other: Column) -> Column:
-        square = lambda w: F.pow(times(xs, w) * F.when(F.array_contains(other, w), 1.0).otherwise(F.log(F.lit(1.5)) + 1), 2)
-        return F.sqrt(F.aggregate(F.array_distinct(xs), F.lit(0.0), lambda s, w: s + square(w)))
 
-    dot = F.aggregate(F.array_intersect(x, y), F.lit(0.0), lambda s, w: s + times(x, w) * times(y, w))
+def tfidf_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the two texts' TF-IDF vectors over a corpus of these two; 1 if equal, word Jaccard if neither has a token."""
+    x, y = (F.regexp_extract_all(F.lower(c), F.lit(_TOKEN), 0) for c in (a, b))
     none = (F.size(x) == 0) & (F.size(y) == 0)
     bare = (F.size(x) == 0) | (F.size(y) == 0)
-    return F.when(a == b, 1.0).when(none, T.word_jaccard(a, b)).when(bare, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / (norm(x, y) * norm(y, x)))))
+    return F.when(a == b, 1.0).when(none, T.word_jaccard(a, b)).when(bare, 0.0).otherwise(_cosine(x, y))
 
 
 def _norm_sql(a: str, b: str) -> str:

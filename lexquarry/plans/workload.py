@@ -49,7 +49,7 @@ UNION ALL SELECT DISTINCT 4, 'web_search', citation, 'W' || page FROM w_cites WH
 UNION ALL SELECT DISTINCT 5, 'scholar', citation, 'G' || page FROM w_cites WHERE page % 11 = 0
 """
 
-#: Three summaries an id: words 2i+1 to 2i+12 of a document's first line.
+#: Three summaries an id as DuckDB's side states them: characters 1-120, 21-140 and 41-160. Spark's side is ``summaries``, over whole texts.
 W_SUMMARIES = """
 SELECT doc_id AS citation_id, iter, substr(text, 1 + 20 * iter, 120) AS text FROM documents CROSS JOIN (SELECT 0 AS iter UNION ALL SELECT 1 AS iter UNION ALL SELECT 2 AS iter) i
 WHERE text IS NOT NULL
@@ -85,8 +85,15 @@ def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "s"))), lambda x: x["s"]), " ").alias("text"))
 
 
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three summaries an id that together hold the whole text: the words at places 0, 3, 6 ..., 1, 4, 7 ... and 2, 5, 8 ..."""
+    words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("citation_id"), words.alias("words"), F.explode(F.array(*map(F.lit, range(3)))).alias("iter"))
+    return docs.select("citation_id", "iter", F.array_join(F.filter("words", lambda w, k: k % 3 == F.col("iter")), " ").alias("text"))
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    query = CTES[name].replace("FROM w_cites", "FROM {w_cites}").replace("FROM documents", "FROM {documents}")
     if name == "w_summaries":
-        return spark.sql(query, documents=table(spark, sf_dir, "documents"))
+        return summaries(spark, sf_dir)
+    query = CTES[name].replace("FROM w_cites", "FROM {w_cites}")
     return spark.sql(query, w_cites=cites(spark, sf_dir))
