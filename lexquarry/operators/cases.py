@@ -156,10 +156,52 @@ _PARTS = r"list_filter(regexp_split_to_array(lower(a.case_name), '[^\w\d]+'), la
 
 @query("jon12_token_overlap", f"SELECT a.doc_id, a.ord AS i, b.ord AS j FROM w_cites a JOIN w_cites b ON a.doc_id = b.doc_id AND a.ord <> b.ord WHERE len(list_filter({_PARTS}, lambda w: contains(lower(b.case_name), w))) >= least(2, greatest(1, len({_PARTS}) // 2))", "w_cites")
 def jon12(spark, sf):
-    a = cites(spark, sf).select("doc_id", F.col("ord").alias("i"), T.search_tokens(F.lower(N())).alias("parts"))
-    b = cites(spark, sf).select("doc_id", F.col("ord").alias("j"), F.lower(N()).alias("file"))
-    enough = F.least(F.lit(2), F.greatest(F.lit(1), F.floor(F.size("parts") / 2)))
-    return a.join(b, "doc_id").where((F.col("i") != F.col("j")) & (F.size(F.filter("parts", lambda w: F.contains("file", w))) >= enough)).select("doc_id", "i", "j")
+    """Whether some file of all has enough of a citation's parts in its name; the SQL beside it only compares the names within an order.
+
+    Never more than two parts are asked for, so parts are looked up singly or as
+    pairs that one file name holds: no citation meets every file.
+    """
+    said = F.concat(F.coalesce(F.concat(N(), F.lit(", ")), F.lit("")), C())
+    rows = cites(spark, sf).select("doc_id", "ord", said.alias("said"))
+    parts = F.array_sort(F.transform(T.search_tokens(F.col("said")), F.lower))
+    texts = rows.select("said").distinct().select("said", parts.alias("parts"))
+    words = texts.select(F.explode("parts").alias("part")).distinct()
+    files = table(spark, sf, "part").where("p_name IS NOT NULL").select(F.lower(F.concat("p_name", F.lit(".pdf"))).alias("file")).distinct()
+    inside = held(words, files).groupBy("file").agg(F.array_sort(F.collect_set("part")).alias("parts"))  # a file name has few parts
+    known = inside.select(F.explode(F.concat(_twice("parts"), _pairs("parts"))).alias("k")).select("k.*").distinct()
+    asked = F.when(F.size("parts") >= 4, _pairs("parts")).otherwise(_twice("parts"))
+    hits = texts.select("said", F.explode(asked).alias("k")).select("said", "k.*").join(known, ["p", "q"], "left_semi").select("said").distinct()
+    return rows.join(hits.withColumn("hit", F.lit(True)), "said", "left").select("doc_id", "ord", F.coalesce("hit", F.lit(False)).alias("found"))
+
+
+#: File names of one gram that meet its parts in one task.
+_FILES_A_BLOCK = 4096
+
+
+def _twice(parts: str) -> Column:
+    return F.transform(parts, lambda x: F.struct(x.alias("p"), x.alias("q")))
+
+
+def _pairs(parts: str) -> Column:
+    """Pairs of a sorted array's members; a member that is there twice makes a pair with itself."""
+    return F.flatten(F.transform(parts, lambda x, i: F.transform(F.slice(parts, i + 2, F.size(parts)), lambda y: F.struct(x.alias("p"), y.alias("q")))))
+
+
+def held(words: DataFrame, files: DataFrame) -> DataFrame:
+    """``(part, file)`` where the file name holds the part (two characters or more), joined on the part's first two or three characters.
+
+    A gram's files are dealt over blocks, so that one in every name spreads over many tasks.
+    """
+
+    def cut(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length("file") - n + 1), lambda i: F.substring("file", i, F.lit(n)))
+
+    grams = files.select("file", F.explode(F.array_distinct(F.concat(cut(2), cut(3)))).alias("gram"))
+    sizes = grams.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / _FILES_A_BLOCK).cast("int").alias("blocks"))
+    dealt = grams.join(sizes, "gram").select("gram", F.pmod(F.xxhash64("file"), "blocks").cast("int").alias("block"), "file")
+    asked = words.select("part", F.substring("part", 1, 3).alias("gram")).join(sizes, "gram")
+    asked = asked.select("part", "gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return asked.join(dealt, ["gram", "block"]).where(F.contains("file", "part")).select("part", "file")
 
 
 @query("prj06_merge", "SELECT doc_id, ord, CASE WHEN p_partkey IS NOT NULL THEN p_name ELSE case_name END AS name FROM w_cites LEFT JOIN (SELECT * FROM part WHERE p_size % 2 = 0) ON p_partkey = page", "w_cites")
