@@ -15,6 +15,11 @@ from lexquarry.llm.common import materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """The rows, written with a key of their own: ids may be null or repeat."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row_key"), *COLUMNS), "rows")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no letter, no text) go; lang becomes the predicted one."""
     found = lang_id.predict(docs, lang_id.fit(docs), carry=("source", "n_chars"))
@@ -30,16 +35,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """One row of each near-duplicate class stays, one with the smallest id (null ids come last, rows that share an id count one by one)."""
+    rows = with_key(docs)
+    classes = near_dedup.near_duplicates(rows, id_col="row_key", words=5, percent=80).select("row_key", "component_id")
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
+    kept = rows.select("row_key", "doc_id").join(classes, "row_key").groupBy("component_id").agg(F.min_by("row_key", first).alias("row_key"))
+    return rows.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+    rows = with_key(docs)
+    leaks = decontaminate.leaks(rows, benchmark, id_col="row_key").select("row_key").distinct()
+    return rows.join(leaks, "row_key", "left_anti").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,3 +20,14 @@ def test_first_occurrence_stays_where_ids_repeat(spark):
     docs = [(0, "the common line"), (0, "the common line")] + [(i, f"the common line\nown {i}") for i in range(1, 12)]
     kept = [r["text"] for r in corpus_pipeline.dedup_lines(spark, table(spark, docs).repartition(1), "").where("doc_id = 0").collect()]
     assert kept == ["the common line"] * 2
+
+
+def test_rows_without_id_stay(spark, tmp_path):
+    item = "Which of the following rivers flows through the largest number of capitals?"
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(None, "a text of its own without any id at all"), (None, "another one, said twice in this table of texts"), (None, "another one, said twice in this table of texts")]
+    docs += [(None, "before " + item + " after"), (3, "a text that has an id and one copy without it"), (None, "a text that has an id and one copy without it")]
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, docs), "")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted({t: (str(d), t) for d, t in reversed(docs)}.values())
+    clean = corpus_pipeline.drop_leaks(spark, kept, str(tmp_path))
+    assert sorted(r["text"] for r in clean.collect()) == sorted({t for _, t in docs if item not in t})
