@@ -40,8 +40,8 @@ SIGNATURE = CHUNKS * WIDTH
 FARTHEST = 26
 BLOCK = 1024
 #: Before a pair is confirmed on its sets, longer signatures are compared: 512 symbols of 4 bits. At similarity 0.8
-#: they differ in 96 symbols, standard deviation 9; candidates differ in at most four deviations more.
-LONG, LONG_FARTHEST = 512, 131
+#: they differ in 96 symbols, standard deviation 9; candidates differ in at most six deviations more (beyond it: 5e-9).
+LONG, LONG_FARTHEST = 512, 149
 #: The ids of documents with candidates are broadcast up to this many (8 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
