@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexquarry.llm.common import map_arrow
-from lexquarry.llm.pieces import PieceCache, ranges
+from lexquarry.llm.pieces import Bytes, PieceCache
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 NEVER = 1 << 40
+#: Memoised fits a worker holds (about 100 bytes each); beyond them it starts anew.
+FITS = 200_000
 
 
 class RankEncoder:
@@ -34,7 +36,7 @@ class RankEncoder:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.token = {r: t for t, r in self.rank.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         self.shorter: dict[int, int] = {}
         #: Of each token, the tokens at its right and left edge as merging builds it up, from a byte to itself.
@@ -53,12 +55,7 @@ class RankEncoder:
         for rank in self.right:
             token = self.token[rank]
             self.shorter[rank] = next((r for k in range(len(token) - 1, 0, -1) if (r := self.rank.get(token[:k])) in self.right), -1)
-        size = max(self.token) + 1
-        self.lengths = np.zeros(size, np.int64)
-        for r, t in self.token.items():
-            self.lengths[r] = len(t)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(self.token.get(r, b"") for r in range(size)), np.uint8)
+        self.bytes = Bytes([self.token.get(r, b"") for r in range(max(self.token) + 1)])
 
     def merged(self, data: bytes, below: int = NEVER) -> list[int]:
         """Plain rank merges of ranks under ``below``: lowest rank first, leftmost of equals."""
@@ -77,10 +74,11 @@ class RankEncoder:
         their ranks; a and b fit unless the two edges would merge with each other
         before one of them grows.
         """
-        known = self.fits.get((a, b))
+        pair = a << 32 | b
+        known = self.fits.get(pair)
         if known is not None:
             return known
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) >= FITS:
             self.fits.clear()
         xs, ys, i, j, known = self.right[a], self.left[b], 0, 0, None
         while known is None:
@@ -95,7 +93,7 @@ class RankEncoder:
                 i += 1
             else:
                 j += 1
-        self.fits[a, b] = known
+        self.fits[pair] = known
         return known
 
     def piece(self, data: bytes) -> list[int]:
@@ -128,24 +126,20 @@ class RankEncoder:
         return [self.piece(x.encode()) for x in pieces]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        lengths = self.lengths[ids]
-        return self.bytes[ranges(self.starts[ids], lengths)].tobytes()
+        return self.bytes.of(ids).tobytes()
 
 
 @functools.cache
 def encoder(path: str) -> tuple[RankEncoder, PieceCache]:
     """One encoder and cache for each Python worker."""
     ranks = RankEncoder(path)
-    return ranks, PieceCache(ranks.encode)
+    return ranks, PieceCache(ranks.encode, ranks.bytes)
 
 
 @functools.cache
-def decimals(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every id in decimals with a blank after it: bytes, starts, lengths."""
-    size = len(encoder(path)[0].lengths)
-    words = [b"%d " % i for i in range(size)]
-    lengths = np.array([len(w) for w in words])
-    return np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths
+def decimals(path: str) -> Bytes:
+    """Every id in decimals with a blank after it."""
+    return Bytes([b"%d " % i for i in range(len(encoder(path)[0].bytes.lengths))])
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -173,19 +167,22 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 
 def encode_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """As ``encode``, but the ids and decoded bytes leave the task as digests only."""
+    """``(id, n_tokens, ids_sha256, decoded_sha256)``: as ``encode``, but ids and decoded bytes leave the task as digests only.
+
+    A null or empty text has no tokens, and digests of nothing. Repeated rows
+    give repeated results, an empty table none; only the two named columns are read.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
         ranks, cache = encoder(path)
-        flat, starts, lengths = decimals(path)
+        words = decimals(path)
         for batch in batches:
             ids, ptr = cache(_texts(batch.column(1)))
             said, back = [], []
             for a, b in zip(ptr, ptr[1:]):
                 own = ids[a:b]
-                text = flat[ranges(starts[own], lengths[own])]
-                said.append(hashlib.sha256(text[:-1].tobytes()).hexdigest())
+                said.append(hashlib.sha256(words.of(own)[:-1].tobytes()).hexdigest())
                 back.append(hashlib.sha256(ranks.decode(own)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(ptr)), pa.array(said, pa.string()), pa.array(back, pa.string())],

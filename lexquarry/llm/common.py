@@ -16,15 +16,17 @@ import shutil
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts may be long, so batches are short.
-BATCH_ROWS = 1000
+#: Bytes of texts and lists that a function over Arrow batches sees at once; a longer row comes alone.
+BATCH_BYTES = 1 << 20
+#: Bytes of one Arrow batch on its way to a Python worker, at most.
+TRANSFER_BYTES = 8 << 20
 
 #: The white space that word and line rules strip: space and 0x09 to 0x0D.
 WHITESPACE = " \t\n\x0b\x0c\r"
@@ -91,14 +93,41 @@ def materialize_buckets(df: DataFrame, name: str, key: str) -> tuple[DataFrame,
     return spark.table(table), drop
 
 
-def arrow_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def row_bytes(column: pa.Array) -> np.ndarray | int:
+    """Bytes of every row of a column of texts, binaries or lists of numbers; 0 for other kinds."""
+    kind = column.type
+    wide = pa.types.is_large_string(kind) or pa.types.is_large_binary(kind) or pa.types.is_large_list(kind)
+    if not (wide or pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_list(kind)):
+        return 0
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.diff(offsets).astype(np.int64) * (8 if pa.types.is_list(kind) or pa.types.is_large_list(kind) else 1)
+
+
+def short_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most BATCH_BYTES, or of one row."""
+    for batch in batches:
+        n = len(batch)
+        upto = np.cumsum(np.zeros(n, np.int64) + sum(row_bytes(c) for c in batch.columns)) if n else np.zeros(0, np.int64)
+        if n == 0 or upto[-1] <= BATCH_BYTES:
+            yield batch
+            continue
+        at = 0
+        while at < n:
+            before = int(upto[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + BATCH_BYTES, "right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    arrow_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    """``mapInArrow`` whose function sees batches bounded in bytes, so that long texts do not mount up in a worker.
+
+    Batches on their way are bounded, too: the session's own bound is lowered where it is wider.
+    """
+    conf, bound = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(bound).rstrip("b")) <= TRANSFER_BYTES:
+        conf.set(bound, str(TRANSFER_BYTES))
+    return df.mapInArrow(lambda batches: function(short_batches(batches)), schema)
 
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

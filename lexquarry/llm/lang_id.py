@@ -6,8 +6,8 @@ numpy by backpropagation through time. A document is cut into segments of SEGMEN
 bytes that are read side by side as one batch, so every byte of every text is
 labelled; its probabilities are the mean over its positions.
 
-Training sees a bounded sample: at most DOCS_PER_LANG documents a language, and
-SEGMENTS_PER_DOC segments of TRAIN_BYTES bytes from each.
+Training sees a bounded sample: at most DOCS_PER_LANG documents of each of at most
+LANGS languages, and SEGMENTS_PER_DOC segments of TRAIN_BYTES bytes from each.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from lexquarry.llm.common import carried, held_out, map_arrow, utf8_buffer
 HIDDEN = 8
 SEGMENT = 128
 DOCS_PER_LANG = 300
+LANGS = 1000
 SEGMENTS_PER_DOC = 4
 TRAIN_BYTES = 64
 STEPS, BATCH, RATE = 240, 192, 0.02
@@ -162,29 +163,41 @@ class Network:
 
 
 def training_segments(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The bounded sample: languages, segments and labels."""
-    keys = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ranked = keys.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANG).select("id", "lang").distinct()
+    """The bounded sample: languages, segments and labels.
+
+    A row is drawn by the hash of its id and text, against twice the share that
+    its language needs; of these few rows the first by hash are taken. So texts
+    are cut where they are read and never shuffled. Rows that repeat id and text
+    count once. The LANGS most frequent languages are learned.
+    """
+    spark = df.sparkSession
+    known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    rates = spark.createDataFrame([(r["lang"], min(1.0, 2 * DOCS_PER_LANG / r["n"])) for r in counts], "lang string, rate double")
+    drawn = known.join(F.broadcast(rates), "lang").where(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.col("rate"))
 
     def cut(batches):
         for batch in batches:
-            data, ptr = utf8_buffer(batch.column(1))
-            langs, parts = [], []
-            for lang, a, b in zip(batch.column(0).to_pylist(), ptr.tolist(), ptr[1:].tolist()):
-                for s in np.unique(np.linspace(a, max(a, b - TRAIN_BYTES), SEGMENTS_PER_DOC).astype(int)):
+            data, ptr = utf8_buffer(batch.column(2))
+            langs, hashes, places, parts = [], [], [], []
+            for lang, h, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ptr.tolist(), ptr[1:].tolist()):
+                for i, s in enumerate(np.unique(np.linspace(a, max(a, b - TRAIN_BYTES), SEGMENTS_PER_DOC).astype(int))):
                     if b > s:
                         langs.append(lang)
+                        hashes.append(h)
+                        places.append(i)
                         parts.append(data[s : min(b, s + TRAIN_BYTES)].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), pa.array(parts, pa.binary())], ["lang", "h", "place", "part"])
 
-    rows = map_arrow(keys.join(ranked, ["id", "lang"], "left_semi").select("lang", "text"), cut, "lang string, part binary").collect()
-    rows = sorted((r["lang"], bytes(r["part"])) for r in rows)
-    langs = sorted({lang for lang, _ in rows})
+    cuts = map_arrow(drawn.select("lang", "h", "text"), cut, "lang string, h long, place int, part binary").dropDuplicates(["lang", "h", "place"])
+    order = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))  # some hundred rows a language
+    rows = cuts.withColumn("k", order).where(F.col("k") <= DOCS_PER_LANG).select("lang", "h", "place", "part").collect()
+    rows = sorted((r["lang"], r["h"], r["place"], bytes(r["part"])) for r in rows)
+    langs = sorted({r[0] for r in rows})
     segments = np.full((len(rows), TRAIN_BYTES), 256, np.int16)
-    for i, (_, part) in enumerate(rows):
+    for i, (*_, part) in enumerate(rows):
         segments[i, : len(part)] = np.frombuffer(part, np.uint8)
-    return langs, segments, np.array([langs.index(lang) for lang, _ in rows], int)
+    return langs, segments, np.array([langs.index(r[0]) for r in rows], int)
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:

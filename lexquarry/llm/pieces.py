@@ -8,12 +8,14 @@ is tested against the pattern itself.
 
 ``PieceCache`` keeps the encoding of pieces that were seen, in flat arrays
 behind an open-addressing table of 64-bit piece hashes. It is emptied when it is
-full, so its memory is bounded whatever the corpus.
+full, so its memory is bounded whatever the corpus. What comes out is decoded and
+compared with what went in, so that no two pieces can pass for each other.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -26,10 +28,6 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 # What may follow an apostrophe as a contraction, in the pattern's order.
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
-_R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
-
-
 @functools.cache
 def classes() -> np.ndarray:
     """Class of every code point."""
@@ -43,18 +41,6 @@ def classes() -> np.ndarray:
     return table
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base, and of its inverse (mod 2**64)."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_R, _R_INVERSE)):
-            _powers[i] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes."""
     h = h ^ (h >> np.uint64(30))
@@ -64,12 +50,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Blocks of a slice that are hashed side by side with those of all others; longer slices are hashed block by block in one sweep.
+SIDE_BY_SIDE = 6
+_PLACE, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
 def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end], all slices at once, from prefix sums."""
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """64-bit hashes of values[start:end], all slices at once.
+
+    A slice is read in blocks of 8 bytes, the last one filled up with zeros. Every
+    block is mixed with its place, and the sum of them with the slice's length.
+    """
+    width = values.dtype.itemsize
+    padded = np.zeros(values.nbytes + 8, np.uint8)
+    padded[:-8] = np.ascontiguousarray(values).view(np.uint8)
+    words = np.ndarray((values.nbytes + 1,), "<u8", padded, strides=(1,))  # the block at every byte
+    at, left = starts * width, (ends - starts) * width
+    total = left.astype(np.uint64) * _LENGTH
+
+    def hashed(at: np.ndarray, left: np.ndarray, nth: np.ndarray) -> np.ndarray:
+        return mix((words[at] & _FIRST_BYTES[np.minimum(left, 8)]) ^ mix(nth.astype(np.uint64) * _PLACE + _LENGTH))
+
+    live = np.arange(len(starts))
+    for nth in range(SIDE_BY_SIDE):
+        keep = left > 0
+        if not keep.all():
+            live, at, left = live[keep], at[keep], left[keep]
+        if not len(live):
+            return mix(total)
+        total[live] += hashed(at, left, np.array([nth]))
+        at, left = at + 8, left - 8
+    keep = left > 0
+    live, at, left = live[keep], at[keep], left[keep]
+    if len(live):
+        blocks = -(-left // 8)
+        nth = ranges(np.zeros(len(live), np.int64), blocks)
+        sums = hashed(np.repeat(at, blocks) + 8 * nth, np.repeat(left, blocks) - 8 * nth, nth + SIDE_BY_SIDE)
+        total[live] += np.add.reduceat(sums, np.cumsum(blocks) - blocks)
+    return mix(total)
 
 
 def code_points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
@@ -127,14 +146,45 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+#: Code points that are split and encoded at once; a longer text goes in parts.
+PART = 1 << 19
+_CUT = regex.compile(r"(?<=\S)\s")
+
+
+def parts_of(text: str, size: int = PART) -> Iterator[str]:
+    """A text in parts of about ``size``, cut before white space that follows a sign: a piece ends there whatever comes after."""
+    at = 0
+    while len(text) - at > size:
+        cut = _CUT.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+class Bytes:
+    """The bytes of every id, gathered by array operations."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        return self.flat[ranges(self.starts[ids], self.lengths[ids])]
+
+
 class PieceCache:
     """Encodings of pieces by hash: ``encode(list of pieces) -> list of id lists`` fills it.
 
-    limit: pieces it holds at most; beyond them it starts anew.
+    limit: pieces it holds at most; beyond them it starts anew. decoder: every
+    id's bytes. If the ids of some texts do not decode to these texts, two pieces
+    share a hash, and all pieces of these texts are encoded without the cache.
     """
 
-    def __init__(self, encode, limit: int = 1_500_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode, decoder: Bytes, limit: int = 500_000):
+        self.encode, self.decoder, self.limit = encode, decoder, limit
         self.bits = (2 * limit - 1).bit_length()
         self.clear()
 
@@ -186,6 +236,16 @@ class PieceCache:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's ids start (and the end)."""
+        if sum(map(len, texts)) <= 2 * PART:
+            return self._together(texts)
+        ids, ptr = [np.zeros(0, np.uint32)], [0]
+        for text in texts:
+            parts = [self._together([part])[0] for part in parts_of(text)]
+            ids += parts
+            ptr.append(ptr[-1] + sum(map(len, parts)))
+        return np.concatenate(ids), np.array(ptr)
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined, points, ptr = code_points(texts)
         starts = split(points, ptr)
         if not len(starts):
@@ -198,7 +258,6 @@ class PieceCache:
             new, where = np.unique(hashes[at < 0], return_index=True)
             where = np.flatnonzero(at < 0)[where]
             if self.count + len(new) > self.limit:
-                self.clear()
                 new, where = np.unique(hashes, return_index=True)
                 self.bits = max(self.bits, (2 * len(new)).bit_length())
                 self.clear()
@@ -206,6 +265,10 @@ class PieceCache:
             at = self.find(hashes)
         lengths = self.lengths[at].astype(np.int64)
         ids = self.ids[ranges(self.starts[at], lengths)]
+        if self.decoder.of(ids).tobytes() != joined.encode():
+            alone = self.encode([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+            lengths = np.fromiter(map(len, alone), np.int64, len(alone))
+            ids = np.fromiter((x for own in alone for x in own), np.uint32, int(lengths.sum()))
         sums = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(lengths, out=sums[1:])
         return ids, sums[np.searchsorted(starts, ptr)]

@@ -48,7 +48,7 @@ def op8_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.kept_digest(line_dedup.line_bitmaps(_table(spark, sf_dir, "documents"), min_docs=10))
+    return line_dedup.kept_digest(_table(spark, sf_dir, "documents"), min_docs=10)
 
 
 def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,17 +73,21 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op9_line_dedup": r"""
-WITH lines AS (
-  SELECT doc_id, pos, line,
+WITH rows AS (
+  SELECT doc_id, coalesce(text, '') AS text, count(*) AS copies, row_number() OVER () AS row_no FROM documents GROUP BY doc_id, coalesce(text, '')
+), lines AS (
+  SELECT row_no, pos, line,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+  FROM (SELECT row_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM rows)
 ), common AS (
-  SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT row_no) >= 10
 ), marked AS (
-  SELECT l.doc_id, l.pos, l.line, c.key IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.key = c.key
+  SELECT l.row_no, l.pos, l.line, c.key IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.key = c.key
+), done AS (
+  SELECT row_no, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+  FROM marked GROUP BY row_no
 )
-SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM done JOIN rows USING (row_no) CROSS JOIN unnest(range(copies)) AS t(copy)
 """,
 }

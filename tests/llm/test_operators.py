@@ -9,7 +9,7 @@ import pytest
 import regex
 import tiktoken
 
-from lexquarry.llm import ann, bpe, decontaminate, kd_shards, lang_id, line_dedup, lm_score, near_dedup, pieces, quality, token_files
+from lexquarry.llm import ann, bpe, decontaminate, kd_shards, lang_id, lm_score, near_dedup, pieces, quality, token_files
 from lexquarry.llm.common import components, utf8_buffer
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "é ñ 中 😀\nx"), (6, "the cat sat on the mat " * 400), (6, "a"), (None, "b c")]
@@ -75,14 +75,6 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 12: 1, 10: 10, 11: 10}
 
 
-def test_line_dedup(spark, odd):
-    docs = [(i, f"own {i}\n  Shared LINE \nshared line\n") for i in range(12)] + [(50, None), (51, ""), (52, "own 1")]
-    rows = line_dedup.line_bitmaps(spark.createDataFrame(docs, KIND), min_docs=10)
-    assert {r["doc_id"]: r["text"] for r in line_dedup.kept_texts(rows).collect()} == {i: f"own {i}\n" for i in range(12)} | {50: None, 51: "", 52: "own 1"}
-    assert line_dedup.kept_digest(line_dedup.line_bitmaps(odd)).count() == len(ODD)
-    assert line_dedup.kept_digest(line_dedup.line_bitmaps(odd.limit(0))).count() == 0
-
-
 def test_shards(spark, odd):
     rng = random.Random(2)
     docs = [(i, "x" * rng.randint(0, 4000) if i % 3 else "copy " * 100, f"s{i % 4}", "en") for i in range(900)]
