@@ -7,29 +7,38 @@ L - q + 1 - q * e of its q-grams with its place in the document, on diagonals
 q-grams are counted in diagonal bands that overlap by half; bands that reach the
 bound are verified by banded alignment, the rest cannot hold the item.
 
-The edit budget is EDIT_SHARE of the item's length. Items are searched in blocks
-of at most BLOCK_BYTES of text, so that what a task holds of the benchmark is
-bounded whatever its size.
+The edit budget is EDIT_SHARE of the item's length. Banded alignment goes by edits:
+with 0, 1, 2, ... edits it finds how far into the item each diagonal of the band
+reaches, so a place with few edits costs little however long the item is. Items
+too short for the lemma are looked up exactly, as whole words.
+
+Items are searched in blocks of at most BLOCK_BYTES of text, so that what a task
+holds of the benchmark is bounded whatever its size.
 """
 
 from __future__ import annotations
 
 import math
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import map_arrow, utf8_buffer
+from lexquarry.llm.common import map_arrow, materialize, utf8_buffer
 from lexquarry.llm.near_dedup import _BLANK, _TO_LOWER
 from lexquarry.llm.pieces import ranges
 
 Q = 8
 EDIT_SHARE = 0.08
-#: Shorter items (normalised bytes) are not searched: they occur by chance.
+#: Shorter items (normalised bytes) are found by exact occurrence only, between blanks or a text's ends.
 MIN_ITEM = 32
+#: Shared q-grams that are expanded at once.
+HITS_AT_ONCE = 1 << 21
 BLOCK_BYTES = 4 << 20
+#: Added to diagonals, so that none is negative.
+DIAGONALS = 1 << 24
 SCHEMA = "id long, item_id long, start int, end int, edits int"
 
 
@@ -60,17 +69,80 @@ def grams(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def reach(pattern: np.ndarray, region: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How far pattern[at:] and region[at + row:] agree from each place on: the first place where they differ, or the pattern's end.
+
+    The region is longer than any place asked for, and ends in a byte that no pattern has.
+    """
+    m, at = len(pattern), at.copy()
+    x = np.ndarray((m + 1,), "<u8", np.concatenate([pattern, np.zeros(8, np.uint8)]), strides=(1,))
+    y = np.ndarray((len(region) + 1,), "<u8", np.concatenate([region, np.full(8, 255, np.uint8)]), strides=(1,))
+    live = np.flatnonzero(at < m)
+    while len(live) > 4:
+        differ = x[at[live]] ^ y[at[live] + row[live]]
+        low = differ & (~differ + np.uint64(1))  # the lowest bit that differs
+        step = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3)
+        at[live] = np.minimum(m, at[live] + step)
+        live = live[(differ == 0) & (at[live] < m)]
+    for i in live.tolist():
+        a, d = int(at[i]), int(row[i])
+        while a < m:
+            b = min(m, a + 4096)
+            differ = np.flatnonzero(pattern[a:b] != region[a + d : b + d])
+            if len(differ):
+                a += int(differ[0])
+                break
+            a = b
+        at[i] = a
+    return at
+
+
+def aligned(pattern: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
+    """Start, end and edits of the pattern's place in the text with the fewest edits, on diagonals low to high; None beyond k edits."""
+    m, size = len(pattern), high - low + 1
+    region = np.full(size + m + 1, 255, np.uint8)  # no byte of UTF-8
+    a, b = max(0, low), min(len(text), low + size + m)
+    if b > a:
+        region[a - low : b - low] = text[a:b]
+    row = np.arange(size)
+    far, origin = reach(pattern, region, np.zeros(size, np.int64), row), row.copy()
+    for edits in range(k + 1):
+        done = np.flatnonzero(far >= m)
+        done = done[low + done + m <= len(text)]
+        if len(done):
+            d = int(done[0])
+            return max(0, low + int(origin[d])), low + d + m, edits
+        if edits == k:
+            return None
+        best, start = np.minimum(far + 1, m), origin  # a byte is replaced
+        gone = np.append(np.minimum(far[1:] + 1, m), -1)  # a byte of the item is missing
+        best, start = np.where(gone > best, gone, best), np.where(gone > best, np.append(origin[1:], 0), start)
+        more = np.append(-1, far[:-1])  # a further byte of the text
+        best, start = np.where(more > best, more, best), np.where(more > best, np.append(0, origin[:-1]), start)
+        far, origin = reach(pattern, region, best, row), start
+    return None
+
+
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items, and an automaton of those too short for them."""
 
     def __init__(self, items: list[tuple[int, bytes]], edit_share: float = EDIT_SHARE):
         self.ids, self.texts = [], []
+        short: dict[bytes, list[int]] = {}
         for item, raw in items:
             data, _, _ = normalise(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
             text = data.tobytes().rstrip(b" ")
             if len(text) >= MIN_ITEM:
                 self.ids.append(item)
                 self.texts.append(text)
+            elif text:
+                short.setdefault(text, []).append(item)
+        self.short = None
+        if short:
+            self.short = ahocorasick.Automaton()
+            for text, own in short.items():
+                self.short.add_word(text.decode("latin-1"), (len(text), own))
+            self.short.make_automaton()
         n = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.minimum((n * edit_share).astype(np.int64), (n - Q) // Q) if len(n) else n
         self.least = n - Q + 1 - Q * self.edits
@@ -93,6 +165,7 @@ class Index:
     def bands(self, data: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, band) triples whose shared q-grams reach the bound."""
         none = (np.zeros(0, np.int64),) * 3
+        data, ptr = data[ptr[0] : ptr[-1]], ptr - ptr[0]
         gram = grams(data)
         at = np.flatnonzero(self.seen[self._slot(gram)])
         if not len(at) or not len(self.gram):
@@ -106,13 +179,20 @@ class Index:
         if not len(at):
             return none
         count = self.count[spot]
-        pick = ranges(self.first[spot], count)
-        item = self.item[pick]
-        diagonal = np.repeat(at - ptr[doc], count) - self.place[pick] + (1 << 24)  # never negative
-        doc = np.repeat(doc, count)
-        band = diagonal // self.width[item]
-        key = (doc * len(self.ids) + item) * np.int64(1 << 34)
-        keys, counts = np.unique(np.concatenate([key + band, key + band - 1]), return_counts=True)  # band b covers the width from b * width, and the next
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        upto = np.cumsum(count)
+        i = 0
+        while i < len(at):  # so many that they fit, whatever repeats in document and item
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + HITS_AT_ONCE, "right")))
+            pick = ranges(self.first[spot[i:j]], count[i:j])
+            item = self.item[pick]
+            diagonal = np.repeat(at[i:j] - ptr[doc[i:j]], count[i:j]) - self.place[pick] + DIAGONALS  # never negative
+            band = diagonal // self.width[item]
+            key = (np.repeat(doc[i:j], count[i:j]) * len(self.ids) + item) * np.int64(1 << 34) + band
+            own, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)  # band b covers the width from b * width, and the next
+            keys, where = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            i = j
         pair = keys >> 34
         item = pair % len(self.ids)
         good = counts >= self.least[item]
@@ -121,36 +201,33 @@ class Index:
     def verify(self, text: np.ndarray, item: int, band: int) -> tuple[int, int, int] | None:
         """Start, end and edits of the item's best place on the band's diagonals, if within the budget."""
         pattern, k, w = self.texts[item], int(self.edits[item]), int(self.width[item])
-        low = band * w - (1 << 24) - k
+        low = band * w - DIAGONALS - k
         high = low + 2 * w + 2 * k
         exact = text[max(0, low) : max(0, high + len(pattern))].tobytes().find(pattern)
         if exact >= 0:
             exact += max(0, low)
             return exact, exact + len(pattern), 0
-        # Costs by diagonal; the text outside is a byte that no item has.
-        size = high - low + 1
-        region = np.full(size + len(pattern), 255, np.int16)
-        a, b = max(0, low), min(len(text), low + len(region))
-        if b > a:
-            region[a - low : b - low] = text[a:b]
-        step = np.arange(size)
-        cost, origin = np.zeros(size, np.int64), step.copy()
-        for i, byte in enumerate(pattern):
-            same = cost * 4096 + origin + 4096 * (region[i : i + size] != byte)
-            skip = np.append(cost[1:] * 4096 + origin[1:] + 4096, np.iinfo(np.int64).max // 2)  # a byte of the item is missing
-            best = np.minimum(same, skip)
-            best = np.minimum.accumulate(best - step * 4096) + step * 4096  # further bytes of the text
-            cost, origin = best >> 12, best & 4095
-        d = int(cost.argmin())
-        if cost[d] > k:
-            return None
-        return int(low + origin[d]), int(low + d + len(pattern)), int(cost[d])
+        return aligned(np.frombuffer(pattern, np.uint8), text, low, high, k)
+
+    def exact_words(self, text: np.ndarray, ptr: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item id, start, end) of each short item's first place in each document; positions in normalised bytes of the document."""
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for doc, (a, b) in enumerate(zip(ptr.tolist(), ptr[1:].tolist())):
+            own = text[a:b].tobytes().decode("latin-1")
+            for last, (n, items) in self.short.iter(own):
+                start, end = last - n + 1, last + 1
+                if (start == 0 or own[start - 1] == " ") and (end == len(own) or own[end] == " "):
+                    for item in items:
+                        found.setdefault((doc, item), (start, end))
+        return [(*pair, *span) for pair, span in found.items()]
 
     def search(self, data: np.ndarray, ptr: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, start, end, edits) of each item's best place in each document; positions in input bytes."""
         text, at, origin = normalise(data, ptr)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for doc, item, band in zip(*(v.tolist() for v in self.bands(text, at))):
+        step = max(1, (1 << 28) // max(1, len(self.ids)))  # documents times items, so that their numbers fit
+        spots = [(i + doc, item, band) for i in range(0, len(at) - 1, step) for doc, item, band in zip(*(v.tolist() for v in self.bands(text, at[i : i + step + 1])))]
+        for doc, item, band in spots:
             known = best.get((doc, item))
             if known and known[0] == 0:
                 continue
@@ -158,10 +235,13 @@ class Index:
             found = self.verify(own, item, band)
             if found and (known is None or found[2] < known[0]):
                 best[doc, item] = (found[2], max(0, found[0]), min(len(own), found[1]))
+        spans = [(doc, self.ids[item], a, b, edits) for (doc, item), (edits, a, b) in best.items()]
+        if self.short is not None:
+            spans += [(*x, 0) for x in self.exact_words(text, at)]
         out = []
-        for (doc, item), (edits, a, b) in sorted(best.items()):
+        for doc, item, a, b, edits in sorted(spans):
             spots = origin[at[doc] : at[doc + 1]] - ptr[doc]
-            out.append((doc, self.ids[item], int(spots[a]), int(spots[b - 1]) + 1, edits))
+            out.append((doc, item, int(spots[a]), int(spots[max(a, b - 1)]) + 1, edits))
         return out
 
 
@@ -169,9 +249,10 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     """Benchmark items found in documents: ``(id, item_id, start, end, edits, contaminated)``.
 
     One row for each document and item with at most ``edit_share`` of the item's
-    bytes edited: its best place, in UTF-8 bytes of the text. Clean documents,
-    null and empty texts have no row; nor have null items and items under
-    MIN_ITEM normalised bytes. Rows that repeat an id or item give repeated rows.
+    bytes edited: its best place, in UTF-8 bytes of the text. Items under MIN_ITEM
+    normalised bytes count where they occur exactly, between blanks or a text's
+    ends. Clean documents, null and empty texts have no row; nor have null items
+    and items without a sign. Rows that repeat an id or item give repeated rows.
     Only the named columns are read. An empty benchmark or table gives no rows.
     """
     items = benchmark.where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("binary").alias("text"))
@@ -191,5 +272,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in cols[0]], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:])], ["id", "item_id", "start", "end", "edits"])
 
         found = map_arrow(docs, run, SCHEMA)
+        if n_blocks > 1:  # so that the driver holds one block's index at a time
+            found = materialize(found, "leaks")
         out = found if out is None else out.union(found)
     return out.withColumnRenamed("id", id_col).withColumn("contaminated", F.lit(True))

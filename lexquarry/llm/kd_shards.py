@@ -6,18 +6,20 @@ sizes in bytes. A median is found by histograms of BINS bins, each an aggregate
 rows that narrows the last one's bin: by the dimension, by the text's hash (twice)
 and by a hash of the row. Copies of a text share their metadata (the least values
 of any copy), so they stay together, but where a third of all bytes are copies of
-one text they are cut where the weight says. The tree's few cuts are all that
-the driver sees.
+one text they are cut where the weight says, even if they are the same row again
+and again. The tree's few cuts are all that the driver sees.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import materialize
+from lexquarry.llm.common import discard, materialize
 
 BINS = 1024
 #: Copies of one text are not cut apart while they weigh at most so much of a leaf.
@@ -43,6 +45,7 @@ def kd_tree(items: DataFrame, dims: list[str], n_leaves: int) -> DataFrame:
     rows = items.withColumn("shard", F.lit(0)).withColumn("k", F.lit(n_leaves))
     bins = [F.least(F.lit(BINS - 1), F.floor((F.col("value") - F.col("low")) / F.col("span") * BINS)).cast("int"), F.floor(F.col("tie") * BINS).cast("int"), F.floor(F.col("tie") * BINS % 1 * BINS).cast("int"), F.floor(F.col("own") * BINS).cast("int")]
     value = F.element_at(F.array(*dims), F.col("dim"))
+    source = items
     while n_leaves > 1:
         live = rows.where("k > 1")
         spans = live.groupBy("shard", "k").agg(F.sum("size").alias("w"), *(f(d).alias(f"{d}_{s}") for d in dims for s, f in (("lo", F.min), ("hi", F.max)))).collect()
@@ -82,7 +85,9 @@ def kd_tree(items: DataFrame, dims: list[str], n_leaves: int) -> DataFrame:
         half = F.floor(F.col("k") / 2).cast("int")
         placed = rows.join(table(), "shard", "left").withColumn("value", value).withColumn("left", F.col("k").eqNullSafe(1) | left)
         placed = placed.withColumn("to", F.when(F.col("left"), F.col("shard")).otherwise(F.col("shard") + half)).withColumn("k", F.when(F.col("k") == 1, 1).when(F.col("left"), half).otherwise(F.col("k") - half))
-        rows = materialize(placed.select(*[c for c in items.columns], F.col("to").alias("shard"), "k"), "shard-level")
+        rows, old = materialize(placed.select(*[c for c in items.columns], F.col("to").alias("shard"), "k"), "shard-level"), source
+        discard(old)
+        source = rows
     return rows.drop("k")
 
 
@@ -94,7 +99,9 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadat
     of a leaf, sets the number of leaves. size is the text's UTF-8 bytes plus 1
     (null: 1), text_crc32 its unsigned CRC (null: 0, as for an empty text), slot
     numbers a shard's rows from 0 without gaps. Repeated rows and ids are rows
-    like others. An empty table gives no rows. Only the named columns are read.
+    like others, told apart by their place in the input, so which of several
+    equal texts go where depends on it. An empty table gives no rows. Only the
+    named columns are read.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     size = F.octet_length(raw).cast("long") + 1
@@ -104,13 +111,19 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadat
         F.crc32(raw).alias("crc"),
         F.log2(size).alias("d0"),
         F.xxhash64(raw).alias("text_hash"),
-        F.xxhash64(id_col, F.lit(7), text_col).alias("own_hash"),
+        F.xxhash64(F.monotonically_increasing_id(), F.col(id_col)).alias("own_hash"),  # written at once, so it stays
         *((unit(F.xxhash64(F.col(c).cast("string"))) * 16).alias(f"m{i + 1}") for i, c in enumerate(metadata)),
     )
     seen = materialize(seen, "shard-rows")
-    groups = seen.groupBy("text_hash").agg(*(F.min(f"m{i + 1}").alias(f"d{i + 1}") for i in range(len(metadata))))
-    joined = seen.join(groups, "text_hash").withColumn("tie", unit(F.col("text_hash"))).withColumn("own", unit(F.col("own_hash")))
-    items = materialize(joined.select("id", "size", "crc", "tie", "own", *(f"d{i}" for i in range(len(metadata) + 1))), "shard-items")
+    # Copies take the least metadata of any; only texts whose copies differ need the join, whose keys Spark can split.
+    names = [f"{i + 1}" for i in range(len(metadata))]
+    least = seen.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), *(f(f"m{i}").alias(f"{s}{i}") for i in names for s, f in (("d", F.min), ("top", F.max))))
+    mixed = [F.col(f"d{i}") < F.col(f"top{i}") for i in names]
+    least = materialize(least.where(functools.reduce(operator.or_, mixed, F.lit(False))).select(F.col("text_hash").alias("of"), *(f"d{i}" for i in names)), "shard-copies")
+    joined = seen.join(least, F.col("text_hash") == F.col("of"), "left").withColumns({f"d{i}": F.coalesce(f"d{i}", f"m{i}") for i in names})
+    joined = joined.withColumn("tie", unit(F.col("text_hash"))).withColumn("own", unit(F.col("own_hash")))
+    items = materialize(joined.select("id", "size", "crc", "tie", "own", "d0", *(f"d{i}" for i in names)), "shard-items")
+    discard(seen, least)
     rows, total = items.agg(F.count(F.lit(1)), F.sum("size")).first()
     leaves = n_shards or max(1, math.ceil((total or 0) / target_bytes))
     placed = kd_tree(items, [f"d{i}" for i in range(len(metadata) + 1)], leaves if rows else 1)

@@ -9,7 +9,7 @@ import pytest
 import regex
 import tiktoken
 
-from lexquarry.llm import ann, bpe, decontaminate, kd_shards, lang_id, lm_score, near_dedup, pieces, quality, token_files
+from lexquarry.llm import ann, bpe, lang_id, lm_score, near_dedup, pieces, quality, token_files
 from lexquarry.llm.common import components, utf8_buffer
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "é ñ 中 😀\nx"), (6, "the cat sat on the mat " * 400), (6, "a"), (None, "b c")]
@@ -75,30 +75,6 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 12: 1, 10: 10, 11: 10}
 
 
-def test_shards(spark, odd):
-    rng = random.Random(2)
-    docs = [(i, "x" * rng.randint(0, 4000) if i % 3 else "copy " * 100, f"s{i % 4}", "en") for i in range(900)]
-    df = spark.createDataFrame(docs, KIND + ", source string, lang string")
-    rows = kd_shards.shard(df, n_shards=8).collect()
-    sizes = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
-    assert len(rows) == 900 and max(sizes) < 1.05 * min(sizes)
-    for s in range(8):
-        own = sorted(r["slot"] for r in rows if r["shard"] == s)
-        assert own == list(range(len(own)))
-    assert kd_shards.shard(odd, metadata=("key",)).count() == len(ODD)
-    assert kd_shards.shard(df.limit(0)).count() == 0
-
-
-def test_leaks(spark):
-    item = "Which of the following rivers flows through the largest number of capitals?"
-    docs = [(1, "before " + item.upper().replace(" ", "\n") + " after"), (2, "Which of the following has nothing to do with it at all, rivers or not"), (3, None), (4, item.replace("rivers", "rivvers")), (5, "")]
-    benchmark = spark.createDataFrame([(7, item), (8, None), (9, "short")], "item_id long, text string")
-    df = spark.createDataFrame(docs, KIND)
-    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.leaks(df, benchmark).collect()} == {(1, 7, 0), (4, 7, 1)}
-    assert decontaminate.leaks(df, benchmark.limit(0)).count() == 0
-    assert decontaminate.leaks(df.limit(0), benchmark).count() == 0
-
-
 def test_language_id(spark):
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choice(["foo", "bar", "baz"] if i % 2 else ["ñandú", "año", "qué"]) for _ in range(20)), "a" if i % 2 else "b") for i in range(120)]
