@@ -2,15 +2,18 @@
 
 Vectors are product-quantised in subspaces of two dimensions with 16 centres (4
 bits). Codes and centres minimise an anisotropic loss: the part of the residual
-that is parallel to the vector weighs PARALLEL times as much as the rest, because
-it is what moves large inner products. A query makes a table of 16 inner products
-a subspace; two tables merge into one of 256, so a scan adds one looked-up number
-for every byte of code. The best of each block are reranked exactly, in double
+that is parallel to the vector weighs more than the rest, because it is what moves
+large inner products. How much more follows from the number of dimensions and the
+cosine THRESHOLD from which on products matter. A query makes a table of 16 inner
+products a subspace; two tables merge into one of 256, so a scan adds one looked-up
+number for every byte of code. The best of the scan are reranked exactly, in double
 precision, on the original vectors.
 
-The quantiser is fitted on at most FIT_ROWS vectors, chosen by a hash of their
-ids; every vector is indexed. Queries meet all vectors in blocks: a task holds one
-block of vectors and one of queries.
+The quantiser is fitted on at most FIT_ROWS vectors, chosen by a hash; every vector
+is encoded once, where it is read. From then on codes travel, not vectors: queries
+meet all codes in blocks, a task holding one block of either, and only the
+candidates that are left meet the original vectors again. Vectors of different
+lengths have no product and are searched apart.
 """
 
 from __future__ import annotations
@@ -20,18 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import materialize
+from lexquarry.llm.common import map_arrow, materialize
 
 FIT_ROWS = 8_000
 SWEEPS = 4
-PARALLEL = 3.0
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
-RERANK = 160
+#: The cosine from which on inner products matter.
+THRESHOLD = 0.2
+#: Codes and queries of one block, at most (on average: they are dealt by hash); and the fewest queries, so that small tables use several tasks.
+BLOCK_ROWS, BLOCK_QUERIES, FEW_QUERIES = 65_536, 8_192, 256
+#: Candidates of a query that are scored exactly.
+RERANK = 400
 
 
 class Quantiser:
     def __init__(self, sample: np.ndarray, seed: int = 3):
         self.dims = sample.shape[1]
+        self.parallel = max(1.0, (self.dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
         self.parts = -(-self.dims // 4) * 2  # an even number, two dimensions each
         x = self._padded(sample)
         rng = np.random.default_rng(seed)
@@ -67,7 +74,7 @@ class Quantiser:
                 r = x[:, m, None] - self.centres[m]
                 dot = (r * unit[:, m, None]).sum(-1)
                 rest = total - along[:, m]
-                codes[:, m] = ((r**2).sum(-1) + (PARALLEL - 1) * (rest[:, None] + dot) ** 2).argmin(1)
+                codes[:, m] = ((r**2).sum(-1) + (self.parallel - 1) * (rest[:, None] + dot) ** 2).argmin(1)
                 along[:, m] = dot[np.arange(len(x)), codes[:, m]]
                 total = rest + along[:, m]
         return codes
@@ -88,8 +95,8 @@ class Quantiser:
                 own = codes[:, m] == c
                 if own.any():
                     u, v = unit[own, m], x[own, m]
-                    a = own.sum() * np.eye(2) + (PARALLEL - 1) * u.T @ u
-                    b = v.sum(0) + (PARALLEL - 1) * (u * (rest[own, m] + (u * v).sum(-1))[:, None]).sum(0)
+                    a = own.sum() * np.eye(2) + (self.parallel - 1) * u.T @ u
+                    b = v.sum(0) + (self.parallel - 1) * (u * (rest[own, m] + (u * v).sum(-1))[:, None]).sum(0)
                     self.centres[m, c] = np.linalg.solve(a, b)
 
     def encode(self, x: np.ndarray) -> np.ndarray:
@@ -110,104 +117,116 @@ class Quantiser:
         return out
 
 
-def block_search(quantiser: Quantiser, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
-    """The k best of one block for each query: query ids, vector ids, exact scores."""
+def rows_of(column: pa.Array, dims: int) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), dims)
+
+
+def scan_block(quantiser: Quantiser, ids: np.ndarray, codes: np.ndarray, q: np.ndarray, keep: int):
+    """For each query, the places of the ``keep`` codes with the largest approximate products (ties to smaller ids), and these products."""
     order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    # Of equal vectors only the k + 1 smallest ids can be among the k best.
-    _, same = np.unique(x, axis=0, return_inverse=True)
-    same = same.reshape(-1)
-    by = np.argsort(same, kind="stable")
-    first = np.append(True, same[by][1:] != same[by][:-1])
-    nth = np.arange(len(by)) - np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
-    keep = np.sort(by[nth <= k])
-    ids, x = ids[keep], x[keep]
-    codes = quantiser.encode(x)
-    wide = x.astype(np.float64)
-    for i in range(0, len(q), 64):
-        guess = quantiser.scan(q[i : i + 64], codes)
-        for j, row in enumerate(guess):
-            own = query_ids[i + j]
-            some = np.arange(len(ids))
-            if len(ids) > RERANK + k:
-                some = np.flatnonzero(row >= np.partition(row, len(row) - RERANK)[len(row) - RERANK])  # with all ties
-            some = some[ids[some] != own]
-            exact = wide[some] @ q[i + j].astype(np.float64)
-            best = np.lexsort((ids[some], -exact))[:k]
-            yield own, ids[some][best], exact[best]
-
-
-def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
+    codes = codes[order]
+    for i in range(0, len(q), 32):
+        for row in quantiser.scan(q[i : i + 32], codes):
+            some = np.arange(len(row))
+            if len(row) > keep:
+                least = np.partition(row, len(row) - keep)[len(row) - keep]
+                some = np.concatenate([np.flatnonzero(row > least), np.flatnonzero(row == least)])[:keep]
+            yield order[some], row[some]
+
+
+def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, rerank: int = RERANK) -> DataFrame:
     """The k nearest of every query among all other ids: ``(query_id, rank, vec_id, score)``.
 
     Nearest is the largest inner product in double precision, ties to the smaller
     id; candidates come from the quantised scan, so a true neighbour may be missed
     (recall is measured in the tests). Vectors that are null or zero, that hold
-    null or non-finite components, or whose id is null take no part, nor do those
-    of another length than most. Rows that repeat an id and vector count once.
-    Fewer candidates than k: all of them. An empty table gives no rows.
+    null or non-finite components, or whose id is null take no part. Vectors of
+    other lengths than the query's are no candidates. Rows that repeat an id and
+    vector count once; rows of one id with different vectors are searched for, and
+    found, each. Fewer candidates than k: all of them. An empty table gives no
+    rows. Only the two named columns are read.
     """
     spark = df.sparkSession
+    component = df.schema[vector_col].dataType.elementType.simpleString()
+    kind = "float" if component == "float" else "double"
 
     def valid(d: DataFrame) -> DataFrame:
         v = F.col("v")
-        d = d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+        d = d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
         finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return d.where("id is not null and v is not null").where(finite & F.exists(v, lambda x: x != 0))
-
-    vectors = valid(df)
-    lengths = vectors.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    kind = "query_id long, rank int, vec_id long, score double"
-    if lengths is None:
-        return spark.createDataFrame([], kind)
-    dims, rows = lengths["d"], lengths["n"]
-    vectors, asked = vectors.where(F.size("v") == dims), valid(queries).where(F.size("v") == dims).dropDuplicates(["id", "v"])
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toPandas()["v"]  # at most FIT_ROWS vectors
+        d = d.where("id is not null and v is not null").where(finite & F.exists(v, lambda x: x != 0))
+        return d.select("id", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), v).alias("g"), "v")  # h and g name the vector
+
+    vectors, asked = valid(df), valid(queries)
+    lengths = vectors.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()  # one row a length
+    out = None
+    for r in lengths:
+        own = F.size("v") == r["d"]
+        found = search_length(vectors.where(own), asked.where(own), r["d"], r["n"], k, rerank)
+        out = found if out is None else out.union(found)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def search_length(vectors: DataFrame, asked: DataFrame, dims: int, n: int, k: int, rerank: int) -> DataFrame:
+    """``search`` among ``n`` vectors of one length; both tables are ``(id, h, g, v)``."""
+    spark = vectors.sparkSession
+    drawn = vectors.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < 2 * FIT_ROWS / n)
+    sample = drawn.orderBy("h", "id").limit(FIT_ROWS).select("v").toPandas()["v"]  # at most FIT_ROWS vectors
+    if not len(sample):
+        sample = vectors.limit(FIT_ROWS).select("v").toPandas()["v"]
     quantiser = Quantiser(np.array(sample.tolist(), np.float64))
-    n_blocks, n_queries = -(-rows // BLOCK_ROWS), -(-max(1, asked.count()) // BLOCK_QUERIES)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select("id", "v", F.lit(0).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), spread(n_queries).alias("part"))
-    right = asked.select("id", "v", F.lit(1).alias("asks"), spread(n_blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int").alias("part"))
-    dealt = left.union(right).repartition(max(1, n_blocks * n_queries), "block", "part").sortWithinPartitions("block", "part", "asks", "id")
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        at = None
-
-        def flush():
-            table = pa.Table.from_batches(held)
-            asks = np.asarray(table["asks"])
-            ids = np.asarray(table["id"])
-            x = np.asarray(table["v"].combine_chunks().flatten()).reshape(len(ids), dims)
-            if not (asks == 1).any() or not (asks == 0).any():
-                return
-            out = [[], [], []]
-            for own, near, score in block_search(quantiser, ids[asks == 0], x[asks == 0], ids[asks == 1], x[asks == 1], k):
-                out[0].append(np.full(len(near), own))
-                out[1].append(near)
-                out[2].append(score)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
 
+    def encode(batches):
         for batch in batches:
-            block, part = np.asarray(batch.column(3)), np.asarray(batch.column(4))
-            cut = np.flatnonzero((block[1:] != block[:-1]) | (part[1:] != part[:-1])) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(block)]):
-                if b > a:
-                    if at is not None and at != (block[a], part[a]):
-                        yield from flush()
-                        held.clear()
-                    at = (block[a], part[a])
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield from flush()
-
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id", "score"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+            codes = quantiser.encode(rows_of(batch.column(3), dims).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "h", "g", "code"])
+
+    codes = map_arrow(vectors, encode, "id long, h long, g long, code binary").groupBy("id", "h", "g").agg(F.first("code").alias("code"))
+    # Of equal vectors only the k + 1 smallest ids can be among the k best.
+    nth = F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))
+    codes = materialize(codes.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"), "codes")
+    wanted = materialize(asked.dropDuplicates(["id", "h", "g"]).select(F.col("id").alias("query_id"), F.col("h").alias("query_h"), "v"), "queries")
+    n_asked = wanted.count()
+    n_blocks = max(1, -(-n // BLOCK_ROWS))
+    size = min(BLOCK_QUERIES, max(FEW_QUERIES, -(-n_asked // (2 * spark.sparkContext.defaultParallelism))))
+    n_parts = max(1, -(-n_asked // size))
+
+    def every(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    left = codes.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("part", every(n_parts))
+    right = wanted.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)).cast("int")).withColumn("block", every(n_blocks))
+
+    def scan(codes: pa.Table, queries: pa.Table) -> pa.Table:
+        ids = np.asarray(codes["id"])
+        places, counts, guesses = [np.zeros(0, np.int64)], [], [np.zeros(0, np.float32)]
+        if len(ids) and len(queries):
+            raw = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            q = rows_of(queries["v"].combine_chunks(), dims).astype(np.float64)
+            for place, guess in scan_block(quantiser, ids, raw, q, rerank + k + 1):
+                places.append(place)
+                guesses.append(guess)
+                counts.append(len(place))
+        place, of = np.concatenate(places), np.repeat(np.arange(len(counts)), counts)
+        own = queries.select(["query_id", "query_h"]).take(pa.array(of, pa.int64()))
+        near = codes.select(["id", "h", "g"]).take(pa.array(place, pa.int64()))
+        return pa.table([*own.columns, *near.columns, pa.array(np.concatenate(guesses).astype(np.float64))], names=["query_id", "query_h", "id", "h", "g", "guess"])
+
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(scan, "query_id long, query_h long, id long, h long, g long, guess double")
+    best = F.row_number().over(Window.partitionBy("query_id", "query_h").orderBy(F.desc("guess"), "id", "h"))
+    found = found.where("id <> query_id").withColumn("nth", best).where(F.col("nth") <= rerank).select("query_id", "query_h", "id", "h", "g")
+    pairs = found.join(vectors.dropDuplicates(["id", "h", "g"]), ["id", "h", "g"]).join(wanted.select("query_id", "query_h", F.col("v").alias("q")), ["query_id", "query_h"])
+
+    def score(batches):
+        for batch in batches:
+            x, q = (rows_of(batch.column(i), dims).astype(np.float64) for i in (3, 4))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.einsum("ij,ij->i", x, q))], ["query_id", "query_h", "vec_id", "score"])
+
+    scored = map_arrow(pairs.select("query_id", "query_h", "id", "v", "q"), score, "query_id long, query_h long, vec_id long, score double")
+    order = F.row_number().over(Window.partitionBy("query_id", "query_h").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(df: DataFrame, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
     """``search`` with every row whose id is divisible by ``every`` as query."""
-    table = materialize(df.select(id_col, vector_col), "vectors")
-    return search(table, table.where(F.col(id_col) % every == 0), id_col, vector_col, k)
+    return search(df, df.where(F.col(id_col) % every == 0), id_col, vector_col, k)

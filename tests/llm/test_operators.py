@@ -9,7 +9,7 @@ import pytest
 import regex
 import tiktoken
 
-from lexquarry.llm import ann, bpe, lang_id, lm_score, near_dedup, pieces, quality, token_files
+from lexquarry.llm import bpe, lang_id, lm_score, near_dedup, pieces, quality, token_files
 from lexquarry.llm.common import components, utf8_buffer
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "é ñ 中 😀\nx"), (6, "the cat sat on the mat " * 400), (6, "a"), (None, "b c")]
@@ -94,20 +94,6 @@ def test_quality(spark, odd):
     assert {r["score"] for r in quality.quality_scores(odd, labels.limit(0)).collect()} == {0.5}
 
 
-def test_ann_recall_and_ties(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(1500, 32)).astype(np.float32)
-    x[200:300] = x[200]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 32), (5040, [float("nan")] * 32)]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas()
-    wide, hit = x.astype(float), 0
-    for q, own in got.groupby("query_id"):
-        score = wide @ wide[q]
-        score[q] = -np.inf
-        hit += len(set(np.lexsort((np.arange(1500), -score))[:20]) & set(own["vec_id"]))
-    assert hit / len(got) >= 0.9 and got["query_id"].nunique() == 75
-
-
 def test_lm_prefers_known_order(spark, odd):
     docs = spark.createDataFrame([(i, "one two three four five six seven " * 30) for i in range(40)], KIND)
     d = docs.select("text")
