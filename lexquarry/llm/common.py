@@ -28,6 +28,9 @@ BATCH_BYTES = 1 << 20
 #: Bytes of one Arrow batch on its way to a Python worker, at most.
 TRANSFER_BYTES = 8 << 20
 
+#: Up to so many edges, what is aggregated from them (16 bytes a node) is broadcast.
+FEW_EDGES = 250_000
+
 #: The white space that word and line rules strip: space and 0x09 to 0x0D.
 WHITESPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -172,8 +175,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``comp`` is the smallest node of the component; only nodes that have an
     edge to another node are returned. Every step is a partial aggregate and an
-    equi-join, so a hub with many neighbours is pre-aggregated and its join
-    partition can be split.
+    equi-join with its result, which is broadcast if it has few rows and else
+    written first, so that Spark can split the join partition of a hub with many
+    neighbours.
     """
     spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -188,11 +192,19 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select(F.col("b").alias("node"), F.col("b").alias("comp"))
             ).distinct()
         seen = now
+        written: list[DataFrame] = []
+
+        def aggregated(df: DataFrame) -> DataFrame:
+            if now[0] <= FEW_EDGES:
+                return F.broadcast(df)
+            written.append(materialize(df, "least"))
+            return written[-1]
+
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = aggregated(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large, old = materialize(large.distinct(), "large"), e
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = aggregated(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         e = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        discard(old, large)
+        discard(old, large, *written)

@@ -18,8 +18,9 @@
    first only the nearest, in the end every candidate. Pairs inside a component
    need no comparing: they can't change it.
 
-A key's nodes are dealt over blocks of BLOCK, so a key that holds a third of all
-nodes spreads over many tasks.
+A key's nodes are dealt over blocks of BLOCK on either side of the comparison, so a
+key that holds a third of all nodes spreads over many tasks, and a task holds two
+blocks of it.
 """
 
 from __future__ import annotations
@@ -38,9 +39,11 @@ CHUNKS, WIDTH, SYMBOL_BITS = 11, 6, 8
 SIGNATURE = CHUNKS * WIDTH
 #: Candidates differ in at most so many symbols: at similarity 0.8, four standard deviations over the mean.
 FARTHEST = 26
-BLOCK = 1024
-#: Before a pair is confirmed on its sets, longer signatures are compared: 512 symbols of 4 bits. At similarity 0.8
-#: they differ in 96 symbols, standard deviation 9; candidates differ in at most six deviations more (beyond it: 5e-9).
+#: Every pair that differs in at most so many symbols shares a key; each of them is compared on its sets.
+PROMISED = 2 * CHUNKS - 1
+BLOCK = 4096
+#: Pairs beyond the promised distance that share a key are confirmed, too, if longer signatures are near: 512 symbols of 4 bits.
+#: At similarity 0.8 they differ in 96 symbols, standard deviation 9; candidates differ in at most six deviations more (beyond it: 5e-9).
 LONG, LONG_FARTHEST = 512, 149
 #: The ids of documents with candidates are broadcast up to this many (8 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
@@ -109,6 +112,16 @@ def long_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(d).sum(-1, dtype=np.int32)
 
 
+def short_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many symbols each signature of x differs from each of y; both are rows of bytes."""
+    wide = [np.pad(v, ((0, 0), (0, -SIGNATURE % 8))).view(np.uint64) for v in (x, y)]
+    d = wide[0][:, None, :] ^ wide[1][None, :, :]
+    for shift in (4, 2, 1):
+        d |= d >> np.uint64(shift)
+    d &= np.uint64(0x0101010101010101)
+    return np.bitwise_count(d).sum(-1, dtype=np.int32)
+
+
 def node_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -176,13 +189,21 @@ def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -
     component, the nearest pair only.
     """
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("key").agg(F.sum("k").alias("total"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    rows = rows.join(mixed.select("key", "main", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")), "key")
+    mixed = sizes.groupBy("key").agg(F.sum("k").alias("total"), F.max("k").alias("most"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    blocks, turns = F.ceil(F.col("total") / BLOCK).cast("int"), F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int")
+    rows = rows.join(mixed.select("key", "main", blocks.alias("blocks"), turns.alias("turns")), "key")
     rows = rows.join(nodes.select("node", "n", "sig", "long"), "node")
-    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    build = rows.select("key", own.alias("block"), F.lit(0).alias("probe"), (F.col("comp") == F.col("main")).alias("inner"), "node", "comp", "n", "sig", "long")
-    probe = rows.where("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe"), F.lit(False).alias("inner"), "node", "comp", "n", "sig", "long")
-    dealt = build.union(probe).repartition("key", "block").sortWithinPartitions("key", "block", "probe", "node")
+
+    def one_of(count: str):
+        return F.pmod(F.xxhash64("node"), count).cast("int")
+
+    def each_of(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    side = ["node", "comp", "n", "sig", "long"]
+    build = rows.select("key", one_of("blocks").alias("block"), each_of("turns").alias("turn"), F.lit(0).alias("probe"), (F.col("comp") == F.col("main")).alias("inner"), *side)
+    probe = rows.where("comp <> main").select("key", each_of("blocks").alias("block"), one_of("turns").alias("turn"), F.lit(1).alias("probe"), F.lit(False).alias("inner"), *side)
+    dealt = build.union(probe).repartition("key", "block", "turn").sortWithinPartitions("key", "block", "turn", "probe", "node")
 
     def group(key: int, cols: list[np.ndarray]):
         probe, inner, node, comp, n, sig, long = cols
@@ -191,7 +212,8 @@ def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -
         for i in range(0, len(p), 64):
             q = p[i : i + 64]
             far = long_distances(long[q], long[b])
-            good = (far <= LONG_FARTHEST) & (comp[q][:, None] != comp[b][None, :])
+            good = (far <= LONG_FARTHEST) | (short_distances(sig[q], sig[b]) <= PROMISED)
+            good &= comp[q][:, None] != comp[b][None, :]
             good &= inner[b][None, :] | (node[q][:, None] < node[b][None, :])  # two probes meet once
             small, large = np.minimum(n[q][:, None], n[b][None, :]), np.maximum(n[q][:, None], n[b][None, :])
             good &= small * 100 >= large * percent
@@ -214,11 +236,14 @@ def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -
     def run(batches):
         held: list[pa.RecordBatch] = []
 
+        def cuts(table: pa.Table) -> np.ndarray:
+            key, block, turn = (np.asarray(table[c]) for c in ("key", "block", "turn"))
+            return np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (turn[1:] != turn[:-1])) + 1
+
         def flush(table: pa.Table):
             if not len(table):
                 return
-            key, block = np.asarray(table["key"]), np.asarray(table["block"])
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            key, cut = np.asarray(table["key"]), cuts(table)
             probe, node, comp, n = (np.asarray(table[c]) for c in ("probe", "node", "comp", "n"))
             inner = np.asarray(table["inner"].combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(table), SIGNATURE)
@@ -238,8 +263,7 @@ def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -
             if sum(map(len, held)) < 4 * BLOCK:
                 continue
             table = pa.Table.from_batches(held)
-            key, block = np.asarray(table["key"]), np.asarray(table["block"])
-            last = int(np.flatnonzero((key != key[-1]) | (block != block[-1])).max(initial=-1)) + 1
+            last = int(cuts(table).max(initial=0))
             yield from flush(table.slice(0, last))
             held = table.slice(last).to_batches()
         if held:

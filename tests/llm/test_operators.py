@@ -46,29 +46,6 @@ def test_token_files_round_trip(spark, odd):
     assert token_files.round_trip(odd.limit(0)).count() == 0
 
 
-def test_near_duplicates_equal_brute_force(spark, odd):
-    rng = random.Random(4)
-    base = [f"w{rng.randrange(500)}" for _ in range(80)]
-    docs = [(100 + i, " ".join(w if rng.random() > 0.03 * (i % 5) else "edit" for w in base)) for i in range(60)]
-    df = spark.createDataFrame(docs, KIND)
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, words=4).collect()}
-    sets = {d: {tuple(t.split()[i : i + 4]) for i in range(77)} for d, t in docs}
-    parent = {d: d for d in sets}
-    for _ in range(60):
-        for a in sets:
-            for b in sets:
-                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                    parent[a] = parent[b] = min(parent[a], parent[b])
-    assert got == parent
-
-
-def test_near_duplicates_of_odd_rows(spark, odd):
-    rows = near_dedup.near_duplicates(odd, words=4).collect()
-    assert len(rows) == len(ODD)
-    assert {r["doc_id"]: r["n_shingles"] for r in rows if r["doc_id"] in (1, 2, 3, 4)} == {1: 0, 2: 0, 3: 0, 4: 1}
-    assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
-
-
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (3, 9), (9, 12), (20, 20)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
