@@ -99,16 +99,21 @@ def _share(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Of normalised names: 0 if one is empty, 1 if equal, 0.8 if one holds the other, else the words' Jaccard."""
+def alike(a: Column, b: Column, words_a: Column, words_b: Column) -> Column:
+    """Of normalised names and their words: 0 if one is empty, 1 if equal, 0.8 if one holds the other, else the words' Jaccard."""
     return (
         F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), F.lit(0.0))
         .when(a == b, F.lit(1.0))
         .when(F.contains(a, b) | F.contains(b, a), F.lit(0.8))
-        .otherwise(_share(words(a), words(b)))
+        .otherwise(_share(words_a, words_b))
     )
 
 
+def name_similarity(a: Column, b: Column) -> Column:
+    """``alike`` of two names whose words are not at hand."""
+    return alike(a, b, words(a), words(b))
+
+
 def word_jaccard(a: Column, b: Column) -> Column:
     x, y = (words(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " ")) for c in (a, b))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(_share(x, y))

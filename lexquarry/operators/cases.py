@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from lexquarry.functions import text as T
 from lexquarry.operators.queries import _GREEDY, _GROUPABLE, _NORM, _PAIRS, ORACLE_SQL, QUERIES, C, N, U, _words, greedy_groups, query, scalar, summary_pairs
-from lexquarry.plans.workload import briefs, cites, derived, table
+from lexquarry.plans.workload import W_CITES, W_SUMMARIES, briefs, cites, derived, table
 
 # Scalars ---------------------------------------------------------------------
 
@@ -23,14 +23,10 @@ _PAGE = "'<h3 class=\"gs_rt\"> <a href=\"x\">' || case_name || '</a></h3> ' || c
 scalar("scl24_json", lambda: F.to_json(F.struct("doc_id", "ord", "citation")), "CAST(to_json({'doc_id': doc_id, 'ord': ord, 'citation': citation}) AS VARCHAR)")
 scalar("set01_shared_words", lambda: F.size(F.array_intersect(T.words(F.coalesce(N(), F.lit(""))), T.words(C()))), f"CAST(len(list_intersect({_words(_NAME)}, {_words('citation')})) AS INT)")
 scalar("prj08_complete", lambda: N().isNotNull() & (U() != ""), "case_name IS NOT NULL AND url <> ''")
-scalar("flt09_denied", lambda: F.col("found") & ~F.contains(F.coalesce(N(), F.lit("")), F.lit("State v. ")), "found AND NOT contains(coalesce(case_name, ''), 'State v. ')")
 scalar("src15_result_title", lambda: F.when(F.contains(F.expr(_PAGE), C()), F.regexp_extract(F.expr(_PAGE), TITLE_PATTERN, 1)), f"CASE WHEN contains({_PAGE}, citation) THEN regexp_extract({_PAGE}, '{TITLE_PATTERN}', 1) END")
 scalar("snk08_badge", lambda: F.format_string("<span class=\"%s\">%s</span>", F.when(F.col("found"), "verified").otherwise("hallucinated"), C()), "'<span class=\"' || CASE WHEN found THEN 'verified' ELSE 'hallucinated' END || '\">' || citation || '</span>'")
 scalar("cls01_verdict", lambda: F.when(~F.col("found"), "hallucination").when(F.coalesce(N(), F.lit("Unknown case")) == "Unknown case", "possible_hallucination").otherwise(F.concat(F.lit("Citation confirmed: "), N(), F.when(U() != "", F.concat(F.lit(" - "), U())).otherwise(""))), "CASE WHEN NOT found THEN 'hallucination' WHEN coalesce(case_name, 'Unknown case') = 'Unknown case' THEN 'possible_hallucination' ELSE 'Citation confirmed: ' || case_name || CASE WHEN url <> '' THEN ' - ' || url ELSE '' END END")
-scalar("cls03_unrecognised", lambda: F.when(F.lit(True), F.lit(0.7)), "CAST(0.7 AS DOUBLE)")
 scalar("cls05_needs_url_and_name", lambda: F.when(~F.col("found"), "not found").when((U() == "") & N().isNull(), "no URL and no name").when(U() == "", "no URL").when(N().isNull() | (F.lower(N()) == "unknown case"), "no name").otherwise("verified"), "CASE WHEN NOT found THEN 'not found' WHEN url = '' AND case_name IS NULL THEN 'no URL and no name' WHEN url = '' THEN 'no URL' WHEN case_name IS NULL OR lower(case_name) = 'unknown case' THEN 'no name' ELSE 'verified' END")
-scalar("cls10_brief_verdict", lambda: F.when(F.col("found") & N().isNull() & (U() == ""), "courtlistener|0.7|true").when(F.col("found"), "courtlistener|0.8|false").when(T.is_westlaw(C()), "westlaw_unverifiable|0.0|").otherwise("api|1.0|true"), r"CASE WHEN found AND case_name IS NULL AND url = '' THEN 'courtlistener|0.7|true' WHEN found THEN 'courtlistener|0.8|false' WHEN regexp_matches(citation, '(\d{4})\s*W\.?\s*L\.?\s*(\d+)') THEN 'westlaw_unverifiable|0.0|' ELSE 'api|1.0|true' END")
-scalar("cls12_summary_source", lambda: F.when(F.col("page") % 3 == 0, "web").when(F.col("found"), "lookup").otherwise("mock"), "CASE WHEN page % 3 = 0 THEN 'web' WHEN found THEN 'lookup' ELSE 'mock' END")
 scalar("cls13_default_citation", lambda: F.coalesce(F.when(F.col("page") % 4 != 0, C()), F.lit("2016 WL 165971")), "coalesce(CASE WHEN page % 4 <> 0 THEN citation END, '2016 WL 165971')")
 
 
@@ -64,19 +60,17 @@ def tfidf_cosine(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(none, T.word_jaccard(a, b)).when(bare, 0.0).otherwise(_cosine(x, y))
 
 
-def _norm_sql(a: str, b: str) -> str:
-    return f"sqrt(list_sum(list_transform(list_distinct({a}), lambda w: pow(len(list_filter({a}, lambda t: t = w)) * CASE WHEN list_contains({b}, w) THEN 1.0 ELSE ln(CAST(1.5 AS DOUBLE)) + 1 END, 2))))"
-
-
-_TFIDF = (
-    "SELECT citation_id, i, j, round(CASE WHEN x = y THEN 1.0 WHEN len(p) = 0 OR len(q) = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, "
-    f"coalesce(list_sum(list_transform(list_intersect(p, q), lambda w: CAST(len(list_filter(p, lambda t: t = w)) * len(list_filter(q, lambda t: t = w)) AS DOUBLE))), 0.0) / ({_norm_sql('p', 'q')} * {_norm_sql('q', 'p')}))) END, 6) AS sim "
-    f"FROM (SELECT *, regexp_extract_all(lower(x), '{_TOKEN}') AS p, regexp_extract_all(lower(y), '{_TOKEN}') AS q FROM ({_PAIRS}))"
-)
+_TFIDF = f"""SELECT p.citation_id, p.i, p.j, round(CASE WHEN p.x = p.y THEN 1.0 WHEN a.norm IS NULL OR b.norm IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, coalesce(d.dot, 0.0) / (a.norm * b.norm))) END, 6) AS sim
+FROM ({_PAIRS}) p LEFT JOIN dots d USING (citation_id, i, j)
+LEFT JOIN norms a ON a.citation_id = p.citation_id AND a.own = p.i AND a.other = p.j LEFT JOIN norms b ON b.citation_id = p.citation_id AND b.own = p.j AND b.other = p.i"""
+_COUNTS = f"""counts AS (SELECT citation_id, iter, w, count(*) AS n FROM (SELECT citation_id, iter, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS w FROM w_summaries) GROUP BY ALL),
+dots AS (SELECT p.citation_id, p.iter AS i, q.iter AS j, CAST(sum(p.n * q.n) AS DOUBLE) AS dot FROM counts p JOIN counts q ON q.citation_id = p.citation_id AND q.w = p.w AND p.iter < q.iter GROUP BY ALL),
+norms AS (SELECT p.citation_id, p.iter AS own, o.iter AS other, sqrt(sum(pow(p.n * CASE WHEN q.w IS NOT NULL THEN 1.0 ELSE ln(CAST(1.5 AS DOUBLE)) + 1 END, 2))) AS norm
+  FROM counts p JOIN (SELECT unnest([0, 1, 2]) AS iter) o ON o.iter <> p.iter LEFT JOIN counts q ON q.citation_id = p.citation_id AND q.iter = o.iter AND q.w = p.w GROUP BY ALL)"""
 _OVERLAP = f"CAST(CASE WHEN greatest(len({_words('lower(x)')}), len({_words('lower(y)')})) = 0 THEN 0.0 ELSE len(list_intersect({_words('lower(x)')}, {_words('lower(y)')})) / greatest(len({_words('lower(x)')}), len({_words('lower(y)')})) END AS DOUBLE)"
 
 
-@query("scl14_tfidf_cosine", _TFIDF, "w_summaries")
+@query("scl14_tfidf_cosine", f"WITH w_summaries AS ({W_SUMMARIES}), {_COUNTS} {_TFIDF}")
 def scl14(spark, sf):
     return summary_pairs(spark, sf).select("citation_id", "i", "j", F.round(tfidf_cosine(F.col("x"), F.col("y")), 6).alias("sim"))
 
@@ -151,12 +145,17 @@ def jon11(spark, sf):
     return QUERIES["agg08_greedy_names"](spark, sf).where("ord <> leader").select("doc_id", "leader", "ord")
 
 
-_PARTS = r"list_filter(regexp_split_to_array(lower(a.case_name), '[^\w\d]+'), lambda w: len(w) >= 2)"
+_FILES = rf"""WITH w_cites AS ({W_CITES}), said AS (SELECT doc_id, ord, coalesce(case_name || ', ', '') || citation AS said FROM w_cites),
+texts AS (SELECT said, list_filter(regexp_split_to_array(lower(said), '[^\w\d]+'), lambda w: len(w) >= 2) AS parts FROM (SELECT DISTINCT said FROM said)),
+files AS (SELECT DISTINCT lower(p_name || '.pdf') AS file FROM part WHERE p_name IS NOT NULL),
+held AS (SELECT part, file FROM (SELECT DISTINCT unnest(parts) AS part FROM texts) w JOIN files ON contains(file, part)),
+hits AS (SELECT DISTINCT said FROM (SELECT t.said, h.file FROM (SELECT said, len(parts) AS n, unnest(parts) AS part FROM texts) t JOIN held h ON h.part = t.part GROUP BY t.said, h.file, t.n HAVING count(*) >= least(2, greatest(1, t.n // 2))))
+SELECT s.doc_id, s.ord, h.said IS NOT NULL AS found FROM said s LEFT JOIN hits h ON h.said = s.said"""
 
 
-@query("jon12_token_overlap", f"SELECT a.doc_id, a.ord AS i, b.ord AS j FROM w_cites a JOIN w_cites b ON a.doc_id = b.doc_id AND a.ord <> b.ord WHERE len(list_filter({_PARTS}, lambda w: contains(lower(b.case_name), w))) >= least(2, greatest(1, len({_PARTS}) // 2))", "w_cites")
+@query("jon12_token_overlap", _FILES)
 def jon12(spark, sf):
-    """Whether some file of all has enough of a citation's parts in its name; the SQL beside it only compares the names within an order.
+    """Whether some file of all has enough of a citation's parts in its name.
 
     Never more than two parts are asked for, so parts are looked up singly or as
     pairs that one file name holds: no citation meets every file.
@@ -280,8 +279,3 @@ def src17(spark, sf, n: int = 10):
     """The n most recent of two courts; n is the feature."""
     own = table(spark, sf, "orders").where(F.col("o_orderstatus").isin("F", "O"))
     return own.select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(n)
-
-
-# The same computation under its other inventory id.
-for _name, _same in (("win02_running_count", "agg13_running_hallucinated"), ("win03_first_match", "jon01_first_match")):
-    QUERIES[_name], ORACLE_SQL[_name] = QUERIES[_same], ORACLE_SQL[_same]

@@ -88,7 +88,6 @@ scalar("scl20_search_tokens", lambda: F.array_join(T.search_tokens(_messy()), "|
 scalar("scl21_denials", lambda: T.denies(F.concat(F.when(F.col("page") % 4 == 0, "Unable to find ").when(F.col("page") % 4 == 1, "There is NO INFORMATION on ").otherwise(""), C())), "page % 4 IN (0, 1)")
 scalar("scl22_percent", lambda: F.floor(F.col("conf") * 100 + 0.5).cast("long"), "CAST(floor(conf * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT)")
 scalar("scl25_backoff", lambda: F.pow(F.lit(2.0), F.col("ord") % 5), "pow(CAST(2 AS DOUBLE), ord % 5)")
-scalar("scl26_summary", lambda: F.concat(F.when(F.col("page") % 3 == 0, "WARNING: CASE VERIFICATION FAILED - INSUFFICIENT DATA\n\n").otherwise(""), F.lit("Case Summary: "), F.coalesce(N(), F.lit("Unknown case name")), F.lit("\n\nCitation: "), C()), "CASE WHEN page % 3 = 0 THEN 'WARNING: CASE VERIFICATION FAILED - INSUFFICIENT DATA' || chr(10) || chr(10) ELSE '' END || 'Case Summary: ' || coalesce(case_name, 'Unknown case name') || chr(10) || chr(10) || 'Citation: ' || citation")
 scalar("src01_allowed_file", lambda: T.allowed_file(F.concat(C(), F.element_at(F.array(F.lit("x.PDF"), F.lit(".docx"), F.lit(".exe"), F.lit("")), (F.col("page") % 4 + 1).cast("int")))), "page % 4 < 2")
 scalar("prj01_grouping_record", lambda: F.concat_ws("|", F.coalesce(N(), F.lit("Unknown Case")), U(), F.coalesce("source", F.lit("Unknown"))), "coalesce(case_name, 'Unknown Case') || '|' || url || '|' || coalesce(source, 'Unknown')")
 scalar("prj05_absolute_url", lambda: T.absolute_url(U(), HOST), f"CASE WHEN url <> '' AND NOT starts_with(url, 'http') THEN '{HOST}' || url ELSE url END")
@@ -159,9 +158,10 @@ def agg11(spark, sf):
 
 @query("scl12_name_similarity", f"SELECT doc_id, i, j, CAST({_sim('x', 'y')} AS DOUBLE) AS sim FROM (SELECT a.doc_id, a.ord AS i, b.ord AS j, {_NORM.format('a.case_name')} AS x, {_NORM.format('b.case_name')} AS y FROM w_cites a JOIN w_cites b ON a.doc_id = b.doc_id AND a.ord < b.ord)", "w_cites")
 def scl12(spark, sf):
-    named = cites(spark, sf).select("doc_id", "ord", T.normalize_case_name(N()).alias("name"))
-    a, b = named.select("doc_id", F.col("ord").alias("i"), F.col("name").alias("x")), named.select("doc_id", F.col("ord").alias("j"), F.col("name").alias("y"))
-    return a.join(b, "doc_id").where("i < j").select("doc_id", "i", "j", F.round(T.name_similarity(F.col("x"), F.col("y")), 6).alias("sim"))
+    name = T.normalize_case_name(N())
+    named = cites(spark, sf).select("doc_id", "ord", name.alias("name"), T.words(name).alias("words"))
+    a, b = (named.select("doc_id", F.col("ord").alias(k), F.col("name").alias(f"name_{k}"), F.col("words").alias(f"words_{k}")) for k in "ij")
+    return a.join(b, "doc_id").where("i < j").select("doc_id", "i", "j", F.round(T.alike(F.col("name_i"), F.col("name_j"), F.col("words_i"), F.col("words_j")), 6).alias("sim"))
 
 
 # Filters ---------------------------------------------------------------------
@@ -177,7 +177,6 @@ filtered("flt03_groupable", lambda: N().isNotNull() & (F.lower(N()) != "unknown
 filtered("flt04_westlaw", lambda: T.is_westlaw(C()), r"regexp_matches(citation, '(\d{4})\s*W\.?\s*L\.?\s*(\d+)')")
 filtered("flt05_not_lexis", lambda: ~F.contains(F.lower(F.concat(C(), F.when(F.col("page") % 4 == 0, " LEXIS").otherwise(""))), F.lit("lexis")), "page % 4 <> 0")
 filtered("flt06_flag", lambda: F.col("found") & (F.col("conf") > 0), "found AND conf > 0")
-filtered("flt07_washington_courts", lambda: F.col("reporter").isin("Wash.", "Wash. 2d", "Wash. App."), "reporter IN ('Wash.', 'Wash. 2d', 'Wash. App.')")
 
 # Joins -----------------------------------------------------------------------
 
@@ -232,14 +231,6 @@ def jon09_missing(spark, sf):
 query("jon10_summary_pairs", f"SELECT citation_id, i, j, x, y FROM ({_PAIRS})", "w_summaries")(lambda spark, sf: summary_pairs(spark, sf))
 
 
-@query("jon13_within_document", "SELECT a.doc_id, a.ord AS i, b.ord AS j FROM w_cites a JOIN w_cites b ON a.doc_id = b.doc_id AND a.ord <> b.ord AND contains(lower(b.citation), lower(a.citation))", "w_cites")
-def jon13(spark, sf):
-    """JON-04's substring match, held to one document's response."""
-    a = cites(spark, sf).select("doc_id", F.col("ord").alias("i"), C().alias("x"))
-    b = cites(spark, sf).select("doc_id", F.col("ord").alias("j"), C().alias("y"))
-    return a.join(b, "doc_id").where((F.col("i") != F.col("j")) & F.contains(F.lower("y"), F.lower("x"))).select("doc_id", "i", "j")
-
-
 # Aggregates ------------------------------------------------------------------
 
 
@@ -287,13 +278,18 @@ def greedy_groups(named: DataFrame, threshold: float = 0.7) -> DataFrame:
     Unnamed rows lead themselves. A document's rows are folded in order; they fit in one row.
     """
     known = F.col("name").isNotNull() & (F.col("name") != "") & (F.col("name") != "unknown case")
-    rows = named.where(known).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("xs"))
+    rows = named.where(known).select("doc_id", F.struct("ord", "name", T.words(F.col("name")).alias("words")).alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
 
     def step(acc, x):
-        leader = F.try_element_at(F.filter(acc, lambda g: (g["ord"] == g["leader"]) & (T.name_similarity(g["name"], x["name"]) >= threshold)), F.lit(1))
-        return F.array_append(acc, F.struct(x["ord"].alias("ord"), F.coalesce(leader["ord"], x["ord"]).alias("leader"), x["name"].alias("name")))
-
-    folded = rows.select("doc_id", F.explode(F.aggregate("xs", F.expr("CAST(array() AS array<struct<ord:int,leader:int,name:string>>)"), step)).alias("g")).select("doc_id", "g.ord", "g.leader")
+        alike = F.filter(acc["leaders"], lambda g: T.alike(g["name"], x["name"], g["words"], x["words"]) >= threshold)
+        own = F.size(alike) == 0
+        leader = F.coalesce(F.try_element_at(alike, F.lit(1))["ord"], x["ord"])
+        return F.struct(F.when(own, F.array_append(acc["leaders"], x)).otherwise(acc["leaders"]).alias("leaders"), F.array_append(acc["places"], leader).alias("places"))
+
+    kind = rows.schema["xs"].dataType.simpleString()
+    none = F.struct(F.array().cast(kind).alias("leaders"), F.array().cast("array<int>").alias("places"))
+    folded = rows.select("doc_id", "xs", F.aggregate("xs", none, step)["places"].alias("places"))
+    folded = folded.select("doc_id", F.explode(F.arrays_zip(F.col("xs.ord").alias("ord"), F.col("places").alias("leader"))).alias("g")).select("doc_id", "g.ord", "g.leader")
     return folded.unionByName(named.where(~F.coalesce(known, F.lit(False))).select("doc_id", "ord", F.col("ord").alias("leader")))
 
 
@@ -319,12 +315,6 @@ def agg13(spark, sf):
     return cites(spark, sf).select("doc_id", "ord", F.sum(F.when(F.col("found"), 0).otherwise(1)).over(w).alias("n"))
 
 
-@query("agg12_missing_fields", "SELECT doc_id, ord, CAST(case_name IS NULL AS INT) + CAST(url = '' AS INT) + CAST(NOT found AS INT) AS missing, CAST(case_name IS NULL AS INT) + CAST(url = '' AS INT) + CAST(NOT found AS INT) >= 2 AS insufficient FROM w_cites", "w_cites")
-def agg12(spark, sf):
-    missing = N().isNull().cast("int") + (U() == "").cast("int") + (~F.col("found")).cast("int")
-    return cites(spark, sf).select("doc_id", "ord", missing.alias("missing"), (missing >= 2).alias("insufficient"))
-
-
 query("agg14_concat_results", "SELECT doc_id, string_agg(citation, ' ' ORDER BY ord) AS summary FROM w_cites GROUP BY doc_id", "w_cites")(lambda spark, sf: cites(spark, sf).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "citation"))), lambda x: x["citation"]), " ").alias("summary")))
 query("agg15_distinct_verified", "SELECT DISTINCT citation FROM w_cites WHERE found", "w_cites")(lambda spark, sf: cites(spark, sf).where("found").select("citation").distinct())
 
@@ -332,18 +322,7 @@ query("agg15_distinct_verified", "SELECT DISTINCT citation FROM w_cites WHERE fo
 
 query("win01_positions", "SELECT doc_id, citation, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS INT) AS k FROM w_cites", "w_cites")(lambda spark, sf: cites(spark, sf).select("doc_id", "citation", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")).alias("k")))
 query("snk01_numbered_list", "SELECT doc_id, ord, ord || '. ' || citation AS line FROM w_cites", "w_cites")(lambda spark, sf: cites(spark, sf).select("doc_id", "ord", F.format_string("%d. %s", "ord", "citation").alias("line")))
-query("srt01_best_hit", "SELECT citation, max(conf) AS conf FROM w_cites GROUP BY citation", "w_cites")(lambda spark, sf: cites(spark, sf).groupBy("citation").agg(F.max("conf").alias("conf")))
 query("srt02_most_recent", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")(lambda spark, sf: table(spark, sf, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(10))
 query("srt03_first_three", "SELECT doc_id, ord, citation FROM w_cites WHERE ord <= 3", "w_cites")(lambda spark, sf: cites(spark, sf).where("ord <= 3").select("doc_id", "ord", "citation"))
-query("set02_union_distinct", "SELECT citation FROM w_cites WHERE page % 2 = 0 UNION SELECT citation FROM w_cites WHERE page % 3 = 0", "w_cites")(lambda spark, sf: cites(spark, sf).where("page % 2 = 0").select("citation").union(cites(spark, sf).where("page % 3 = 0").select("citation")).distinct())
-query("set03_difference", f"SELECT doc_id, ord FROM w_cites WHERE NOT coalesce({_GROUPABLE}, false)", "w_cites")(lambda spark, sf: cites(spark, sf).select("doc_id", "ord").join(cites(spark, sf).where(_GROUPABLE).select("doc_id", "ord"), ["doc_id", "ord"], "left_anti"))
-
-# Streams ---------------------------------------------------------------------
-
-
-@query("str02_latest_state", "SELECT user_id, max(event_id) AS seq, max_by(event_type, event_id) AS status, bool_or(event_type = 'purchase') AS completed FROM events GROUP BY user_id")
-def str02(spark, sf):
-    """Latest state of each id, from the event table read as a stream."""
-    from lexquarry.streaming.progress import drain, latest_state
-
-    return drain(latest_state(spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")), "complete")
+query("set02_union_distinct", "SELECT citation FROM w_cites WHERE page % 2 = 0 UNION SELECT citation FROM w_cites WHERE page % 3 = 0", "w_cites")(lambda spark, sf: cites(spark, sf).where("page % 2 = 0 OR page % 3 = 0").select("citation").distinct())
+query("set03_difference", f"SELECT doc_id, ord FROM w_cites EXCEPT SELECT doc_id, ord FROM w_cites WHERE {_GROUPABLE}", "w_cites")(lambda spark, sf: cites(spark, sf).where(~F.coalesce(F.expr(_GROUPABLE), F.lit(False))).select("doc_id", "ord"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 W_CITES = """
-SELECT doc_id, ord, volume, reporter, page, volume || ' ' || reporter || ' ' || page AS citation, case_name, url, found, source, conf, supp
+SELECT doc_id, ord, volume, reporter, page, volume || ' ' || reporter || ' ' || page AS citation, case_name, url, found, source, conf, supp, court, date_filed, docket_number
 FROM (
   SELECT l_orderkey AS doc_id, CAST(ord AS INT) AS ord, l_partkey AS page, l_suppkey AS supp,
     CASE WHEN l_partkey % 8 = 5 THEN 1990 + l_suppkey % 35 ELSE 1 + l_suppkey END AS volume,
@@ -18,7 +18,10 @@ FROM (
     CASE WHEN l_partkey % 5 = 0 THEN '' ELSE '/opinion/' || (l_partkey % 50) || '/' END AS url,
     l_partkey % 7 <> 0 AS found,
     CASE l_suppkey % 3 WHEN 0 THEN 'citation_api' WHEN 1 THEN 'search_api' ELSE 'scholar' END AS source,
-    CAST(l_partkey % 10 AS DOUBLE) / 10 AS conf
+    CAST(l_partkey % 10 AS DOUBLE) / 10 AS conf,
+    CASE WHEN l_suppkey % 4 = 0 THEN 'Unknown court' WHEN l_partkey % 8 = 6 THEN 'wash' ELSE 'scotus' END AS court,
+    CASE WHEN l_partkey % 3 = 0 THEN 'Unknown date' ELSE '' || CAST(l_shipdate AS DATE) END AS date_filed,
+    CASE WHEN l_suppkey % 3 = 0 THEN 'Unknown docket number' ELSE l_orderkey || '-' || l_linenumber END AS docket_number
   FROM (
     SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) AS ord
     FROM lineitem
@@ -49,13 +52,47 @@ UNION ALL SELECT DISTINCT 4, 'web_search', citation, 'W' || page FROM w_cites WH
 UNION ALL SELECT DISTINCT 5, 'scholar', citation, 'G' || page FROM w_cites WHERE page % 11 = 0
 """
 
-#: Three summaries an id as DuckDB's side states them: characters 1-120, 21-140 and 41-160. Spark's side is ``summaries``, over whole texts.
-W_SUMMARIES = """
-SELECT doc_id AS citation_id, iter, substr(text, 1 + 20 * iter, 120) AS text FROM documents CROSS JOIN (SELECT 0 AS iter UNION ALL SELECT 1 AS iter UNION ALL SELECT 2 AS iter) i
-WHERE text IS NOT NULL
+#: Three summaries an id that together hold the whole text: the words at places 0, 3, 6 ..., 1, 4, 7 ... and 2, 5, 8 ... (DuckDB's side; Spark's is ``summaries``).
+W_SUMMARIES = r"""
+SELECT citation_id, iter, array_to_string(list_filter(words, lambda w, k: (k - 1) % 3 = iter), ' ') AS text
+FROM (SELECT doc_id AS citation_id, list_filter(regexp_split_to_array(text, '[\t-\r\x{85}\p{Z}]+'), lambda w: w <> '') AS words FROM documents WHERE text IS NOT NULL)
+CROSS JOIN (SELECT 0 AS iter UNION ALL SELECT 1 AS iter UNION ALL SELECT 2 AS iter) i
 """
 
-CTES = {"w_cites": W_CITES, "w_briefs": W_BRIEFS, "w_mirror": W_MIRROR, "w_sources": W_SOURCES, "w_summaries": W_SUMMARIES}
+#: The five fields of a case record, any of which may be unknown.
+W_RECORDS = """
+SELECT doc_id, ord, page, reporter, url, found, coalesce(case_name, 'Unknown case name') AS case_name, court, date_filed, docket_number,
+  CASE WHEN page % 6 = 0 THEN 'Unknown citation' ELSE citation END AS citation
+FROM w_cites
+"""
+
+#: Three search hits of each citation, of several courts; equal scores occur.
+W_HITS = """
+SELECT citation, reporter, page * 3 + k AS hit_id, CAST((page * 7 + k * 13) % 5 AS DOUBLE) / 4 AS score,
+  CASE (page + k) % 6 WHEN 0 THEN 'wash' WHEN 1 THEN 'scotus' WHEN 2 THEN 'washctapp' WHEN 3 THEN 'ca9' WHEN 4 THEN 'washag' ELSE 'nysd' END AS court,
+  'Hit ' || k || ' of ' || page AS case_name, '/opinion/' || page || '/' || k || '/' AS absolute_url
+FROM (SELECT DISTINCT citation, reporter, page FROM w_cites WHERE page % 7 <> 3) c CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) three
+"""
+
+#: What the lookup answered for each brief: a list, an object with citations, or something else.
+W_ANSWERS = """
+SELECT doc_id, ord, citation, found, CASE doc_id % 5 WHEN 0 THEN '[{"citation": "' || citation || '"}]' WHEN 1 THEN '{"citations": {"a": 1}}'
+  WHEN 2 THEN '{"detail": "Request was throttled."}' WHEN 3 THEN 'Service unavailable' ELSE '[]' END AS answer
+FROM w_cites
+"""
+
+#: Items of the lookup's answer to each brief, some of which hold a citation within other words.
+W_ITEMS = """
+SELECT doc_id, ord AS item_ord, CASE WHEN ord % 2 = 0 THEN 'See ' || upper(citation) || ', at 5' ELSE citation END AS item, case_name FROM w_cites WHERE page % 9 <> 0
+"""
+
+#: Cases as a lookup returns them: some fields missing, and the parts of each citation of the case.
+W_CLUSTERS = """
+SELECT page AS id, max(CASE WHEN court <> 'Unknown court' THEN court END) AS court, max(CASE WHEN date_filed <> 'Unknown date' THEN date_filed END) AS date_filed, volume, reporter
+FROM w_cites WHERE found GROUP BY page, volume, reporter
+"""
+
+CTES = {"w_cites": W_CITES, "w_briefs": W_BRIEFS, "w_mirror": W_MIRROR, "w_sources": W_SOURCES, "w_summaries": W_SUMMARIES, "w_records": W_RECORDS, "w_hits": W_HITS, "w_answers": W_ANSWERS, "w_items": W_ITEMS, "w_clusters": W_CLUSTERS}
 
 
 def oracle(body: str, *names: str) -> str:
@@ -92,8 +129,19 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("citation_id", "iter", F.array_join(F.filter("words", lambda w, k: k % 3 == F.col("iter")), " ").alias("text"))
 
 
+#: Priority, name, divisor of the page and letter of each source of ``W_SOURCES``.
+SOURCES = [(1, "citation_api", 2, "C"), (2, "search_api", 3, "S"), (3, "cluster_api", 5, "K"), (4, "web_search", 7, "W"), (5, "scholar", 11, "G")]
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``W_SOURCES`` in one pass over the citations."""
+    known = cites(spark, sf_dir).select("citation", "page").distinct()
+    rows = F.array(*(F.when(F.col("page") % d == 0, F.struct(F.lit(k).alias("priority"), F.lit(name).alias("source"), F.concat(F.lit(letter), F.col("page").cast("string")).alias("name"))) for k, name, d, letter in SOURCES))
+    return known.select("citation", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.priority", "r.source", "citation", "r.name")
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if name == "w_summaries":
-        return summaries(spark, sf_dir)
-    query = CTES[name].replace("FROM w_cites", "FROM {w_cites}")
+    if name in ("w_summaries", "w_sources"):
+        return (summaries if name == "w_summaries" else sources)(spark, sf_dir)
+    query = CTES[name].replace("{", "{{").replace("}", "}}").replace("FROM w_cites", "FROM {w_cites}")
     return spark.sql(query, w_cites=cites(spark, sf_dir))

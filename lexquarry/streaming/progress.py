@@ -1,30 +1,119 @@
-"""Progress events as streams."""
+"""Progress events as streams.
+
+An event table stands for the log: ``user_id`` is the analysis, ``event_id`` the
+order, ``event_type`` the status (``signup`` starts an analysis, ``purchase``
+completes it). Sinks are Parquet or JSON files in the shared folder with their
+checkpoints beside them, so a stream goes on where it stopped and no result
+passes through the driver.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from lexquarry.sources.store import new_path
+
+STARTED, COMPLETE, ERROR = "signup", "purchase", "error"
+#: The steps of an analysis: started, text extracted, citations extracted, lookup asked.
+STEPS = {"signup": 0, "view": 1, "click": 2, "purchase": 3}
+#: Fixed value: seconds that a completed analysis is kept.
+KEPT_SECONDS = 300
 
 
 def latest_state(events: DataFrame) -> DataFrame:
     """Of each id: its last event's number and type, and whether it has completed."""
     last = F.max_by("event_type", "event_id").alias("status")
-    return events.groupBy("user_id").agg(F.max("event_id").alias("seq"), last, F.bool_or(F.col("event_type") == "purchase").alias("completed"))
+    return events.groupBy("user_id").agg(F.max("event_id").alias("seq"), last, F.bool_or(F.col("event_type") == COMPLETE).alias("completed"))
 
 
 def running_windows(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Counts by event time and type; events later than the watermark are passed over (an extension)."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def step(status: Column) -> Column:
+    """The step that an event reports; null for events that report none."""
+    out = F.lit(None).cast("int")
+    for name, n in STEPS.items():
+        out = F.when(status == name, n).otherwise(out)
+    return out
+
+
+def furthest_step(events: DataFrame) -> DataFrame:
+    """The furthest step of each id."""
+    return events.groupBy("user_id").agg(F.max(step(F.col("event_type"))).alias("progress"))
+
+
+def completion(events: DataFrame) -> DataFrame:
+    """When each id completed first, if it did, and its events so far."""
+    return events.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == COMPLETE, F.col("ts"))).alias("completed_at"), F.count(F.lit(1)).alias("n"))
+
+
+def unexpired(states: DataFrame, now: Column, seconds: int = KEPT_SECONDS) -> DataFrame:
+    """States of ``completion`` that are still kept at a time: those that have not completed, or not so long ago."""
+    return states.where(F.col("completed_at").isNull() | (F.col("completed_at") + F.make_interval(secs=F.lit(seconds)) > now))
+
+
+def append(stream: DataFrame, path: str, kind: str = "parquet", by: list[str] | None = None) -> None:
+    """Add what the stream's source holds now, and has not delivered before, to the files of a sink."""
+    writer = stream.writeStream.format(kind).outputMode("append").option("path", path).option("checkpointLocation", f"{path}.checkpoint")
+    (writer.partitionBy(*by) if by else writer).trigger(availableNow=True).start().awaitTermination()
+
+
+def each_batch(stream: DataFrame, path: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Hand each batch of new rows to ``write``; a batch that is repeated after a failure has the same number."""
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}.checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that its source holds now, and return the sink's table."""
+    """Run a stream over all that its source holds now, and return the sink's table: appended rows, or the complete result."""
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-lexquarry-")
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/lexquarry/{name}")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    path = new_path(spark, "stream")
+    if mode == "append":
+        append(stream, path)
+    else:
+        each_batch(stream, path, lambda batch, _: batch.write.mode("overwrite").parquet(path), mode)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def numbered(events: DataFrame, path: str) -> DataFrame:
+    """Events with their number ``n`` within their id, counted on over batches, as files under ``path``.
+
+    Each batch is a folder of its own, so that repeating it changes nothing. An
+    id's earlier events are counted from the folders of earlier batches.
+    """
+    spark = events.sparkSession
+    schema = StructType(events.schema.fields).add("n", "long")
+
+    def write(batch: DataFrame, number: int) -> None:
+        nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+        own = batch.withColumn("n", nth.cast("long"))
+        if number:
+            before = spark.read.schema(schema).parquet(*(f"{path}/batch={i}" for i in range(number))).groupBy("user_id").agg(F.count(F.lit(1)).alias("before"))
+            own = own.join(before, "user_id", "left").withColumn("n", F.col("n") + F.coalesce("before", F.lit(0))).select(*batch.columns, "n")
+        own.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    each_batch(events, path, write)
+    return spark.read.schema(schema).parquet(path).drop("batch")
+
+
+def event_name(id_: Column, status: Column, n: Column) -> Column:
+    """The name under which an event is kept."""
+    return F.concat(F.lit("event_"), id_.cast("string"), F.lit("_"), status, F.lit("_"), n.cast("string"), F.lit(".json"))
+
+
+def event_files(spark: SparkSession, events: DataFrame, path: str) -> DataFrame:
+    """Events as JSON lines under ``path``, a folder for each status, each with the name of its event; returned reread."""
+    named = numbered(events, f"{path}-numbered").withColumn("name", event_name(F.col("user_id"), F.col("event_type"), F.col("n")))
+    named.write.mode("overwrite").partitionBy("event_type").json(path)
+    return spark.read.schema(named.schema).json(path)
+
+
+def incremental_results(events: DataFrame) -> DataFrame:
+    """Messages as they come: a result of each event, or the error of one, which ends nothing."""
+    failed = F.col("event_type") == ERROR
+    return events.select("user_id", "event_id", F.when(failed, "error").when(F.col("event_type") == COMPLETE, "complete").otherwise("result").alias("status"), F.when(~failed, F.get_json_object("props", "$.k").cast("int")).alias("result"), F.when(failed, F.concat(F.lit("Error processing citation "), F.col("event_id").cast("string"))).alias("error"))
