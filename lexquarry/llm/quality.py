@@ -61,7 +61,7 @@ def statistics(data: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     line_edge = (data == 10) | edge[1:]
     line_ends = np.flatnonzero(line_edge)
     line_starts = np.concatenate([[0], line_ends[:-1] + 1]) if len(line_ends) else np.zeros(0, int)
-    lines = slice_hashes(data, line_starts, line_ends)
+    lines = slice_hashes(data, line_starts, line_ends + (data[line_ends] != 10))  # a text's last line may have no line break
     line_at = np.searchsorted(line_starts, ptr)
     for i in range(n):
         a, b = ptr[i], ptr[i + 1]
@@ -163,7 +163,9 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     stats = materialize(document_statistics(df, id_col, text_col), "statistics")
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    sample = known.orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE_ROWS)
+    n = known.count()
+    drawn = known.where(F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53) < 1.2 * SAMPLE_ROWS / max(1, n))  # so that only about as many rows are sorted
+    sample = drawn.orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE_ROWS)
     rows = stats.join(F.broadcast(sample), "id").orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE_ROWS).select("y", "x").toPandas()  # at most SAMPLE_ROWS of some 100 bytes
     x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), len(STATISTICS))
     forest = grow(x, rows["y"].to_numpy(float))

@@ -9,7 +9,7 @@ import pytest
 import regex
 import tiktoken
 
-from lexquarry.llm import bpe, lang_id, lm_score, near_dedup, pieces, quality, token_files
+from lexquarry.llm import bpe, lang_id, lm_score, near_dedup, pieces, token_files
 from lexquarry.llm.common import components, utf8_buffer
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "é ñ 中 😀\nx"), (6, "the cat sat on the mat " * 400), (6, "a"), (None, "b c")]
@@ -61,16 +61,6 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in lang_id.predict(df, lang_id.fit(df.limit(0))).collect()} == {"und"}
 
 
-def test_quality(spark, odd):
-    rng = random.Random(5)
-    docs = [(i, " ".join(rng.choice(["foo", "bar"]) + ("###" if i % 2 else "") for _ in range(30))) for i in range(200)]
-    df = spark.createDataFrame([*docs, (900, None), (901, "")], KIND)
-    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)] + [(None, 1), (5, None)], "doc_id long, quality int")
-    got = {r["doc_id"]: r["predicted"] for r in quality.quality_scores(df, labels).collect()}
-    assert all(got[i] == 1 - i % 2 for i in range(200)) and 900 in got
-    assert {r["score"] for r in quality.quality_scores(odd, labels.limit(0)).collect()} == {0.5}
-
-
 def test_lm_prefers_known_order(spark, odd):
     docs = spark.createDataFrame([(i, "one two three four five six seven " * 30) for i in range(40)], KIND)
     d = docs.select("text")
