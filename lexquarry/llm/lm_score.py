@@ -1,49 +1,48 @@
-"""Masked pseudo-likelihood scores from a bidirectional window network and counts of the corpus.
+"""Masked pseudo-likelihood scores from a bidirectional window network.
 
 Tokens are words (runs without white space, A-Z lower-cased), told apart by 64-bit
 hashes. Three passes, all over the whole corpus:
 
-1. Counts of every word and every pair of neighbouring words. Each batch of texts
-   asks for its distinct keys, dealt over parts by key; a part adds them up and
-   answers each batch. So what is gathered grows with the corpus, and no task
-   holds more than one part or one batch. Words of like frequency form CLASSES
-   classes of about equal mass.
+1. Counts: every block of documents gives its distinct words with their counts as
+   rows of a table, and Spark adds them up by word. The table of all words grows
+   with the corpus and stays distributed. The HEAD most frequent words, and TAILS
+   sets of all others (by hash), are the leaves of a binary tree, split at equal
+   mass, so that frequent words have short paths.
 2. Training: every task trains the network on all tokens of its share, in numpy,
-   from one start; the networks are averaged, weighted by their tokens.
-3. Scoring: the network predicts every token's class from the SIDE words before
-   and after it, with the token itself masked, and the word's count gives it within
-   the class. This is mixed with the word's shares of what the corpus has after
-   the word before and before the word after, less the token's own occurrence if
-   it is of the corpus. A document's score is the sum of log-probabilities.
+   from one start; the networks are averaged, weighted by their tokens. From the
+   SIDE words before and after a token, with the token itself masked, the network
+   predicts which way its path turns at every node: a softmax over all leaves,
+   word by word.
+3. Scoring: a frequent word's probability is its path's. A rarer word's is its
+   set's, times its share of the set by the corpus counts, less what its own
+   document holds of it. A document's score is the sum of log-probabilities.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.common import discard, map_arrow, materialize, utf8_buffer
 from lexquarry.llm.near_dedup import _BLANK, _TO_LOWER
-from lexquarry.llm.pieces import mix, slice_hashes
+from lexquarry.llm.pieces import slice_hashes
 
-CLASSES = 64
-INPUTS = 2048  # buckets that the input side tells apart
-HIDDEN = 16
+#: Words that are leaves of their own, and leaves of all other words. As input, other words are told apart by as many buckets.
+HEAD, TAILS = 16_384, 256
+HIDDEN = 12
 SIDE = 2
 BATCH = 2048
 RATE = 0.1
+#: Occurrences that every word of a tail leaf has besides those counted.
+SMOOTH = 0.5
 #: Values of the averaged network that travel as one row.
-CHUNK = 4096
-#: Text bytes whose keys are added up by one part, and the fewest parts.
-PART_BYTES, PARTS = 24 << 20, 32
-#: Words of one count are told apart in so many cells, so that a count's many words spread over classes.
-CELLS = 32
-#: Weight of either neighbour's shares, and the occurrences at which a neighbour has half of it.
-PAIR_WEIGHT, PAIR_HALF = 0.35, 4
-_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+CHUNK = 8192
+#: Text bytes of one block of documents.
+GROUP_BYTES = 16 << 20
+#: Words of a block whose distinct ones are found at once.
+WORDS_AT_ONCE = 3_000_000
 
 
 def tokens(data: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,42 +59,62 @@ def tokens(data: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slice_hashes(_TO_LOWER[data], starts, ends), np.searchsorted(starts, ptr)
 
 
-def keys_of(words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all words (even) and then of all neighbours of one text (odd), and each pair's first word."""
-    last = np.zeros(len(words) + 1, bool)
-    last[ptr] = True
-    first = np.flatnonzero(~last[1:]) if len(words) else np.zeros(0, np.int64)
-    pairs = mix(words[first] * _LEFT + words[np.minimum(first + 1, len(words) - 1)] * _RIGHT) | np.uint64(1) if len(first) else np.zeros(0, np.uint64)
-    return np.concatenate([words & ~np.uint64(1), pairs]), first
+def signed(words: np.ndarray) -> np.ndarray:
+    return words.view(np.int64)
 
 
-def bucket(words: np.ndarray) -> np.ndarray:
-    return ((words >> np.uint64(1)) & np.uint64(0xFFFF)).astype(np.uint16)
+# Vocabulary and tree ----------------------------------------------------------
 
 
-def planes(values: np.ndarray) -> bytes:
-    """64-bit integers byte by byte, so that their zeros compress."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
-
-
-def pack(keys: np.ndarray) -> bytes:
-    """The low 48 bits; a part's keys are told apart by them."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+class Vocabulary:
+    """Leaves of words, and each leaf's path: nodes, and turns (+1 or -1).
 
+    head: hashes of the frequent words; mass: occurrences of each of them, then of
+    the tail leaves; types: different words of each tail leaf.
+    """
 
-def unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
+    def __init__(self, head: np.ndarray, mass: np.ndarray, types: np.ndarray):
+        order = np.argsort(head)
+        self.words, self.leaf_of = head[order], order.astype(np.int32)
+        self.n_head, self.tails = len(head), len(types)
+        self.leaves = self.n_head + self.tails
+        self.tail_mass, self.tail_types = mass[self.n_head :].astype(float), types.astype(float)
+        self._grow(np.maximum(mass, 0.5))
+
+    def _grow(self, mass: np.ndarray) -> None:
+        by = np.argsort(-mass, kind="stable")
+        upto = np.concatenate([[0.0], np.cumsum(mass[by])])
+        paths: list[list[tuple[int, int]]] = [[] for _ in range(len(by))]
+        stack, nodes, prior = [(0, len(by), [])], 0, []
+        while stack:
+            a, b, path = stack.pop()
+            if b - a == 1:
+                paths[by[a]] = path
+                continue
+            cut = int(np.searchsorted(upto, (upto[a] + upto[b]) / 2))
+            cut = min(b - 1, max(a + 1, cut))
+            node, nodes = nodes, nodes + 1
+            prior.append(np.log((upto[cut] - upto[a]) / (upto[b] - upto[cut])))
+            stack += [(a, cut, [*path, (node, 1)]), (cut, b, [*path, (node, -1)])]
+        self.nodes, self.prior = nodes, np.array(prior, np.float32)  # log odds of each node's turns without any context
+        self.depth = np.array([len(p) for p in paths], np.int64)
+        self.first = np.cumsum(self.depth) - self.depth
+        self.path = np.array([n for p in paths for n, _ in p], np.int32)
+        self.turn = np.array([t for p in paths for _, t in p], np.float32)
+
+    def place(self, words: np.ndarray) -> np.ndarray:
+        """Leaf of every word."""
+        out = (self.n_head + (words >> np.uint64(40)).astype(np.int64) % self.tails).astype(np.int64)
+        if self.n_head:
+            at = np.minimum(np.searchsorted(self.words, words), self.n_head - 1)
+            hit = self.words[at] == words
+            out[hit] = self.leaf_of[at[hit]]
+        return out
 
 
-def contexts(words: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """(words, 2 * SIDE) input buckets around each word; INPUTS beyond a text's ends."""
-    n = len(words)
+def contexts(leaves: np.ndarray, ptr: np.ndarray, outside: int) -> np.ndarray:
+    """(words, 2 * SIDE): leaves of the words around each word; ``outside`` beyond a text's ends."""
+    n = len(leaves)
     doc_end = np.repeat(ptr[1:], np.diff(ptr))
     doc_start = np.repeat(ptr[:-1], np.diff(ptr))
     at = np.arange(n)
@@ -103,330 +122,297 @@ def contexts(words: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     for j, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         other = at + shift
         inside = (other >= doc_start) & (other < doc_end)
-        out[:, j] = np.where(inside, words[np.clip(other, 0, max(0, n - 1))] & (INPUTS - 1), INPUTS)
+        out[:, j] = np.where(inside, leaves[np.clip(other, 0, max(0, n - 1))], outside)
     return out
 
 
-class Vocabulary:
-    """Classes of words by frequency, and each word's share of its class, from counts of the corpus."""
-
-    def __init__(self, corpus: "Corpus"):
-        self.corpus = corpus
-        self.units = corpus.units  # count * CELLS + cell, ascending
-        mass = self.units // CELLS * corpus.words
-        after = mass[::-1].cumsum()[::-1] - mass / 2
-        self.classes = np.minimum(CLASSES - 1, (after / max(1, mass.sum()) * CLASSES).astype(np.int64))
-        total = np.bincount(self.classes, mass, CLASSES)
-        total[-1] += 1  # texts outside the corpus may hold other words
-        self.total = np.log(np.maximum(total, 1e-9))
-        self.prior = self.total - np.log(total.sum())
-
-    def __getstate__(self):
-        return self.__dict__ | {"corpus": None}
+# Network ----------------------------------------------------------------------
 
-    def of(self, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        if not len(self.units):
-            return np.full(len(counts), CLASSES - 1)
-        at = np.searchsorted(self.units, counts * CELLS + buckets % CELLS)
-        return np.where(counts > 0, self.classes[np.minimum(at, len(self.units) - 1)], CLASSES - 1)
 
-    def inside(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return np.log(np.maximum(counts, 1)) - self.total[classes]
+def sums_by(keys: np.ndarray, columns: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys under ``size``, and for each of them the sums of all columns, given as rows; a row a key comes out."""
+    at = np.flatnonzero(np.bincount(keys, minlength=size))
+    return at, np.stack([np.bincount(keys, c, size)[at] for c in columns], 1).astype(np.float32)
 
 
 class Window:
-    """tanh layer over the embeddings of the words around, softmax over classes."""
-
-    SHAPES = {"e": (2 * SIDE, INPUTS + 1, HIDDEN), "h": (HIDDEN,), "w": (HIDDEN, CLASSES), "b": (CLASSES,)}
+    """tanh layer over the embeddings of the words around, and a vector for every node of the tree."""
 
     def __init__(self, vocabulary: Vocabulary, values: np.ndarray | None = None):
         self.vocabulary = vocabulary
+        self.shapes = {"e": (vocabulary.leaves + 1, HIDDEN), "s": (2 * SIDE, HIDDEN), "h": (HIDDEN,), "w": (HIDDEN, vocabulary.nodes), "b": (vocabulary.nodes,)}
+        self.p: dict[str, np.ndarray] = {}
         if values is None:
             rng = np.random.default_rng(17)
-            self.p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in self.SHAPES.items()}
-            self.p["b"] = vocabulary.prior.astype(np.float32)
-        else:
-            self.p, at = {}, 0
-            for k, s in self.SHAPES.items():
-                n = int(np.prod(s))
-                self.p[k] = values[at : at + n].reshape(s).astype(np.float32)
-                at += n
+            values = np.concatenate([rng.normal(0, 0.3, int(np.prod(s))) if k != "s" else np.ones(int(np.prod(s))) for k, s in self.shapes.items()])
+            values[-vocabulary.nodes * (HIDDEN + 1) :] = 0  # at first the words around change nothing
+            values[-vocabulary.nodes :] = vocabulary.prior
+        at = 0
+        for k, s in self.shapes.items():
+            n = int(np.prod(s))
+            self.p[k] = values[at : at + n].reshape(s).astype(np.float32)
+            at += n
         self.squares: dict[str, np.ndarray] = {}
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].reshape(-1) for k in self.SHAPES])
-
-    def forward(self, context: np.ndarray):
-        hidden = self.p["h"] + self.p["e"][0][context[:, 0]]
-        for j in range(1, 2 * SIDE):
-            hidden += self.p["e"][j][context[:, j]]
-        np.tanh(hidden, out=hidden)
-        logits = hidden @ self.p["w"]
-        logits += self.p["b"]
-        logits -= logits.max(1, keepdims=True)
-        return hidden, logits
-
-    def log_probabilities(self, classes: np.ndarray, counts: np.ndarray, context: np.ndarray) -> np.ndarray:
-        out = np.empty(len(classes))
-        for i in range(0, len(classes), BATCH):
-            own = classes[i : i + BATCH]
-            _, logits = self.forward(context[i : i + BATCH])
-            target = logits[np.arange(len(own)), own]
-            out[i : i + BATCH] = target - np.log(np.exp(logits).sum(1)) + self.vocabulary.inside(own, counts[i : i + BATCH])
+        return np.concatenate([self.p[k].reshape(-1) for k in self.shapes])
+
+    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inputs = np.take(self.p["e"], context, axis=0)
+        out = np.einsum("njd,jd->nd", inputs, self.p["s"])
+        out += self.p["h"]
+        return inputs, np.tanh(out, out)
+
+    def turns(self, leaves: np.ndarray, hidden: np.ndarray):
+        """Of all nodes on the leaves' paths: the word each belongs to, the node, both vectors (as columns), the turn and its score."""
+        v = self.vocabulary
+        depth = v.depth[leaves]
+        word = np.repeat(np.arange(len(leaves)), depth)
+        spot = np.arange(len(word)) + np.repeat(v.first[leaves] - (np.cumsum(depth) - depth), depth)
+        node, turn = np.take(v.path, spot), np.take(v.turn, spot)
+        said, vector = np.take(np.ascontiguousarray(hidden.T), word, axis=1), np.take(self.p["w"], node, axis=1)
+        score = np.einsum("dn,dn->n", said, vector)
+        score += np.take(self.p["b"], node)
+        return word, node, said, vector, turn, score * turn
+
+    def log_probabilities(self, leaves: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Of every word's leaf, given the leaves around it."""
+        out = np.zeros(len(leaves))
+        for i in range(0, len(leaves), BATCH):
+            own = leaves[i : i + BATCH]
+            _, hidden = self.hidden(context[i : i + BATCH])
+            word, *_, score = self.turns(own, hidden)
+            out[i : i + BATCH] = -np.bincount(word, np.log(1 + np.exp(-np.maximum(score, -80))), len(own))
         return out
 
-    def _step(self, name: str, grad: np.ndarray) -> None:
+    def _step(self, name: str, at, grad: np.ndarray) -> None:
+        """Adagrad, with one rate for each vector (``w`` holds them as columns)."""
+        spot = at[1] if name == "w" else at
         if name not in self.squares:
-            self.squares[name] = np.full_like(self.p[name], 1e-6)
-        self.squares[name] += grad * grad
-        self.p[name] -= RATE * grad / np.sqrt(self.squares[name])
-
-    def learn(self, classes: np.ndarray, context: np.ndarray) -> None:
-        """One pass of Adagrad over the words' classes, in batches of neighbouring words."""
-        if "e" not in self.squares:
-            self.squares["e"] = np.full((2 * SIDE, INPUTS + 1, 1), 1e-6, np.float32)
-        for i in range(0, len(classes), BATCH):
-            own, around = classes[i : i + BATCH], context[i : i + BATCH]
-            hidden, logits = self.forward(around)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(1, keepdims=True)
-            logits[np.arange(len(own)), own] -= 1
-            logits /= len(own)
-            back = (logits @ self.p["w"].T) * (1 - hidden * hidden)
-            self._step("w", hidden.T @ logits)
-            self._step("b", logits.sum(0))
-            self._step("h", back.sum(0))
-            for j in range(2 * SIDE):
-                order = np.argsort(around[:, j], kind="stable")
-                rows = around[order, j]
-                first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-                grad = np.add.reduceat(back[order], first, axis=0)
-                at = rows[first]
-                self.squares["e"][j, at] += (grad * grad).mean(1, keepdims=True)
-                self.p["e"][j, at] -= RATE * grad / np.sqrt(self.squares["e"][j, at])
-
-
-class Corpus:
-    """What the parts counted: words by count and cell, and every key's total if they are kept."""
-
-    def __init__(self, parts: int, units: np.ndarray, words: np.ndarray, table: DataFrame | None):
-        self.parts, self.units, self.words, self.table = parts, units, words, table
-
-
-_ANSWER = "group long, part int, keys binary, totals binary"
-_UNITS, _TOTALS = -1, -2  # groups of a part's own rows
-
-
-def ask(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows of ``docs(id, text)`` by batch (``group``), and for each batch and part the batch's distinct keys with their counts there."""
-    kind = docs.schema["id"].dataType.simpleString()
+            self.squares[name] = np.full(self.p[name].shape[-1 if name == "w" else 0], 1e-6, np.float32)
+        square = self.squares[name]
+        square[spot] += (grad * grad).mean(1) if grad.ndim > 1 else grad * grad
+        rate = RATE / np.sqrt(square[spot])
+        step = grad * (rate[:, None] if grad.ndim > 1 else rate)
+        self.p[name][at] -= step.T if name == "w" else step
+
+    def learn(self, leaves: np.ndarray, context: np.ndarray) -> None:
+        """One pass over the words, in batches of neighbouring words."""
+        for i in range(0, len(leaves), BATCH):
+            own, around = leaves[i : i + BATCH], context[i : i + BATCH]
+            inputs, hidden = self.hidden(around)
+            word, node, said, vector, turn, score = self.turns(own, hidden)
+            pull = turn * (-1 / (1 + np.exp(score)) / len(own)).astype(np.float32)  # the loss's slope at each node's score
+            vector *= pull
+            said *= pull
+            back = np.stack([np.bincount(word, c, len(own)) for c in vector], 1).astype(np.float32)
+            at, grad = sums_by(node, [*said, pull], self.vocabulary.nodes)
+            self._step("w", (slice(None), at), grad[:, :-1])
+            self._step("b", at, grad[:, -1])
+            back *= 1 - hidden * hidden
+            self._step("h", slice(None), back.sum(0))
+            to = (back[:, None, :] * self.p["s"]).reshape(-1, HIDDEN)
+            self._step("s", slice(None), np.einsum("njd,nd->jd", inputs, back))
+            at, grad = sums_by(around.reshape(-1), np.ascontiguousarray(to.T), len(self.p["e"]))
+            self._step("e", at, grad)
+
+
+# Passes -----------------------------------------------------------------------
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """``docs(id, text)`` written with the block of documents that each row belongs to."""
 
     def run(batches):
-        task = TaskContext.get().partitionId() << 32
-        for nth, batch in enumerate(batches):
-            every, _ = keys_of(*tokens(*utf8_buffer(batch.column(1))))
-            n, empty = len(batch), pa.nulls(len(batch), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([task + nth] * n, pa.int64()), pa.nulls(n, pa.int32()), *batch.columns[:2], empty, empty], names)
-            key, count = np.unique(every, return_counts=True)
-            part = ((key >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)
-            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(key) else np.zeros(0, np.int64)
-            ends = [*cut[1:].tolist(), len(key)]
-            rows = list(zip(cut.tolist(), ends))
-            m = len(cut)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([task + nth] * m, pa.int64()), pa.array(part[cut].astype(np.int32)), pa.nulls(m, batch.column(0).type), pa.nulls(m, batch.column(1).type), pa.array([pack(key[a:b]) for a, b in rows], pa.binary()), pa.array([planes(count[a:b]) for a, b in rows], pa.binary())], names
-            )
-
-    names = ["group", "part", "id", "text", "keys", "counts"]
-    return materialize(map_arrow(docs, run, f"group long, part int, id {kind}, text string, keys binary, counts binary"), "keys")
-
-
-def _rows(group: list, part: int, keys: list, totals: list) -> pa.Table:
-    return pa.table([pa.array(group, pa.int64()), pa.array([part] * len(group), pa.int32()), pa.array(keys, pa.binary()), pa.array(totals, pa.binary())], names=["group", "part", "keys", "totals"])
-
-
-def add_up(asked: DataFrame, keep: bool) -> DataFrame:
-    """Answers to all batches, in the order of their keys; each part's words by count and cell; with keep, all its keys and totals."""
-
-    def run(table: pa.Table) -> pa.Table:
-        part, groups = table["part"][0].as_py(), table["group"].to_pylist()
-        keys = [unpack(k) for k in table["keys"].to_pylist()]
-        key, spot = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(key), np.int64)
-        np.add.at(total, spot, np.concatenate([unplanes(c) for c in table["counts"].to_pylist()]))
-        cuts = np.cumsum([0, *map(len, keys)]).tolist()
-        answers = [planes(total[spot[a:b]]) for a, b in zip(cuts, cuts[1:])]
-        word = (key & np.uint64(1)) == 0
-        units, words = np.unique(total[word] * CELLS + (bucket(key[word]) % CELLS).astype(np.int64), return_counts=True)
-        own = [_UNITS, _TOTALS][: 1 + keep]
-        return _rows(groups + own, part, [None] * len(groups) + [planes(units), pack(key)][: 1 + keep], answers + [planes(words), planes(total)][: 1 + keep])
-
-    return materialize(asked.where("part is not null").select("group", "part", "keys", "counts").groupBy("part").applyInArrow(run, _ANSWER), "totals")
-
-
-def corpus_of(answers: DataFrame, parts: int, keep: bool) -> Corpus:
-    def run(batches):
-        for batch in batches:
-            pairs = [(unplanes(k), unplanes(n)) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            for unit, n in pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(n)], ["unit", "n"])
-
-    units = map_arrow(answers.where(F.col("group") == _UNITS).select("keys", "totals"), run, "unit long, n long")
-    rows = units.groupBy("unit").agg(F.sum("n").alias("n")).orderBy("unit").toPandas()  # a count of N words has at most CELLS rows; there are about sqrt(2 N) counts
-    return Corpus(parts, rows["unit"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), answers.where(F.col("group") == _TOTALS) if keep else None)
-
-
-def look_up(asked: DataFrame, corpus: Corpus) -> DataFrame:
-    """Answers to the batches of other texts than the corpus: 0 for unknown keys."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, total = (unpack(right["keys"][0].as_py()), unplanes(right["totals"][0].as_py())) if len(right) else (np.zeros(0, "<u8"), np.zeros(0, np.int64))
-        answers = []
-        for own in map(unpack, left["keys"].to_pylist()):
-            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-            answers.append(planes(np.where(known[at] == own, total[at], 0) if len(known) else np.zeros(len(own), np.int64)))
-        return _rows(left["group"].to_pylist(), left["part"][0].as_py() if len(left) else 0, [None] * len(answers), answers)
-
-    own = asked.where("part is not null").select("group", "part", "keys")
-    return materialize(own.groupBy("part").cogroup(corpus.table.groupBy("part")).applyInArrow(run, _ANSWER), "totals")
-
-
-def resolve(asked: DataFrame, answers: DataFrame) -> DataFrame:
-    """``(id, words)``: of every word its bucket, its count, and the count of it and the next word (18 bytes)."""
-    kind = asked.schema["id"].dataType.simpleString()
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        text = left["text"].combine_chunks()
-        words, ptr = tokens(*utf8_buffer(text))
-        every, first = keys_of(words, ptr)
-        _, spot = np.unique(every, return_inverse=True)
-        answer = sorted(zip(right["part"].to_pylist(), right["totals"].to_pylist()))
-        total = np.concatenate([unplanes(t) for _, t in answer])[spot] if len(every) else np.zeros(0, np.int64)
-        count, pair = total[: len(words)], np.zeros(len(words), np.int64)
-        pair[first] = total[len(words) :]
-        own = bucket(words)
-        cut = zip(ptr[:-1].tolist(), ptr[1:].tolist())
-        return pa.table([left["id"], pa.array([own[a:b].tobytes() + planes(count[a:b]) + planes(pair[a:b]) for a, b in cut], pa.binary())], names=["id", "words"])
-
-    docs = asked.where("part is null").select("group", "id", "text")
-    totals = answers.where("group >= 0").select("group", "part", "totals")
-    return materialize(docs.groupBy("group").cogroup(totals.groupBy("group")).applyInArrow(run, f"id {kind}, words binary"), "words")
+        from pyspark import TaskContext
 
+        first, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            if size > GROUP_BYTES:
+                first, size = first + 1, 0
+            size += batch.nbytes
+            yield pa.RecordBatch.from_arrays([pa.array([first] * len(batch), pa.int64()), *batch.columns], ["block", "id", "text"])
 
-def read_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets, counts and pair counts of ``resolve``, and where each text's words start (and the end)."""
-    raw = column.to_pylist()
-    n = [len(r) // 18 for r in raw]
-    ptr = np.cumsum([0, *n])
-    own = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(r, np.uint16, k) for r, k in zip(raw, n))]).astype(np.int64)
-    count = np.concatenate([np.zeros(0, np.int64), *(unplanes(r[2 * k : 10 * k]) for r, k in zip(raw, n) if k)])
-    pair = np.concatenate([np.zeros(0, np.int64), *(unplanes(r[10 * k :]) for r, k in zip(raw, n) if k)])
-    return own, count, pair, ptr
-
+    return materialize(map_arrow(docs, run, f"block long, id {docs.schema['id'].dataType.simpleString()}, text string"), "lm-docs")
 
-def _parts(docs: DataFrame) -> int:
-    return max(PARTS, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
 
+def block_words(docs: DataFrame) -> DataFrame:
+    """``(block, word, n)``: distinct words of a block's documents with their counts (in several rows where a block is long or cut)."""
 
-def bucket_counts(docs: DataFrame) -> Corpus:
-    """Counts of all words and pairs of neighbours over all documents, kept as a table for other texts."""
-    parts = _parts(docs)
-    asked = ask(docs.select(F.lit(None).cast("long").alias("id"), "text"), parts)
-    return corpus_of(add_up(asked, True), parts, True)
+    def run(batches):
+        held: list[np.ndarray] = []
+        at = None
 
+        def flush():
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), at)), pa.array(signed(word)), pa.array(n.astype(np.int32))], ["block", "word", "n"])
 
-def found_words(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    asked = ask(df, vocabulary.corpus.parts)
-    return resolve(asked, look_up(asked, vocabulary.corpus))
+        for batch in batches:
+            block = np.asarray(batch.column(0))
+            words, ptr = tokens(*utf8_buffer(batch.column(1)))
+            cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(block)]):
+                if held and (block[a] != at or sum(map(len, held)) > WORDS_AT_ONCE):
+                    yield flush()
+                    held.clear()
+                at = block[a]
+                held.append(words[ptr[a] : ptr[b]])
+        if held:
+            yield flush()
+
+    return map_arrow(docs.select("block", "text"), run, "block long, word long, n int")
+
+
+class Model:
+    """The counts of all words as a table ``(word, total)``, the vocabulary, and the network once it is trained."""
+
+    def __init__(self, totals: DataFrame, vocabulary: Vocabulary, network: Window | None = None):
+        self.totals, self.vocabulary, self.network = totals, vocabulary, network
+
+
+def count(words: DataFrame) -> Model:
+    """The vocabulary of ``words(block, word, n)``: its head and one row a tail leaf come to the driver."""
+    totals = materialize(words.groupBy("word").agg(F.sum("n").alias("total")), "lm-totals")
+    head = totals.orderBy(F.desc("total"), "word").limit(HEAD).collect()
+    leaf = F.pmod(F.shiftrightunsigned("word", 40), F.lit(TAILS)).alias("leaf")
+    sums = {r["leaf"]: (r["mass"], r["types"]) for r in totals.groupBy(leaf).agg(F.sum("total").alias("mass"), F.count(F.lit(1)).alias("types")).collect()}
+    mass, types = (np.array([sums.get(i, (0, 0))[j] for i in range(TAILS)], np.int64) for j in (0, 1))
+    hashes, n = np.array([r["word"] for r in head], np.int64), np.array([r["total"] for r in head], np.int64)
+    own = ((hashes.view(np.uint64) >> np.uint64(40)) % np.uint64(TAILS)).astype(np.int64)
+    mass -= np.bincount(own, n, TAILS).astype(np.int64)
+    types -= np.bincount(own, minlength=TAILS)
+    return Model(totals, Vocabulary(hashes.view(np.uint64), np.concatenate([n, mass]), types))
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary) -> Window:
-    return train_on(found_words(docs.select(F.lit(None).cast("long").alias("id"), "text"), vocabulary), vocabulary)
-
-
-def train_on(found: DataFrame, vocabulary: Vocabulary) -> Window:
-    """The average of the networks that the tasks trained on their tokens."""
+    """The average of the networks that the tasks trained on the tokens of ``docs(text)``."""
 
     def run(batches):
         network, seen = Window(vocabulary), 0
         for batch in batches:
-            own, count, _, ptr = read_words(batch.column(0))
-            network.learn(vocabulary.of(own, count), contexts(own, ptr))
-            seen += len(own)
+            words, ptr = tokens(*utf8_buffer(batch.column(0)))
+            leaves = vocabulary.place(words)
+            network.learn(leaves, contexts(leaves, ptr, vocabulary.leaves))
+            seen += len(words)
         if seen:
             flat = network.flat()
             chunks = [flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(chunks)), pa.int32()), pa.array([seen] * len(chunks), pa.int64()), pa.array([c.tobytes() for c in chunks], pa.binary())],
-                ["chunk", "seen", "part"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([seen] * len(chunks), pa.int64()), pa.array([c.tobytes() for c in chunks], pa.binary())], ["chunk", "seen", "part"])
 
     def add(pdf):
         seen = pdf["seen"].to_numpy(float)
-        parts = np.stack([np.frombuffer(x, np.float32) for x in pdf["part"]])
-        mean = (parts * (seen / seen.sum())[:, None]).sum(0).astype(np.float32)
-        return pdf.iloc[:1].assign(seen=int(seen.sum()), part=[mean.tobytes()])
+        total = np.zeros(len(pdf["part"].iloc[0]) // 4)
+        for part, share in zip(pdf["part"], seen / seen.sum()):
+            total += share * np.frombuffer(part, np.float32)
+        return pdf.iloc[:1].assign(seen=int(seen.sum()), part=[total.astype(np.float32).tobytes()])
 
-    trained = materialize(map_arrow(found.select("words"), run, "chunk int, seen long, part binary"), "networks")
+    trained = materialize(map_arrow(docs.select("text"), run, "chunk int, seen long, part binary"), "networks")
     # In two steps, so that no task adds up the chunks of very many networks.
     kind = "chunk int, seen long, part binary, team int"
     teams = trained.withColumn("team", F.pmod(F.xxhash64("part"), F.lit(64)).cast("int"))
     some = teams.groupBy("chunk", "team").applyInPandas(lambda pdf: add(pdf), kind)
     means = some.groupBy("chunk").applyInPandas(lambda pdf: add(pdf), kind).orderBy("chunk").collect()  # one network
-    if not means:
-        return Window(vocabulary)
-    return Window(vocabulary, np.concatenate([np.frombuffer(r["part"], np.float32) for r in means]))
-
-
-def mixed(logp: np.ndarray, count: np.ndarray, pair: np.ndarray, ptr: np.ndarray, own: int) -> np.ndarray:
-    """Log-probabilities of words after mixing in the neighbours' shares; own occurrences (0 or 1) of each do not count."""
-    n = len(count)
-    share, rest = np.zeros(n), np.ones(n)
-    starts, ends = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-    starts[ptr[:-1]], ends[ptr[1:]] = True, True
-    left, right = np.flatnonzero(~starts[:n]), np.flatnonzero(~ends[1:])
-    for at, beside, both in ((left, left - 1, left - 1), (right, right + 1, right)):
-        times = np.maximum(count[beside] - own, 0)
-        weight = PAIR_WEIGHT * times / (times + PAIR_HALF)
-        share[at] += weight * np.maximum(pair[both] - own, 0) / np.maximum(times, 1)
-        rest[at] -= weight
-    return np.log(rest * np.exp(logp) + share)
-
-
-def score(df: DataFrame, network: Window, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``score_found`` of texts that need not be of the corpus."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return score_found(found_words(docs, network.vocabulary), network, 0).withColumnRenamed("id", id_col)
-
-
-def score_found(found: DataFrame, network: Window, own: int) -> DataFrame:
-    """``(id, n_tokens, sum_logp, mean_logp)`` of every row: summed conditional log-probabilities of all its words."""
+    discard(trained)
+    return Window(vocabulary, np.concatenate([np.frombuffer(r["part"], np.float32) for r in means]) if means else None)
+
+
+def log_probabilities(network: Window, words: np.ndarray, ptr: np.ndarray, known: np.ndarray, total: np.ndarray, own_counts: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of every word, and whether no other document holds it.
+
+    known, total: rarer words, ascending, and their counts in the corpus. own_counts:
+    the texts are of the corpus, so their own occurrences are taken off.
+    """
     vocabulary = network.vocabulary
+    leaves = vocabulary.place(words)
+    out = network.log_probabilities(leaves, contexts(leaves, ptr, vocabulary.leaves))
+    rare = np.flatnonzero(leaves >= vocabulary.n_head)
+    alone = np.zeros(len(words), bool)
+    if len(rare):
+        word = words[rare]
+        at = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
+        n = np.where(known[at] == word, total[at], 0).astype(float) if len(known) else np.zeros(len(rare))
+        if own_counts:
+            doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))[rare]
+            order = np.lexsort((word, doc))
+            first = np.append(True, (word[order][1:] != word[order][:-1]) | (doc[order][1:] != doc[order][:-1]))
+            run = np.cumsum(first) - 1
+            held = np.empty(len(rare))
+            held[order] = np.bincount(run)[run]
+            n = n - held
+        else:
+            held = np.zeros(len(rare))
+        alone[rare] = n <= 0
+        tail = leaves[rare] - vocabulary.n_head
+        mass = np.maximum(vocabulary.tail_mass[tail] - held, 0) + SMOOTH * (vocabulary.tail_types[tail] + 1)
+        out[rare] += np.log((np.maximum(n, 0) + SMOOTH) / mass)
+    return out, alone
+
+
+def score_blocks(docs: DataFrame, counted: DataFrame, network: Window, own_counts: bool) -> DataFrame:
+    """``(id, n_tokens, n_alone, sum_logp, mean_logp)`` of ``docs(block, id, text)``; counted: ``(block, word, total)`` of their rarer words."""
+    id_kind = docs.schema["id"].dataType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = np.asarray(right["word"]).astype(np.int64).view(np.uint64)
+        order = np.argsort(known)
+        known, total = known[order], np.asarray(right["total"])[order]
+        n_tokens, n_alone, sums = [], [], []
+        for chunk in short_chunks(left):
+            words, ptr = tokens(*utf8_buffer(chunk))
+            logp, alone = log_probabilities(network, words, ptr, known, total, own_counts)
+            for out, x in ((sums, logp), (n_alone, alone)):
+                upto = np.concatenate([[0], np.cumsum(x)])
+                out.append(upto[ptr[1:]] - upto[ptr[:-1]])
+            n_tokens.append(np.diff(ptr))
+        n = np.concatenate([np.zeros(0, np.int64), *n_tokens])
+        s = np.concatenate([np.zeros(0), *sums])
+        alone = np.concatenate([np.zeros(0, np.int64), *n_alone]).astype(np.int64)
+        return pa.table([left["id"], pa.array(n, pa.int64()), pa.array(alone, pa.int64()), pa.array(s), pa.array(s / np.maximum(n, 1), mask=n == 0)], names=["id", "n_tokens", "n_alone", "sum_logp", "mean_logp"])
+
+    return docs.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(run, f"id {id_kind}, n_tokens long, n_alone long, sum_logp double, mean_logp double")
+
+
+def short_chunks(table: pa.Table):
+    """The text column of a block in slices of bounded size."""
+    from lexquarry.llm.common import short_batches
+
+    for batch in short_batches(iter(table.select(["text"]).to_batches())):
+        yield batch.column(0)
+
+
+def rarer(words: DataFrame, model: Model) -> DataFrame:
+    """``(block, word, total)`` of the words that are no leaves of their own; frequent ones go before the join, so no word has many rows."""
+    spark = words.sparkSession
+    head = spark.createDataFrame([(int(w),) for w in signed(model.vocabulary.words)], "word long")  # at most HEAD rows
+    own = words.select("block", "word").join(F.broadcast(head), "word", "left_anti").distinct()
+    return own.join(model.totals, "word").select("block", "word", "total")
+
+
+def fit(df: DataFrame, text_col: str = "text") -> Model:
+    """Counts of all words of all texts, and the network trained on them."""
+    docs = grouped(df.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text")))
+    model = count(block_words(docs))
+    model.network = train(docs, model.vocabulary)
+    discard(docs)
+    return model
 
-    def run(batches):
-        for batch in batches:
-            words, count, pair, ptr = read_words(batch.column(1))
-            logp = network.log_probabilities(vocabulary.of(words, count), count, contexts(words, ptr))
-            logp = np.concatenate([[0.0], np.cumsum(mixed(logp, count, pair, ptr, own))])
-            sums, n = logp[ptr[1:]] - logp[ptr[:-1]], np.diff(ptr)
-            mean = np.where(n > 0, sums / np.maximum(n, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums), pa.array(mean, mask=n == 0)], ["id", "n_tokens", "sum_logp", "mean_logp"])
 
-    kind = found.schema["id"].dataType.simpleString()
-    return map_arrow(found, run, f"id {kind}, n_tokens long, sum_logp double, mean_logp double")
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score_blocks`` of texts that need not be of the corpus: ``(id, n_tokens, n_alone, sum_logp, mean_logp)``."""
+    docs = grouped(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return score_blocks(docs, rarer(block_words(docs), model), model.network, False).withColumnRenamed("id", id_col)
 
 
 def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train on all texts of ``df`` and score each of them.
+    """Train on all texts of ``df`` and score each of them: ``(id, n_tokens, n_alone, sum_logp, mean_logp)``.
 
-    Null and empty texts, and texts of white space, have no words: sum_logp 0,
-    mean_logp null. Repeated rows count and are scored as often as they occur.
-    Only the two named columns are read. An empty table gives no rows.
+    n_alone counts the words that no other document holds. Null and empty texts,
+    and texts of white space, have no words: sum_logp 0, mean_logp null. Repeated
+    rows count and are scored as often as they occur. Only the two named columns
+    are read. An empty table gives no rows.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = _parts(docs)
-    asked = ask(docs, parts)
-    answers = add_up(asked, False)
-    found, vocabulary = resolve(asked, answers), Vocabulary(corpus_of(answers, parts, False))
-    discard(asked, answers)
-    return score_found(found, train_on(found, vocabulary), 1).withColumnRenamed("id", id_col)
+    docs = grouped(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    words = materialize(block_words(docs), "lm-words")
+    model = count(words)
+    network = train(docs, model.vocabulary)
+    return score_blocks(docs, rarer(words, model), network, True).withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ import pytest
 import regex
 import tiktoken
 
-from lexquarry.llm import bpe, lang_id, lm_score, near_dedup, pieces, token_files
+from lexquarry.llm import bpe, lang_id, near_dedup, pieces
 from lexquarry.llm.common import components, utf8_buffer
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "é ñ 中 😀\nx"), (6, "the cat sat on the mat " * 400), (6, "a"), (None, "b c")]
@@ -39,13 +39,6 @@ def test_bpe_equals_tiktoken(spark, odd):
     assert got == sorted(((d or 0, other.encode_ordinary(t or ""), (t or "").encode()) for d, t in ODD), key=str)
 
 
-def test_token_files_round_trip(spark, odd):
-    got = sorted(token_files.round_trip(odd).collect(), key=lambda r: r["start"])
-    assert [r["doc_id"] for r in got] == sorted((d for d, _ in ODD), key=lambda d: -1 if d is None else d)
-    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(len(got))]
-    assert token_files.round_trip(odd.limit(0)).count() == 0
-
-
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (3, 9), (9, 12), (20, 20)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -61,20 +54,6 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in lang_id.predict(df, lang_id.fit(df.limit(0))).collect()} == {"und"}
 
 
-def test_lm_prefers_known_order(spark, odd):
-    docs = spark.createDataFrame([(i, "one two three four five six seven " * 30) for i in range(40)], KIND)
-    d = docs.select("text")
-    network = lm_score.train(d, lm_score.Vocabulary(lm_score.bucket_counts(d)))
-    rng = random.Random(1)
-    words = ("one two three four five six seven " * 30).split()
-    mixed = [" ".join(words), " ".join(rng.sample(words, len(words)))]
-    scores = [r["mean_logp"] for r in lm_score.score(spark.createDataFrame(list(enumerate(mixed)), KIND), network).orderBy("doc_id").collect()]
-    assert scores[0] > scores[1]
-    rows = {r["doc_id"]: r["mean_logp"] for r in lm_score.pseudo_likelihood(odd).collect()}
-    assert rows[1] is None and rows[2] is None and rows[3] is None and rows[4] < 0
-    assert lm_score.pseudo_likelihood(odd.limit(0)).count() == 0
-
-
 def test_words_follow_the_rule():
     text = "A\x0bb c  D\r\n" * 3
     data, ptr = utf8_buffer(pa.array([text, "", None]))
