@@ -11,9 +11,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -23,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.sources.store import new_path, shared_dir
+
 #: Bytes of texts and lists that a function over Arrow batches sees at once; a longer row comes alone.
 BATCH_BYTES = 1 << 20
 #: Bytes of one Arrow batch on its way to a Python worker, at most.
@@ -37,27 +36,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir``. Only where that is unset (local
-    tests) a temporary folder is made and set, and removed at exit.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-lexquarry-")
-        atexit.register(shutil.rmtree, path, True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return it reread."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexquarry/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path

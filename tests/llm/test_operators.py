@@ -9,7 +9,7 @@ import pytest
 import regex
 import tiktoken
 
-from lexquarry.llm import bpe, lang_id, near_dedup, pieces
+from lexquarry.llm import bpe, near_dedup, pieces
 from lexquarry.llm.common import components, utf8_buffer
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "é ñ 中 😀\nx"), (6, "the cat sat on the mat " * 400), (6, "a"), (None, "b c")]
@@ -45,15 +45,6 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 12: 1, 10: 10, 11: 10}
 
 
-def test_language_id(spark):
-    rng = random.Random(3)
-    docs = [(i, " ".join(rng.choice(["foo", "bar", "baz"] if i % 2 else ["ñandú", "año", "qué"]) for _ in range(20)), "a" if i % 2 else "b") for i in range(120)]
-    df = spark.createDataFrame([*docs, (200, None, "a"), (201, "12 ! 3", "b"), (202, "", None)], KIND + ", lang string")
-    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.predict(df, lang_id.fit(df)).collect()}
-    assert got == {d: lang for d, _, lang in docs} | {200: "und", 201: "und", 202: "und"}
-    assert {r["lang_pred"] for r in lang_id.predict(df, lang_id.fit(df.limit(0))).collect()} == {"und"}
-
-
 def test_words_follow_the_rule():
     text = "A\x0bb c  D\r\n" * 3
     data, ptr = utf8_buffer(pa.array([text, "", None]))
