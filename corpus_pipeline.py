@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm import bpe, decontaminate, lang_id, line_dedup, near_dedup
-from lexquarry.llm.common import materialize
+from lexquarry.llm.common import discard, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -76,5 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and reread as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{i + 1}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{i + 1}")
+        discard(before)
     return docs
