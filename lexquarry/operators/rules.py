@@ -11,6 +11,7 @@ from lexquarry.functions import text as T
 from lexquarry.operators.cases import _GROUPABLE, _MEAN, TITLE_PATTERN
 from lexquarry.operators.queries import _GREEDY, _NORM, ORACLE_SQL, QUERIES, C, greedy_groups, query
 from lexquarry.plans.workload import cites, derived, table
+from lexquarry.sources.files import inline_texts
 
 # What a field says when it is unknown.
 UNKNOWN = {"case_name": "Unknown case name", "court": "Unknown court", "date_filed": "Unknown date", "docket_number": "Unknown docket number", "citation": "Unknown citation"}
@@ -300,3 +301,15 @@ def src15_pages(spark: SparkSession, sf: str, said: str = "attion") -> DataFrame
     return table(spark, sf, "pages").select("page_id", found.alias("found"), F.when(found, F.when(title != "", title).otherwise("Unknown Case")).alias("case_name"))
 
 
+# Requests --------------------------------------------------------------------
+
+_BODY = """CASE ord % 4 WHEN 0 THEN '{"brief_text": "  ' || citation || ' "}' WHEN 1 THEN '{"briefText": "' || citation || '"}' WHEN 2 THEN '{"text": "' || citation || '\\n", "id": 1}' ELSE '{"text": " "}' END"""
+_INLINE = "trim(coalesce(json_extract_string(body, '$.brief_text'), json_extract_string(body, '$.briefText'), json_extract_string(body, '$.text')), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query("src08_inline_text", f"SELECT doc_id, ord, {_INLINE} AS text FROM (SELECT doc_id, ord, {_BODY} AS body FROM w_cites) WHERE {_INLINE} <> ''", "w_cites")
+def src08(spark, sf):
+    """Texts that come in a request's body."""
+    said, kind = C(), F.col("ord") % 4
+    body = F.when(kind == 0, F.concat(F.lit('{"brief_text": "  '), said, F.lit(' "}'))).when(kind == 1, F.concat(F.lit('{"briefText": "'), said, F.lit('"}'))).when(kind == 2, F.concat(F.lit('{"text": "'), said, F.lit('\\n", "id": 1}'))).otherwise('{"text": " "}')
+    return inline_texts(cites(spark, sf).select("doc_id", "ord", body.alias("body"))).select("doc_id", "ord", "text")

@@ -83,3 +83,9 @@ def write_texts(texts: DataFrame, path: str) -> None:
 def write_results(results: DataFrame, path: str) -> None:
     """Results as JSON lines."""
     results.write.mode("overwrite").json(path)
+
+
+def inline_texts(requests: DataFrame, body: str = "body") -> DataFrame:
+    """The text that a request's JSON body carries as ``brief_text``, ``briefText`` or ``text``, stripped, in column ``text``; requests without one are passed over."""
+    said = F.coalesce(*(F.get_json_object(body, f"$.{name}") for name in ("brief_text", "briefText", "text")))
+    return requests.withColumn("text", F.btrim(said, F.lit(" \t\n\r"))).where("text <> ''")
