@@ -33,6 +33,8 @@ THRESHOLD = 0.2
 BLOCK_ROWS, BLOCK_QUERIES, FEW_QUERIES = 65_536, 8_192, 256
 #: Candidates of a query that are scored exactly.
 RERANK = 400
+#: Queries' vectors are broadcast up to so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 class Quantiser:
@@ -215,7 +217,10 @@ def search_length(vectors: DataFrame, asked: DataFrame, dims: int, n: int, k: in
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(scan, "query_id long, query_h long, id long, h long, g long, guess double")
     best = F.row_number().over(Window.partitionBy("query_id", "query_h").orderBy(F.desc("guess"), "id", "h"))
     found = found.where("id <> query_id").withColumn("nth", best).where(F.col("nth") <= rerank).select("query_id", "query_h", "id", "h", "g")
-    pairs = found.join(vectors.dropDuplicates(["id", "h", "g"]), ["id", "h", "g"]).join(wanted.select("query_id", "query_h", F.col("v").alias("q")), ["query_id", "query_h"])
+    own = wanted.select("query_id", "query_h", F.col("v").alias("q"))
+    if n_asked * dims * 8 <= BROADCAST_BYTES:  # else the candidates' vectors are shuffled once more
+        own = F.broadcast(own)
+    pairs = found.join(vectors.dropDuplicates(["id", "h", "g"]), ["id", "h", "g"]).join(own, ["query_id", "query_h"])
 
     def score(batches):
         for batch in batches:

@@ -40,7 +40,7 @@ SMOOTH = 0.5
 #: Values of the averaged network that travel as one row.
 CHUNK = 8192
 #: Text bytes of one block of documents.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: Words of a block whose distinct ones are found at once.
 WORDS_AT_ONCE = 3_000_000
 

@@ -45,6 +45,8 @@ BLOCK = 4096
 #: Pairs beyond the promised distance that share a key are confirmed, too, if longer signatures are near: 512 symbols of 4 bits.
 #: At similarity 0.8 they differ in 96 symbols, standard deviation 9; candidates differ in at most six deviations more (beyond it: 5e-9).
 LONG, LONG_FARTHEST = 512, 149
+#: Pairs of one node that are confirmed in one task.
+HOT = 2000
 #: The ids of documents with candidates are broadcast up to this many (8 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -164,7 +166,10 @@ def index_keys(nodes: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)``, those with 100 * intersection >= percent * union of the full shingle sets."""
+    """Of ``pairs(a, b)``, those with 100 * intersection >= percent * union of the full shingle sets.
+
+    A node that is b in many pairs meets them in several tasks, a copy of its text in each.
+    """
 
     def run(batches):
         for batch in batches:
@@ -176,9 +181,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return map_arrow(joined.select("a", "b", "x", "y"), run, "a long, b long")
+    left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y")))
+    hot = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("copies")).where("copies > 1"), "hot")
+    n_hot = hot.count()
+    joined = pairs.join(F.broadcast(hot), "b", "left_anti") if n_hot else pairs  # one row for HOT pairs at most
+    joined = joined.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    if n_hot:
+        dealt = pairs.join(F.broadcast(hot), "b").withColumn("copy", F.pmod(F.xxhash64("a"), "copies").cast("int")).drop("copies")
+        copies = right.join(F.broadcast(hot), "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+        joined = joined.union(dealt.join(left, "a").join(copies, ["b", "copy"]).select("a", "b", "x", "y"))
+    return map_arrow(joined, run, "a long, b long")
 
 
 def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -> DataFrame:
@@ -331,8 +343,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = met.where(F.least("m", "k") * 100 >= F.greatest("m", "k") * percent).withColumn("far", distance("s", "t")).where(F.col("far") <= FARTHEST)
     star = met.groupBy("node").agg(F.min(F.struct("far", "leader")).alias("x"), F.max_by("leader", F.struct(-F.col("far"), "leader")).alias("y"))
     star = star.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("x.leader", "y"))).alias("b"))
+    star = materialize(star, "star")
     labels = relabel(near.withColumn("comp", F.col("node")), materialize(confirm(star, texts, words, percent), "links"))
-    discard(near)
+    discard(near, star)
     for nearest in (True, True, False):
         pairs = materialize(candidates(rows.join(labels, "node"), wanted, nearest, percent), "pairs")
         labels = relabel(labels, materialize(confirm(pairs, texts, words, percent), "links"))

@@ -48,6 +48,7 @@ def planted(rng, groups, size, low, high):
 @pytest.mark.parametrize("few_edges", [10**6, 0])
 def test_links_at_the_threshold_equal_brute_force(spark, monkeypatch, few_edges):
     monkeypatch.setattr(common, "FEW_EDGES", few_edges)
+    monkeypatch.setattr(near_dedup, "HOT", 3 if few_edges else 2000)
     docs = planted(random.Random(3), 60, 6, 0.78, 0.87)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, KIND), words=4).collect()}
     assert got == brute_force(docs)
