@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.sources.store import new_path
+
 W_CITES = """
 SELECT doc_id, ord, volume, reporter, page, volume || ' ' || reporter || ' ' || page AS citation, case_name, url, found, source, conf, supp, court, date_filed, docket_number
 FROM (
@@ -108,7 +112,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cites(spark: SparkSession, sf_dir: str) -> DataFrame:
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(name: str, derive: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derived table, written to the shared folder once in an application for each folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = new_path(spark, name)
+        derive(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def derive_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("lineitem", "part", "orders", "customer")
     query = W_CITES
     for n in names:
@@ -116,12 +133,21 @@ def cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(query, **{n: table(spark, sf_dir, n) for n in names})
 
 
-def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One brief a document: its sentences in order. A document has few sentences."""
+def derive_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = cites(spark, sf_dir).select("doc_id", "ord", F.expr(SENTENCE).alias("s"))
     return said.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "s"))), lambda x: x["s"]), " ").alias("text"))
 
 
+def cites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The citations, as ``W_CITES`` states them."""
+    return stored("w_cites", derive_cites, spark, sf_dir)
+
+
+def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One brief a document: its sentences in order. A document has few sentences."""
+    return stored("w_briefs", derive_briefs, spark, sf_dir)
+
+
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three summaries an id that together hold the whole text: the words at places 0, 3, 6 ..., 1, 4, 7 ... and 2, 5, 8 ..."""
     words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="spark-lexquarry-")
+    atexit.register(shutil.rmtree, path, True)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
