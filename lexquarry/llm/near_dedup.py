@@ -346,10 +346,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = materialize(star, "star")
     labels = relabel(near.withColumn("comp", F.col("node")), materialize(confirm(star, texts, words, percent), "links"))
     discard(near, star)
+    tried, kept_pairs = None, []  # pairs that were compared and are not linked need no second look
     for nearest in (True, True, False):
-        pairs = materialize(candidates(rows.join(labels, "node"), wanted, nearest, percent), "pairs")
-        labels = relabel(labels, materialize(confirm(pairs, texts, words, percent), "links"))
-        discard(pairs)
+        pairs = candidates(rows.join(labels, "node"), wanted, nearest, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        kept_pairs.append(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
+        links = materialize(confirm(pairs, texts, words, percent), "links")
+        labels = relabel(labels, links)
+    discard(*kept_pairs)
     discard(rows, wanted)
     drop_texts()
     classes = nodes.select("node", F.col("doc").alias("least")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
