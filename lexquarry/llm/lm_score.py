@@ -31,7 +31,7 @@ from lexquarry.llm.pieces import slice_hashes
 
 #: Words that are leaves of their own, and leaves of all other words. As input, other words are told apart by as many buckets.
 HEAD, TAILS = 16_384, 256
-HIDDEN = 12
+HIDDEN = 10
 SIDE = 2
 BATCH = 2048
 RATE = 0.1
@@ -40,7 +40,7 @@ SMOOTH = 0.5
 #: Values of the averaged network that travel as one row.
 CHUNK = 8192
 #: Text bytes of one block of documents.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20
 #: Words of a block whose distinct ones are found at once.
 WORDS_AT_ONCE = 3_000_000
 
@@ -273,7 +273,11 @@ class Model:
 def count(words: DataFrame) -> Model:
     """The vocabulary of ``words(block, word, n)``: its head and one row a tail leaf come to the driver."""
     totals = materialize(words.groupBy("word").agg(F.sum("n").alias("total")), "lm-totals")
-    head = totals.orderBy(F.desc("total"), "word").limit(HEAD).collect()
+    # Few words have the counts of frequent ones: with the least count that HEAD words reach, only those are sorted.
+    counts = totals.groupBy("total").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("total")).collect()  # about sqrt(2 N) rows for N words
+    upto = np.cumsum([r["words"] for r in counts])
+    least = counts[min(len(counts) - 1, int(np.searchsorted(upto, HEAD)))]["total"] if counts else 0
+    head = totals.where(F.col("total") >= least).orderBy(F.desc("total"), "word").limit(HEAD).collect()
     leaf = F.pmod(F.shiftrightunsigned("word", 40), F.lit(TAILS)).alias("leaf")
     sums = {r["leaf"]: (r["mass"], r["types"]) for r in totals.groupBy(leaf).agg(F.sum("total").alias("mass"), F.count(F.lit(1)).alias("types")).collect()}
     mass, types = (np.array([sums.get(i, (0, 0))[j] for i in range(TAILS)], np.int64) for j in (0, 1))
@@ -381,10 +385,10 @@ def short_chunks(table: pa.Table):
 
 
 def rarer(words: DataFrame, model: Model) -> DataFrame:
-    """``(block, word, total)`` of the words that are no leaves of their own; frequent ones go before the join, so no word has many rows."""
+    """``(block, word, total)`` of the words that are no leaves of their own; frequent ones go before the join, so no word has many rows. A long block's words may come twice."""
     spark = words.sparkSession
     head = spark.createDataFrame([(int(w),) for w in signed(model.vocabulary.words)], "word long")  # at most HEAD rows
-    own = words.select("block", "word").join(F.broadcast(head), "word", "left_anti").distinct()
+    own = words.select("block", "word").join(F.broadcast(head), "word", "left_anti")
     return own.join(model.totals, "word").select("block", "word", "total")
 
 
