@@ -190,7 +190,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
         dealt = pairs.join(F.broadcast(hot), "b").withColumn("copy", F.pmod(F.xxhash64("a"), "copies").cast("int")).drop("copies")
         copies = right.join(F.broadcast(hot), "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
         joined = joined.union(dealt.join(left, "a").join(copies, ["b", "copy"]).select("a", "b", "x", "y"))
-    return map_arrow(joined, run, "a long, b long")
+    links = materialize(map_arrow(joined, run, "a long, b long"), "links")
+    discard(hot)
+    return links
 
 
 def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -> DataFrame:
@@ -344,7 +346,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = met.groupBy("node").agg(F.min(F.struct("far", "leader")).alias("x"), F.max_by("leader", F.struct(-F.col("far"), "leader")).alias("y"))
     star = star.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("x.leader", "y"))).alias("b"))
     star = materialize(star, "star")
-    labels = relabel(near.withColumn("comp", F.col("node")), materialize(confirm(star, texts, words, percent), "links"))
+    labels = relabel(near.withColumn("comp", F.col("node")), confirm(star, texts, words, percent))
     discard(near, star)
     tried, kept_pairs = None, []  # pairs that were compared and are not linked need no second look
     for nearest in (True, True, False):
@@ -352,8 +354,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         kept_pairs.append(pairs)
         tried = pairs if tried is None else tried.union(pairs)
-        links = materialize(confirm(pairs, texts, words, percent), "links")
-        labels = relabel(labels, links)
+        labels = relabel(labels, confirm(pairs, texts, words, percent))
     discard(*kept_pairs)
     discard(rows, wanted)
     drop_texts()
