@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import ann, bpe, decontaminate, kd_shards, lang_id, line_dedup, lm_score, near_dedup, quality, token_files
+from lexquarry.llm import ann, bpe, chat_format, decontaminate, kd_shards, lang_id, line_dedup, lm_score, near_dedup, quality, repair, resample, token_files
 from lexquarry.llm.common import held_out
 
 
@@ -55,6 +55,21 @@ def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.pseudo_likelihood(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), depth=2, buckets=10_000, min_words=20, percent=25, seed=7)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digest(_table(spark, sf_dir, "conversations"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold the template's control strings."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.sql("SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    return chat_format.format_digest(rows.unionByName(hard))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +83,9 @@ QUERIES = {
         op8_anisotropic_ann,
         op9_line_dedup,
         op10_masked_lm,
+        op11_importance_resampling,
+        op12_conversation_repair,
+        op13_chat_format,
     )
 }
 
@@ -106,5 +124,18 @@ WITH rows AS (
   FROM marked GROUP BY row_no
 )
 SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM done JOIN rows USING (row_no) CROSS JOIN unnest(range(copies)) AS t(copy)
+""",
+    "op13_chat_format": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)
+), marked AS (
+  SELECT *, replace(replace(role, '<', '<\'), '[', '[\') AS safe_role, replace(replace(text, '<', '<\'), '[', '[\') AS safe_text FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('[INST]') + length(safe_role) + length('[/INST]') + length(safe_text) + length('</s>')) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
 """,
 }
