@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from lexquarry.functions import text as T
 from lexquarry.operators.queries import _GREEDY, _GROUPABLE, _NORM, _PAIRS, ORACLE_SQL, QUERIES, C, N, U, _words, greedy_groups, query, scalar, summary_pairs
@@ -25,8 +23,6 @@ scalar("set01_shared_words", lambda: F.size(F.array_intersect(T.words(F.coalesce
 scalar("prj08_complete", lambda: N().isNotNull() & (U() != ""), "case_name IS NOT NULL AND url <> ''")
 scalar("src15_result_title", lambda: F.when(F.contains(F.expr(_PAGE), C()), F.regexp_extract(F.expr(_PAGE), TITLE_PATTERN, 1)), f"CASE WHEN contains({_PAGE}, citation) THEN regexp_extract({_PAGE}, '{TITLE_PATTERN}', 1) END")
 scalar("snk08_badge", lambda: F.format_string("<span class=\"%s\">%s</span>", F.when(F.col("found"), "verified").otherwise("hallucinated"), C()), "'<span class=\"' || CASE WHEN found THEN 'verified' ELSE 'hallucinated' END || '\">' || citation || '</span>'")
-scalar("cls01_verdict", lambda: F.when(~F.col("found"), "hallucination").when(F.coalesce(N(), F.lit("Unknown case")) == "Unknown case", "possible_hallucination").otherwise(F.concat(F.lit("Citation confirmed: "), N(), F.when(U() != "", F.concat(F.lit(" - "), U())).otherwise(""))), "CASE WHEN NOT found THEN 'hallucination' WHEN coalesce(case_name, 'Unknown case') = 'Unknown case' THEN 'possible_hallucination' ELSE 'Citation confirmed: ' || case_name || CASE WHEN url <> '' THEN ' - ' || url ELSE '' END END")
-scalar("cls05_needs_url_and_name", lambda: F.when(~F.col("found"), "not found").when((U() == "") & N().isNull(), "no URL and no name").when(U() == "", "no URL").when(N().isNull() | (F.lower(N()) == "unknown case"), "no name").otherwise("verified"), "CASE WHEN NOT found THEN 'not found' WHEN url = '' AND case_name IS NULL THEN 'no URL and no name' WHEN url = '' THEN 'no URL' WHEN case_name IS NULL OR lower(case_name) = 'unknown case' THEN 'no name' ELSE 'verified' END")
 scalar("cls13_default_citation", lambda: F.coalesce(F.when(F.col("page") % 4 != 0, C()), F.lit("2016 WL 165971")), "coalesce(CASE WHEN page % 4 <> 0 THEN citation END, '2016 WL 165971')")
 
 
@@ -40,24 +36,44 @@ def scl03(spark, sf):
 _TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-@F.udf(DoubleType(), useArrow=True)
-def _cosine(x: list, y: list) -> float:
-    """Linear in the tokens: whole texts have many."""
-    p, q = Counter(x), Counter(y)
-    alone = math.log(1.5) + 1
+#: What a word of one of the two texts counts for, against 1 for a word of both.
+_ALONE = math.log(1.5) + 1
 
-    def norm(own: Counter, other: Counter) -> float:
-        return math.sqrt(sum((n * (1 if w in other else alone)) ** 2 for w, n in own.items()))
 
-    return max(0.0, min(1.0, sum(n * q[w] for w, n in p.items()) / max(norm(p, q) * norm(q, p), 1e-300)))
+def tfidf_pairs(summaries: DataFrame, iterations: int = 3) -> DataFrame:
+    """``(citation_id, i, j, sim)`` of ``summaries(citation_id, iter, text)``: cosine of two texts' TF-IDF vectors over a corpus of these two.
 
+    1 if they are equal, their words' Jaccard if neither has a token, 0 if one has
+    none. Tokens are counted by text, so that neither a text's tokens nor its
+    vector is ever one value; a token's counts in all of an id's texts meet in one
+    row, and the sums over these rows give every pair.
+    """
+    pairs = [(i, j) for i in range(iterations) for j in range(i + 1, iterations)]
+    tokens = summaries.select("citation_id", "iter", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), 0)).alias("w"))
+    met = tokens.groupBy("citation_id", "w").agg(*(F.count_if(F.col("iter") == i).cast("double").alias(f"n{i}") for i in range(iterations)))
+
+    def n(i: int) -> Column:
+        return F.col(f"n{i}")
+
+    def weight(i: int, j: int) -> Column:
+        return F.pow(n(i) * F.when(n(j) > 0, 1.0).otherwise(_ALONE), F.lit(2.0))
+
+    sums = [F.sum(n(i) * n(j)).alias(f"dot_{i}_{j}") for i, j in pairs] + [F.sum(weight(*p)).alias(f"norm_{p[0]}_{p[1]}") for i, j in pairs for p in ((i, j), (j, i))]
+    totals = met.groupBy("citation_id").agg(*sums)
+    looks = summaries.groupBy("citation_id").agg(*(F.max(F.when(F.col("iter") == i, F.md5(F.col("text").cast("binary")))).alias(f"look{i}") for i in range(iterations)))
 
-def tfidf_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the two texts' TF-IDF vectors over a corpus of these two; 1 if equal, word Jaccard if neither has a token."""
-    x, y = (F.regexp_extract_all(F.lower(c), F.lit(_TOKEN), 0) for c in (a, b))
-    none = (F.size(x) == 0) & (F.size(y) == 0)
-    bare = (F.size(x) == 0) | (F.size(y) == 0)
-    return F.when(a == b, 1.0).when(none, T.word_jaccard(a, b)).when(bare, 0.0).otherwise(_cosine(x, y))
+    def sim(i: int, j: int) -> Column:
+        a, b = (F.coalesce(F.col(f"norm_{p}_{q}"), F.lit(0.0)) for p, q in ((i, j), (j, i)))
+        cosine = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"dot_{i}_{j}") / F.sqrt(a * b)))
+        return F.when(F.col(f"look{i}") == F.col(f"look{j}"), 1.0).when((a == 0) & (b == 0), None).when((a == 0) | (b == 0), 0.0).otherwise(cosine)
+
+    rows = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), sim(i, j).alias("sim"), F.col(f"look{i}").isNotNull() & F.col(f"look{j}").isNotNull() & sim(i, j).isNull() & (F.col(f"look{i}") != F.col(f"look{j}"))) for i, j in pairs))
+    names = "array<struct<i: int, j: int, sim: double, bare: boolean>>"
+    found = looks.join(totals, "citation_id", "left").select("citation_id", F.explode(rows.cast(names)).alias("r")).select("citation_id", "r.*").where("sim IS NOT NULL OR bare")
+    bare = summaries.where(~F.col("text").rlike(_TOKEN))  # few: texts of single letters
+    x, y = (bare.select("citation_id", F.col("iter").alias(k), F.col("text").alias(t)) for k, t in (("i", "x"), ("j", "y")))
+    words = x.join(y, "citation_id").where("i < j").select("citation_id", "i", "j", T.word_jaccard(F.col("x"), F.col("y")).alias("by_words"))
+    return found.join(words, ["citation_id", "i", "j"], "left").select("citation_id", "i", "j", F.when(F.col("bare"), F.coalesce("by_words", F.lit(0.0))).otherwise(F.col("sim")).alias("sim"))
 
 
 _TFIDF = f"""SELECT p.citation_id, p.i, p.j, round(CASE WHEN p.x = p.y THEN 1.0 WHEN a.norm IS NULL OR b.norm IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, coalesce(d.dot, 0.0) / (a.norm * b.norm))) END, 6) AS sim
@@ -72,7 +88,7 @@ _OVERLAP = f"CAST(CASE WHEN greatest(len({_words('lower(x)')}), len({_words('low
 
 @query("scl14_tfidf_cosine", f"WITH w_summaries AS ({W_SUMMARIES}), {_COUNTS} {_TFIDF}")
 def scl14(spark, sf):
-    return summary_pairs(spark, sf).select("citation_id", "i", "j", F.round(tfidf_cosine(F.col("x"), F.col("y")), 6).alias("sim"))
+    return tfidf_pairs(derived(spark, sf, "w_summaries")).select("citation_id", "i", "j", F.round("sim", 6).alias("sim"))
 
 
 @query("scl15_overlap", f"SELECT citation_id, i, j, round({_OVERLAP}, 6) AS sim FROM ({_PAIRS})", "w_summaries")
@@ -86,33 +102,49 @@ def check(iterations: int, threshold: float) -> None:
         raise ValueError("iterations must be 1 to 10, threshold 0.1 to 1.0")
 
 
-@query("cls08_two_summaries", f"SELECT citation_id, CASE WHEN length(x) > 50 AND length(y) > 50 THEN CASE WHEN {_OVERLAP} > 0.3 THEN 'real' ELSE 'not real' END WHEN length(x) > 50 OR length(y) > 50 THEN 'real' ELSE 'not real' END AS verdict FROM ({_PAIRS}) WHERE i = 0 AND j = 1", "w_summaries")
-def cls08(spark, sf):
-    x, y = F.col("x"), F.col("y")
-    both = F.when(T.overlap_similarity(x, y) > 0.3, "real").otherwise("not real")
-    verdict = F.when((F.length(x) > 50) & (F.length(y) > 50), both).when((F.length(x) > 50) | (F.length(y) > 50), "real").otherwise("not real")
-    return summary_pairs(spark, sf).where("i = 0 AND j = 1").select("citation_id", verdict.alias("verdict"))
+# Joins -----------------------------------------------------------------------
 
 
-_MEAN = ORACLE_SQL["agg11_mean_similarity"]
+#: Of a longer citation, its last so many characters are looked up, and the whole compared after.
+_TAIL = 24
+#: Places of equal citations of a document that matter: the row itself and three others.
+_PLACES = 4
 
 
-@query("cls09_similarity_verdict", f"SELECT citation_id, sim < 0.3 AS hallucinated, round(least(2 * abs(sim - CAST(0.3 AS DOUBLE)) / CAST(0.7 AS DOUBLE), 1.0), 6) AS confidence FROM ({_MEAN})")
-def cls09(spark, sf, iterations: int = 3, threshold: float = 0.3):
-    check(iterations, threshold)
-    mean = QUERIES["agg11_mean_similarity"](spark, sf)
-    return mean.select("citation_id", (F.col("sim") < threshold).alias("hallucinated"), F.round(T.confidence(F.col("sim"), F.lit(threshold)), 6).alias("confidence"))
+def distinct_places(rows: DataFrame) -> DataFrame:
+    """``(doc_id, x, places)`` of rows ``(doc_id, ord, x)``: a document's distinct texts, with the first places of each."""
+    nth = F.row_number().over(Window.partitionBy("doc_id", "x").orderBy("ord"))
+    return rows.withColumn("k", nth).where(F.col("k") <= _PLACES).groupBy("doc_id", "x").agg(F.array_sort(F.collect_list("ord")).alias("places"))
 
 
-# Joins -----------------------------------------------------------------------
+def held_pairs(texts: DataFrame) -> DataFrame:
+    """``(doc_id, x, y)`` of distinct texts ``(doc_id, x)`` of a document of which y holds x; x is not y.
 
-
-def within(spark, sf, both_ways: bool) -> DataFrame:
-    """Pairs (i, j) of a document's citations of which j holds i (or either the other). Documents have few citations."""
-    a = cites(spark, sf).select("doc_id", F.col("ord").alias("i"), F.lower(C()).alias("x"))
-    b = cites(spark, sf).select("doc_id", F.col("ord").alias("j"), F.lower(C()).alias("y"))
-    hit = F.contains("y", "x") | F.contains("x", "y") if both_ways else F.contains(F.col("y"), F.col("x"))
-    return a.join(b, "doc_id").where((F.col("i") != F.col("j")) & hit).select("doc_id", "i", "j")
+    A text is looked up among the substrings that others have of its length (or of
+    its last characters, if it is long), so texts meet only where they share one.
+    """
+    short = F.least(F.length("x"), F.lit(_TAIL))
+    asked = texts.select("doc_id", "x", short.alias("size"), F.right("x", short).alias("part"))
+    sizes = asked.groupBy("doc_id").agg(F.collect_set("size").alias("sizes"))  # _TAIL numbers at most
+    own = texts.select("doc_id", F.col("x").alias("y")).join(sizes, "doc_id")
+    cut = F.flatten(F.transform("sizes", lambda n: F.when(n <= F.length("y"), F.transform(F.sequence(F.lit(1), F.length("y") - n + 1), lambda i: F.substring("y", i, n))).otherwise(F.array().cast("array<string>"))))
+    parts = own.select("doc_id", "y", F.explode(F.array_distinct(cut)).alias("part"))
+    return asked.join(parts, ["doc_id", "part"]).where((F.col("x") != F.col("y")) & F.contains("y", "x")).select("doc_id", "x", "y")
+
+
+def first_places(citations: DataFrame, n: int, both_ways: bool) -> DataFrame:
+    """``(doc_id, i, js)`` of ``(doc_id, ord, citation)``: the first n (three at most) other places of a document whose citation holds the one at i (or either the other), whatever the case of letters."""
+    rows = citations.select("doc_id", "ord", F.lower("citation").alias("x"))
+    texts = distinct_places(rows)
+    pairs = held_pairs(texts.select("doc_id", "x"))
+    if both_ways:
+        pairs = pairs.unionByName(pairs.select("doc_id", F.col("y").alias("x"), F.col("x").alias("y")))
+    same = texts.select("doc_id", "x", F.explode("places").alias("j"))
+    other = pairs.join(same.withColumnRenamed("x", "y"), ["doc_id", "y"]).select("doc_id", "x", "j")
+    met = same.unionByName(other)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "x").orderBy("j"))
+    least = met.withColumn("k", nth).where(F.col("k") <= n + 1).groupBy("doc_id", "x").agg(F.array_sort(F.collect_list("j")).alias("js"))
+    return rows.withColumnRenamed("ord", "i").join(least, ["doc_id", "x"]).select("doc_id", "i", F.slice(F.filter("js", lambda j: j != F.col("i")), 1, n).alias("js")).where(F.size("js") > 0)
 
 
 _WITHIN = "SELECT a.doc_id, a.ord AS i, b.ord AS j FROM w_cites a JOIN w_cites b ON a.doc_id = b.doc_id AND a.ord <> b.ord AND (contains(lower(b.citation), lower(a.citation)){0})"
@@ -120,13 +152,12 @@ _WITHIN = "SELECT a.doc_id, a.ord AS i, b.ord AS j FROM w_cites a JOIN w_cites b
 
 @query("jon04_first_substring", f"SELECT doc_id, i, min(j) AS j FROM ({_WITHIN.format('')}) GROUP BY doc_id, i", "w_cites")
 def jon04(spark, sf):
-    return within(spark, sf, False).groupBy("doc_id", "i").agg(F.min("j").alias("j"))
+    return first_places(cites(spark, sf), 1, False).select("doc_id", "i", F.col("js")[0].alias("j"))
 
 
 @query("jon05_three_substrings", f"SELECT doc_id, i, string_agg(CAST(j AS VARCHAR), ',' ORDER BY j) AS js FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY j) AS k FROM ({_WITHIN.format(' OR contains(lower(a.citation), lower(b.citation))')})) WHERE k <= 3 GROUP BY doc_id, i", "w_cites")
 def jon05(spark, sf):
-    js = F.slice(F.array_sort(F.collect_list("j")), 1, 3)
-    return within(spark, sf, True).groupBy("doc_id", "i").agg(F.array_join(js.cast("array<string>"), ",").alias("js"))
+    return first_places(cites(spark, sf), 3, True).select("doc_id", "i", F.array_join(F.col("js").cast("array<string>"), ",").alias("js"))
 
 
 _WESTLAW = r"regexp_matches(citation, '(\d{4})\s*W\.?\s*L\.?\s*(\d+)')"
@@ -231,12 +262,23 @@ def heads(spark, sf) -> DataFrame:
     return rows.where(~F.col("big") | (F.col("k") == 1)).select("doc_id", "case_name", "found", place.alias("ord"))
 
 
-@query("agg09_url_then_name", _GREEDY.replace(f"{_NORM.format('case_name')} AS nm FROM w_cites", f"{_NORM.format('case_name')} AS nm FROM ({_HEADS})"), "w_cites")
+_GROUPS = _GREEDY.replace(f"{_NORM.format('case_name')} AS nm FROM w_cites", f"{_NORM.format('case_name')} AS nm FROM ({_HEADS})")
+
+
+@query("agg09_url_then_name", _GROUPS, "w_cites")
 def agg09(spark, sf):
     """Grouped by URL, then the groups' first citations by name; ord and leader count groups."""
     return greedy_groups(heads(spark, sf).select("doc_id", "ord", T.normalize_case_name(N()).alias("name")))
 
 
+@query("agg04_unique_cases", f"SELECT g.doc_id, count(*) AS cases, count(*) FILTER (h.found) AS verified_cases FROM ({_GROUPS}) g JOIN ({_HEADS}) h ON h.doc_id = g.doc_id AND h.ord = g.ord WHERE g.ord = g.leader GROUP BY g.doc_id", "w_cites")
+def agg04(spark, sf):
+    """Groups of citations by URL and then by name, and those whose first citation was found."""
+    first = heads(spark, sf)
+    groups = greedy_groups(first.select("doc_id", "ord", T.normalize_case_name(N()).alias("name"))).where("ord = leader")
+    return groups.join(first.select("doc_id", "ord", "found"), ["doc_id", "ord"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("cases"), F.count_if("found").alias("verified_cases"))
+
+
 @query("agg17_recount", f"SELECT doc_id, count(*) FILTER (NOT found) AS hallucinated, count(*) FILTER (found) AS verified FROM ({_HEADS}) GROUP BY doc_id", "w_cites")
 def agg17(spark, sf):
     return heads(spark, sf).groupBy("doc_id").agg(F.count_if(~F.col("found")).alias("hallucinated"), F.count_if("found").alias("verified"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as T
+from lexquarry.operators.greedy import greedy_groups
 from lexquarry.plans.workload import briefs, cites, derived, oracle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,9 +93,7 @@ scalar("src01_allowed_file", lambda: T.allowed_file(F.concat(C(), F.element_at(F
 scalar("prj01_grouping_record", lambda: F.concat_ws("|", F.coalesce(N(), F.lit("Unknown Case")), U(), F.coalesce("source", F.lit("Unknown"))), "coalesce(case_name, 'Unknown Case') || '|' || url || '|' || coalesce(source, 'Unknown')")
 scalar("prj05_absolute_url", lambda: T.absolute_url(U(), HOST), f"CASE WHEN url <> '' AND NOT starts_with(url, 'http') THEN '{HOST}' || url ELSE url END")
 scalar("prj07_truncate", lambda: T.truncate(F.concat(F.repeat(F.lit("x"), (F.col("page") % 130).cast("int")), C()), 100), "CASE WHEN len(repeat('x', CAST(page % 130 AS INT)) || citation) > 100 THEN substr(repeat('x', CAST(page % 130 AS INT)) || citation, 1, 100) || '...' ELSE repeat('x', CAST(page % 130 AS INT)) || citation END")
-scalar("cls02_intended_verdict", lambda: F.when((U() != "") & N().isNotNull() & (N() != "Unknown case"), "not_hallucination").when(N().isNotNull() & (N() != "Unknown case"), "unconfirmed").when(U() != "", "unconfirmed").otherwise("possible_hallucination"), "CASE WHEN url <> '' AND case_name IS NOT NULL AND case_name <> 'Unknown case' THEN 'not_hallucination' WHEN case_name IS NOT NULL AND case_name <> 'Unknown case' THEN 'unconfirmed' WHEN url <> '' THEN 'unconfirmed' ELSE 'possible_hallucination' END")
 scalar("cls06_two_way", lambda: F.when(F.col("found"), 0.95).otherwise(0.85), "CASE WHEN found THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END")
-scalar("cls07_confidence", lambda: F.when(F.col("found"), 0.9).when(U() == "", 0.7).otherwise(0.8), "CASE WHEN found THEN CAST(0.9 AS DOUBLE) WHEN url = '' THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END")
 scalar("cls11_display_state", lambda: F.when(~F.col("found"), "hallucinated").when((U() == "") | (T.is_westlaw(C()) & N().isNull()), "unconfirmed").otherwise("verified"), r"CASE WHEN NOT found THEN 'hallucinated' WHEN url = '' OR (regexp_matches(citation, '(\d{4})\s*W\.?\s*L\.?\s*(\d+)') AND case_name IS NULL) THEN 'unconfirmed' ELSE 'verified' END")
 
 # Texts -----------------------------------------------------------------------
@@ -151,9 +150,22 @@ def scl13(spark, sf):
     return summary_pairs(spark, sf).select("citation_id", "i", "j", F.round(T.word_jaccard(F.col("x"), F.col("y")), 6).alias("sim"))
 
 
-@query("agg11_mean_similarity", f"SELECT citation_id, round(avg(CAST({_JACCARD} AS DOUBLE)), 8) AS sim FROM ({_PAIRS}) GROUP BY citation_id", "w_summaries")
+def mean_similarity(summaries: DataFrame) -> DataFrame:
+    """``(citation_id, n, sim)`` of ``summaries(citation_id, iter, text)``: how many there are that say anything, and the mean similarity of two; 1 if there are no two."""
+    said = summaries.where("text <> ''")
+    left, right = (said.select("citation_id", F.col("iter").alias(i), F.col("text").alias(x)) for i, x in (("i", "x"), ("j", "y")))
+    pairs = left.join(right, "citation_id").where("i < j").groupBy("citation_id").agg(F.avg(F.round(T.word_jaccard(F.col("x"), F.col("y")), 6)).alias("mean"))
+    counts = summaries.groupBy("citation_id").agg(F.count_if(F.col("text") != "").alias("n"))
+    return counts.join(pairs, "citation_id", "left").select("citation_id", "n", F.round(F.coalesce("mean", F.lit(1.0)), 8).alias("sim"))
+
+
+MEANS = f"""SELECT citation_id, n, round(coalesce(mean, CAST(1 AS DOUBLE)), 8) AS sim FROM (SELECT citation_id, count(*) FILTER (text <> '') AS n FROM w_summaries GROUP BY citation_id)
+LEFT JOIN (SELECT citation_id, avg(CAST({_JACCARD} AS DOUBLE)) AS mean FROM ({_PAIRS}) WHERE x <> '' AND y <> '' GROUP BY citation_id) USING (citation_id)"""
+
+
+@query("agg11_mean_similarity", f"SELECT citation_id, n, sim FROM ({MEANS})", "w_summaries")
 def agg11(spark, sf):
-    return summary_pairs(spark, sf).groupBy("citation_id").agg(F.round(F.avg(F.round(T.word_jaccard(F.col("x"), F.col("y")), 6)), 8).alias("sim"))
+    return mean_similarity(derived(spark, sf, "w_summaries"))
 
 
 @query("scl12_name_similarity", f"SELECT doc_id, i, j, CAST({_sim('x', 'y')} AS DOUBLE) AS sim FROM (SELECT a.doc_id, a.ord AS i, b.ord AS j, {_NORM.format('a.case_name')} AS x, {_NORM.format('b.case_name')} AS y FROM w_cites a JOIN w_cites b ON a.doc_id = b.doc_id AND a.ord < b.ord)", "w_cites")
@@ -246,12 +258,6 @@ def agg03(spark, sf):
     return cites(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), bad.alias("hallucinated"), (F.count(F.lit(1)) - bad).alias("verified"))
 
 
-@query("agg04_unique_cases", "SELECT doc_id, count(DISTINCT CASE WHEN url <> '' THEN url ELSE citation END) AS cases, count(DISTINCT CASE WHEN found THEN CASE WHEN url <> '' THEN url ELSE citation END END) AS verified_cases FROM w_cites GROUP BY doc_id", "w_cites")
-def agg04(spark, sf):
-    case = F.when(U() != "", U()).otherwise(C())
-    return cites(spark, sf).groupBy("doc_id").agg(F.countDistinct(case).alias("cases"), F.countDistinct(F.when(F.col("found"), case)).alias("verified_cases"))
-
-
 @query("agg05_success_share", "SELECT count(*) AS total, count(*) FILTER (found) AS good, round(100.0 * count(*) FILTER (found) / count(*), 1) AS pct FROM w_cites", "w_cites")
 def agg05(spark, sf):
     return cites(spark, sf).agg(F.count(F.lit(1)).alias("total"), F.count_if("found").alias("good"), F.round(100.0 * F.count_if("found") / F.count(F.lit(1)), 1).alias("pct"))
@@ -272,27 +278,6 @@ def agg07(spark, sf):
     return groups.where("size >= 2").select("doc_id", "url", "first_ord", "size", F.array_join(F.transform("m", lambda x: x["citation"]), "; ").alias("members"))
 
 
-def greedy_groups(named: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``(doc_id, ord, leader)`` of ``named(doc_id, ord, name)``: each row joins the first leader that is similar enough, or leads.
-
-    Unnamed rows lead themselves. A document's rows are folded in order; they fit in one row.
-    """
-    known = F.col("name").isNotNull() & (F.col("name") != "") & (F.col("name") != "unknown case")
-    rows = named.where(known).select("doc_id", F.struct("ord", "name", T.words(F.col("name")).alias("words")).alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-
-    def step(acc, x):
-        alike = F.filter(acc["leaders"], lambda g: T.alike(g["name"], x["name"], g["words"], x["words"]) >= threshold)
-        own = F.size(alike) == 0
-        leader = F.coalesce(F.try_element_at(alike, F.lit(1))["ord"], x["ord"])
-        return F.struct(F.when(own, F.array_append(acc["leaders"], x)).otherwise(acc["leaders"]).alias("leaders"), F.array_append(acc["places"], leader).alias("places"))
-
-    kind = rows.schema["xs"].dataType.simpleString()
-    none = F.struct(F.array().cast(kind).alias("leaders"), F.array().cast("array<int>").alias("places"))
-    folded = rows.select("doc_id", "xs", F.aggregate("xs", none, step)["places"].alias("places"))
-    folded = folded.select("doc_id", F.explode(F.arrays_zip(F.col("xs.ord").alias("ord"), F.col("places").alias("leader"))).alias("g")).select("doc_id", "g.ord", "g.leader")
-    return folded.unionByName(named.where(~F.coalesce(known, F.lit(False))).select("doc_id", "ord", F.col("ord").alias("leader")))
-
-
 _GREEDY = f"""SELECT doc_id, ord, leader FROM (
 WITH RECURSIVE named AS (SELECT doc_id, ord, {_NORM.format('case_name')} AS nm FROM w_cites),
 good AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM named WHERE nm <> '' AND nm <> 'unknown case'),

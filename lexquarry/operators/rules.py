@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as T
-from lexquarry.operators.cases import _GROUPABLE, _MEAN, TITLE_PATTERN
-from lexquarry.operators.queries import _GREEDY, _NORM, ORACLE_SQL, QUERIES, C, greedy_groups, query
+from lexquarry.operators.cases import _GROUPABLE, TITLE_PATTERN
+from lexquarry.operators.queries import _GREEDY, _NORM, MEANS, ORACLE_SQL, C, greedy_groups, mean_similarity, query
 from lexquarry.plans.workload import cites, derived, table
 from lexquarry.sources.files import inline_texts
 
@@ -175,7 +175,7 @@ CASE method WHEN 'courtlistener' THEN CASE WHEN bare THEN CAST(0.7 AS DOUBLE) EL
 CASE method WHEN 'courtlistener' THEN NOT bare WHEN 'westlaw_unverifiable' THEN NULL ELSE sim >= CAST(0.7 AS DOUBLE) END AS "exists"
 FROM (SELECT c.doc_id, c.ord, {_UNKNOWN.replace('CAST(', 'CAST(r.')} >= 3 AS bare, coalesce(m.sim, 1.0) AS sim,
   CASE WHEN c.found AND NOT {_WESTLAW} THEN 'courtlistener' WHEN m.sim IS NOT NULL THEN 'langsearch_comparison' WHEN {_WESTLAW} THEN 'westlaw_unverifiable' ELSE 'summary_comparison' END AS method
-  FROM w_cites c JOIN w_records r ON r.doc_id = c.doc_id AND r.ord = c.ord LEFT JOIN ({_MEAN}) m ON m.citation_id = c.page)""", "w_cites", "w_records")
+  FROM w_cites c JOIN w_records r ON r.doc_id = c.doc_id AND r.ord = c.ord LEFT JOIN ({MEANS}) m ON m.citation_id = c.page)""", "w_cites", "w_records", "w_summaries")
 def cls10(spark, sf, threshold: float = 0.7):
     """Found by the lookup, else by comparing summaries; a Westlaw citation without either can't be verified.
 
@@ -183,7 +183,7 @@ def cls10(spark, sf, threshold: float = 0.7):
     """
     bare = unknown_fields()[1]
     records = derived(spark, sf, "w_records").select("doc_id", "ord", "page", "found", bare.alias("bare"), F.concat_ws(" ", "reporter").alias("reporter"))
-    mean = QUERIES["agg11_mean_similarity"](spark, sf).select(F.col("citation_id").alias("page"), "sim")
+    mean = mean_similarity(derived(spark, sf, "w_summaries")).select(F.col("citation_id").alias("page"), "sim")
     westlaw = F.col("reporter") == "WL"
     rows = records.join(mean, "page", "left")
     method = F.when(F.col("found") & ~westlaw, "courtlistener").when(F.col("sim").isNotNull(), "langsearch_comparison").when(westlaw, "westlaw_unverifiable").otherwise("summary_comparison")

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.sources.store import new_path
-
 W_CITES = """
 SELECT doc_id, ord, volume, reporter, page, volume || ' ' || reporter || ' ' || page AS citation, case_name, url, found, source, conf, supp, court, date_filed, docket_number
 FROM (
@@ -96,7 +92,32 @@ SELECT page AS id, max(CASE WHEN court <> 'Unknown court' THEN court END) AS cou
 FROM w_cites WHERE found GROUP BY page, volume, reporter
 """
 
-CTES = {"w_cites": W_CITES, "w_briefs": W_BRIEFS, "w_mirror": W_MIRROR, "w_sources": W_SOURCES, "w_summaries": W_SUMMARIES, "w_records": W_RECORDS, "w_hits": W_HITS, "w_answers": W_ANSWERS, "w_items": W_ITEMS, "w_clusters": W_CLUSTERS}
+#: An item of the lookup's answer in its nested form. Some items know a citation by its normalised spelling, some only among
+#: the citations of their first case; some were not found; a case may lack a URL, or a name, or have a name that is null.
+LOOKUP_ITEM = """'{"citation": "' || citation || '", "normalized_citations": ' || CASE page % 4 WHEN 1 THEN '[]' WHEN 2 THEN '["' || upper(citation) || '"]' ELSE '["' || citation || '", "' || citation || ' n. 2"]' END
+  || ', "status": ' || CASE WHEN page % 11 = 0 THEN '404, "error_message": "Citation not found", "clusters": []}' ELSE '200, "error_message": "", "clusters": [{"id": ' || page
+  || CASE WHEN page % 5 = 0 THEN '' WHEN page % 5 = 1 THEN ', "absolute_url": "https://example.net/opinion/' || page || '/"' ELSE ', "absolute_url": "/opinion/' || page || '/"' END
+  || CASE page % 7 WHEN 1 THEN '' WHEN 2 THEN ', "case_name": null' WHEN 3 THEN ', "case_name": "Unknown case"' ELSE ', "case_name": "Case ' || page || '"' END
+  || ', "citations": [{"volume": ' || (volume + 1) || ', "reporter": "L. Ed. 2d", "page": "' || page || '", "type": 1}, {"volume": ' || volume || ', "reporter": "' || replace(reporter, ' ', '') || '", "page": "' || page || '", "type": 1}]}'
+  || CASE WHEN page % 3 = 0 THEN ', {"id": 0, "case_name": "Second case", "citations": []}' ELSE '' END || ']}' END"""
+
+#: The lookup's answer to each brief; one in nineteen is not an answer.
+W_LOOKUP = f"""
+SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'Service unavailable' ELSE '[' || string_agg({LOOKUP_ITEM}, ', ' ORDER BY ord) || ']' END AS answer FROM w_cites WHERE page % 9 <> 0 GROUP BY doc_id
+"""
+
+#: What other services say of each citation: two summaries with their responses, whether there is a key, and what went wrong.
+W_CHECKS = """
+SELECT doc_id, ord, page, citation, reporter, case_name, url, found, page % 17 <> 0 AS has_key, CASE WHEN page % 13 = 0 THEN 500 ELSE 200 END AS first_status, CASE WHEN page % 13 = 1 THEN 429 ELSE 200 END AS second_status,
+  CASE page % 12 WHEN 2 THEN 'We were Unable to find this case.' WHEN 3 THEN 'Too short.' WHEN 4 THEN '' ELSE 'The case ' || citation || ' turns on whether notice was given before the contract ended.' END AS first_text,
+  CASE page % 12 WHEN 5 THEN 'There is NO INFORMATION on it.' WHEN 6 THEN 'Also short.' WHEN 3 THEN 'Short, too.' WHEN 7 THEN 'Nobody remembers anything; several witnesses described unrelated events elsewhere.' ELSE 'In ' || citation || ' the court asked whether notice was given before the contract ended.' END AS second_text,
+  CASE page % 19 WHEN 1 THEN 'generation' WHEN 2 THEN 'similarity' WHEN 3 THEN 'none' WHEN 4 THEN 'other' END AS problem,
+  CASE WHEN page % 23 = 0 THEN 500 WHEN page % 23 = 1 THEN 429 ELSE 200 END AS service_status,
+  CASE WHEN page % 29 = 0 THEN '  ' WHEN page % 29 = 1 THEN 'see Pringle v JP Morgan Chase, ' || citation WHEN page % 29 < 6 THEN replace(citation, reporter, 'U.S. LEXIS') ELSE citation END AS asked
+FROM w_cites
+"""
+
+CTES = {"w_lookup": W_LOOKUP, "w_checks": W_CHECKS, "w_cites": W_CITES, "w_briefs": W_BRIEFS, "w_mirror": W_MIRROR, "w_sources": W_SOURCES, "w_summaries": W_SUMMARIES, "w_records": W_RECORDS, "w_hits": W_HITS, "w_answers": W_ANSWERS, "w_items": W_ITEMS, "w_clusters": W_CLUSTERS}
 
 
 def oracle(body: str, *names: str) -> str:
@@ -112,20 +133,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
-
-
-def stored(name: str, derive: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A derived table, written to the shared folder once in an application for each folder of tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
-        path = new_path(spark, name)
-        derive(spark, sf_dir).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
-
-
-def derive_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The citations, as ``W_CITES`` states them."""
     names = ("lineitem", "part", "orders", "customer")
     query = W_CITES
     for n in names:
@@ -133,19 +142,21 @@ def derive_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(query, **{n: table(spark, sf_dir, n) for n in names})
 
 
-def derive_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = cites(spark, sf_dir).select("doc_id", "ord", F.expr(SENTENCE).alias("s"))
-    return said.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "s"))), lambda x: x["s"]), " ").alias("text"))
-
-
-def cites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The citations, as ``W_CITES`` states them."""
-    return stored("w_cites", derive_cites, spark, sf_dir)
+def in_order(rows: DataFrame, said: Column, between: str) -> DataFrame:
+    """``(doc_id, text)``: what is said of a document's citations, in their order."""
+    met = rows.select("doc_id", "ord", said.alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "s"))).alias("x"))
+    return met.select("doc_id", F.array_join(F.transform("x", lambda x: x["s"]), between).alias("text"))
 
 
 def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One brief a document: its sentences in order. A document has few sentences."""
-    return stored("w_briefs", derive_briefs, spark, sf_dir)
+    return in_order(cites(spark, sf_dir), F.expr(SENTENCE), " ")
+
+
+def lookup_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, answer)``, as ``W_LOOKUP`` states them."""
+    rows = cites(spark, sf_dir).where("page % 9 <> 0").withColumn("said", F.expr(LOOKUP_ITEM))
+    return in_order(rows, F.col("said"), ", ").select("doc_id", F.when(F.col("doc_id") % 19 == 0, "Service unavailable").otherwise(F.concat(F.lit("["), "text", F.lit("]"))).alias("answer"))
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,5 +180,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in ("w_summaries", "w_sources"):
         return (summaries if name == "w_summaries" else sources)(spark, sf_dir)
+    if name == "w_lookup":
+        return lookup_answers(spark, sf_dir)
     query = CTES[name].replace("{", "{{").replace("}", "}}").replace("FROM w_cites", "FROM {w_cites}")
     return spark.sql(query, w_cites=cites(spark, sf_dir))

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from lexquarry.operators import cases  # noqa: F401
+from lexquarry.operators import verdicts  # noqa: F401  (adds its queries)
 from lexquarry.operators.queries import QUERIES
 
 START = "The same first words stand in every one of these texts until the hundred and sixtieth character has gone by, and nothing differs up to this place, not one word of it all. "
@@ -59,7 +60,10 @@ def test_similarities_equal_brute_force(spark, sf, name, rule):
 
 
 def test_verdicts_equal_brute_force(spark, sf):
-    mean = {d: sum(round(jaccard(*pairs()[d, i, j]), 6) for i, j in ((0, 1), (0, 2), (1, 2))) / 3 for d in TEXTS}
+    mean = {}
+    for d in TEXTS:
+        alike = [round(jaccard(*pairs()[d, i, j]), 6) for i, j in ((0, 1), (0, 2), (1, 2)) if all(pairs()[d, i, j])]
+        mean[d] = sum(alike) / len(alike) if alike else 1.0
     assert {r["citation_id"]: r["sim"] for r in QUERIES["agg11_mean_similarity"](spark, sf).collect()} == {d: pytest.approx(m, abs=2e-8) for d, m in mean.items()}
     assert {r["citation_id"]: r["hallucinated"] for r in QUERIES["cls09_similarity_verdict"](spark, sf).collect()} == {d: m < 0.3 for d, m in mean.items()}
     verdict = {}
