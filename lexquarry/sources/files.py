@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,16 +23,43 @@ CASES = "id long, case_name string, court string, date_filed string, citation st
 EVENT = "status string, current int, total int, message string, total_citations int, hallucinated_citations int, extracted_citations array<string>, citation_index int"
 
 
+def _scan(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
+
+
+def _as_path(uri: str) -> str:
+    """A file's URI as Spark's path column writes it."""
+    return re.sub(r"^([a-z0-9+.-]+):///", r"\1:/", unquote(uri))
+
+
 def listing(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
-    """``(path, length)`` of the files that may be analysed; contents are not read. Spark lists no files of 0 bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").where(allowed_file(F.col("path")))
-    return files.where(F.lower("path").endswith(f".{extension}")) if extension else files
+    """``(path, length)`` of the files that may be analysed, those of 0 bytes as well; contents are not read.
+
+    Spark's own listing of the folder names the files; its scans pass over empty ones, which are those that the scan lacks.
+    """
+    files = _scan(spark, path, f"*.{{{extension},{extension.upper()}}}" if extension else "*")
+    named = spark.createDataFrame([(_as_path(f),) for f in files.inputFiles()], "path string")
+    found = named.join(files.select("path", "length"), "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
+    return found.where(allowed_file(F.col("path")))
+
+
+def guarded(files: DataFrame, max_bytes: dict[str, int] = MAX_BYTES) -> DataFrame:
+    """``(path, length, error)`` of ``listing``'s rows: error is null for files that are to be read."""
+    extension = F.lower(F.element_at(F.split("path", "[.]"), -1))
+    most = F.lit(None).cast("long")
+    for name, n in max_bytes.items():
+        most = F.when(extension == name, F.lit(n)).otherwise(most)
+    empty = F.concat(F.lit("Error: File is empty: "), "path")
+    large = F.concat(F.lit("Error: File is too large ("), F.col("length").cast("string"), F.lit(" bytes): "), "path")
+    return files.select("path", "length", F.when(F.col("length") == 0, empty).when(F.col("length") > most, large).alias("error"))
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, text)`` of .txt files: UTF-8, or Latin-1 if a file's bytes are not UTF-8. Empty files are passed over."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").load(path).where("length > 0")
-    return files.select("path", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1")).alias("text"))
+    """``(path, text, error)`` of .txt files: UTF-8, or Latin-1 if a file's bytes are not UTF-8. Empty files have an error."""
+    files = _scan(spark, path, "*.[tT][xX][tT]").where("length > 0")
+    read = files.select("path", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1")).alias("text"))
+    every = guarded(listing(spark, path)).where(F.lower("path").endswith(".txt")).select("path", "error")
+    return every.join(read, "path", "left").select("path", "text", "error")
 
 
 def _paragraphs(content: bytes) -> tuple[str | None, str | None]:
@@ -46,20 +75,19 @@ def _paragraphs(content: bytes) -> tuple[str | None, str | None]:
 def docx_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES["docx"]) -> DataFrame:
     """``(path, text, error)`` of .docx files: paragraphs joined by a line break.
 
-    Unreadable and too large files, and those without text, have an error instead
-    of a text; the contents of too large ones are never read. Spark passes over
-    files of 0 bytes, so these have no row.
+    Unreadable, empty and too large files, and those without text, have an error
+    instead of a text; the contents of too large ones are never read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[dD][oO][cC][xX]").load(path)
+    files = _scan(spark, path, "*.[dD][oO][cC][xX]")
 
     @F.pandas_udf("text string, error string")
     def parse(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in contents:
             yield pd.DataFrame([_paragraphs(c) for c in batch], columns=["text", "error"], dtype="object")
 
-    fits = F.col("length") <= max_bytes
-    good = files.where(fits).select("path", parse("content").alias("x")).select("path", "x.text", "x.error")
-    return good.unionByName(files.where(~fits).select("path", F.lit(None).cast("string").alias("text"), F.lit("Error: too large").alias("error")))
+    good = files.where((F.col("length") <= max_bytes) & (F.col("length") > 0)).select("path", parse("content").alias("x")).select("path", "x.text", "x.error")
+    bad = guarded(listing(spark, path), {"docx": max_bytes}).where(F.lower("path").endswith(".docx") & F.col("error").isNotNull())
+    return good.unionByName(bad.select("path", F.lit(None).cast("string").alias("text"), "error"))
 
 
 def saved_cases(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@ import zipfile
 
 import pytest
 
-from lexquarry.operators.cases import check, tfidf_cosine
+from lexquarry.operators.cases import check, tfidf_pairs
 from lexquarry.sources import files
 from lexquarry.streaming.progress import drain
 
@@ -11,10 +11,21 @@ from lexquarry.streaming.progress import drain
 def test_texts_fall_back_to_latin_1(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("410 U.S. 113 é".encode())
     (tmp_path / "b.TXT").write_bytes("é".encode("latin-1"))
-    (tmp_path / "c.txt").write_bytes(b"")
+    (tmp_path / "c d é.txt").write_bytes(b"")
     (tmp_path / "d.exe").write_bytes(b"x")
-    assert sorted(r.text for r in files.text_files(spark, str(tmp_path)).collect()) == ["410 U.S. 113 é", "é"]
-    assert files.listing(spark, str(tmp_path)).count() == 2  # the empty file isn't listed
+    got = {r.path.rpartition("/")[2]: (r.text, r.error) for r in files.text_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": ("410 U.S. 113 é", None), "b.TXT": ("é", None), "c d é.txt": (None, f"Error: File is empty: file:{tmp_path}/c d é.txt")}
+
+
+def test_listing_and_guards(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, n in (("a.pdf", 0), ("sub/b.PDF", 7), ("c.pdf", 9), ("d.docx", 0), ("e.exe", 3), ("noext", 2)):
+        (tmp_path / name).write_bytes(b"x" * n)
+    every = files.listing(spark, str(tmp_path))
+    assert {(r.path.rpartition("/")[2], r.length) for r in every.collect()} == {("a.pdf", 0), ("b.PDF", 7), ("c.pdf", 9), ("d.docx", 0)}
+    assert sorted(r.length for r in files.listing(spark, str(tmp_path), "pdf").collect()) == [0, 7, 9]
+    errors = {r.path.rpartition("/")[2]: r.error and r.error.split(":")[1].strip() for r in files.guarded(every, {"pdf": 8, "docx": 1}).collect()}
+    assert errors == {"a.pdf": "File is empty", "b.PDF": None, "c.pdf": "File is too large (9 bytes)", "d.docx": "File is empty"}
 
 
 def test_docx(spark, tmp_path):
@@ -26,8 +37,8 @@ def test_docx(spark, tmp_path):
     rows = {r.path[-6:]: r for r in files.docx_files(spark, str(tmp_path)).collect()}
     assert rows["a.docx"].text == "one two\nthree" and rows["a.docx"].error is None
     assert rows["b.docx"].text is None and rows["b.docx"].error.startswith("Error")
-    assert "c.docx" not in rows
-    assert {r.error for r in files.docx_files(spark, str(tmp_path), max_bytes=5).collect()} == {"Error: too large"}
+    assert rows["c.docx"].error.startswith("Error: File is empty")
+    assert {r.error.split("(")[0].split(":")[1] for r in files.docx_files(spark, str(tmp_path), max_bytes=5).collect()} == {" File is too large ", " File is empty"}
 
 
 def test_cases_and_events(spark, tmp_path):
@@ -52,5 +63,9 @@ def test_sinks(spark, tmp_path):
 def test_bounds_and_cosine(spark):
     with pytest.raises(ValueError):
         check(11, 0.5)
-    df = spark.createDataFrame([("a bb cc", "a bb cc"), ("bb", "cc"), ("", "bb"), ("x", "y")], "a string, b string")
-    assert [r[0] for r in df.select(tfidf_cosine(df.a, df.b)).collect()] == [1.0, 0.0, 0.0, 0.0]
+    texts = [("a bb cc", "a bb cc"), ("bb", "cc"), ("", "bb"), ("x", "y"), ("x y", "y z"), ("", "")]
+    rows = [(k, i, t) for k, pair in enumerate(texts) for i, t in enumerate(pair)]
+    got = tfidf_pairs(spark.createDataFrame(rows, "citation_id int, iter int, text string"), 2)
+    assert [r["sim"] for r in got.orderBy("citation_id").collect()] == [1.0, 0.0, 0.0, 0.0, pytest.approx(1 / 3), 1.0]
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
