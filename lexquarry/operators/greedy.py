@@ -1,25 +1,27 @@
 """Greedy grouping of names: each joins the first leader that is like it, or leads.
 
-The order makes it sequential within a document, so a document is one stream: its
-distinct names in the order of their first place (equal names always share a
-leader, so repeats are put together before the shuffle). A task keeps leaders
-only, and finds the first leader like a name by indexes over them instead of
-comparing with all: words for names that share enough of them, substrings for
-names that hold one another.
+The order makes it sequential within a document, so a document's rows are one
+stream in their order, a batch at a time. A task keeps distinct names only, and
+once a document has many leaders it finds the first one like a name by indexes
+over them instead of comparing with all: words for names that share enough of
+them, substrings for names that hold one another. A name that comes again is
+looked up, since equal names always share a leader.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lexquarry.functions import text as T
 
+#: White space as column functions take it.
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Up to so many leaders of a document a name is compared with each.
+FEW = 24
 #: Characters of the substrings by which names are looked up.
 GRAM = 3
 #: How like names are of which one holds the other.
@@ -29,8 +31,8 @@ HOLDS = 0.8
 class Leaders:
     """The leaders of one document so far, by number, with their indexes."""
 
-    def __init__(self, threshold: float):
-        self.threshold = threshold
+    def __init__(self, threshold: float, few: int = FEW):
+        self.threshold, self.few = threshold, few
         self.names: list[str] = []
         self.words: list[frozenset[str]] = []
         self.numbers: dict[str, int] = {}
@@ -44,6 +46,12 @@ class Leaders:
         self.names.append(name)
         self.words.append(words)
         self.numbers[name] = n
+        if n >= self.few:
+            for k in range(n if n > self.few else 0, n + 1):
+                self.index(k, self.names[k], self.words[k])
+        return n
+
+    def index(self, n: int, name: str, words: frozenset[str]) -> None:
         for w in words:
             self.by_word[w].append(n)
         if self.threshold <= HOLDS:
@@ -53,16 +61,26 @@ class Leaders:
                 for i in range(len(name) - size + 1):
                     self.short.setdefault(name[i : i + size], n)
             self.sizes.add(len(name))
-        return n
 
     def first(self, name: str, words: frozenset[str]) -> int | None:
         """The first leader that is like the name."""
+        if len(self.names) <= self.few:
+            return next((n for n in range(len(self.names)) if self.alike(n, name, words)), None)
         best = self.numbers.get(name, len(self.names))
         if self.threshold <= HOLDS:
             best = min(best, self.held_in(name, best), self.holding(name, best))
         best = min(best, self.sharing(name, words, best))
         return best if best < len(self.names) else None
 
+    def alike(self, n: int, name: str, words: frozenset[str]) -> bool:
+        other = self.names[n]
+        if name == other:
+            return True
+        if name in other or other in name:
+            return self.threshold <= HOLDS
+        both = len(words & self.words[n])
+        return both / (len(words) + len(self.words[n]) - both) >= self.threshold
+
     def holding(self, name: str, best: int) -> int:
         """The first leader before ``best`` that the name is a part of."""
         if len(name) < GRAM:
@@ -94,25 +112,34 @@ class Leaders:
                 if n >= best:
                     break
                 both = len(words & self.words[n])
-                held = self.threshold > HOLDS and (name in self.names[n] or self.names[n] in name)
-                if both / (len(words) + len(self.words[n]) - both) >= self.threshold and not held:
+                if both / (len(words) + len(self.words[n]) - both) >= self.threshold and self.alike(n, name, words):
                     best = n
                     break
         return best
 
 
-def lead(rows: Iterator[tuple], threshold: float) -> Iterator[tuple]:
-    """``(doc_id, name, leader)`` of rows ``(doc_id, ord, name, words)`` sorted by document and place; leader: the place of the leader."""
-    doc, leaders, places = None, None, []
-    for doc_id, place, name, words in rows:
+def known(name: str | None) -> bool:
+    return bool(name) and name != "unknown case"
+
+
+def lead(rows: Iterator[tuple], threshold: float, few: int = FEW) -> Iterator[tuple]:
+    """``(doc_id, ord, leader)`` of rows ``(doc_id, ord, name)`` sorted by document and place; leader: the place of the leader."""
+    doc, leaders, places, said = None, None, [], {}
+    for doc_id, place, name in rows:
         if leaders is None or doc_id != doc:
-            doc, leaders, places = doc_id, Leaders(threshold), []
-        own = frozenset(words)
-        n = leaders.first(name, own)
+            doc, leaders, places, said = doc_id, Leaders(threshold, few), [], {}
+        if not known(name):
+            yield doc_id, place, place
+            continue
+        n = said.get(name)
         if n is None:
-            n = leaders.add(name, own)
-            places.append(place)
-        yield doc_id, name, places[n]
+            words = frozenset(w for w in _SPACE.split(name) if w)
+            n = leaders.first(name, words)
+            if n is None:
+                n = leaders.add(name, words)
+                places.append(place)
+            said[name] = n
+        yield doc_id, place, places[n]
 
 
 def greedy_groups(named: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -122,33 +149,24 @@ def greedy_groups(named: DataFrame, threshold: float = 0.7) -> DataFrame:
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0, and 1 at most")
-    known = F.coalesce(F.col("name").isNotNull() & (F.col("name") != "") & (F.col("name") != "unknown case"), F.lit(False))
-    rows = named.where(known)
-    distinct = rows.groupBy("doc_id", "name").agg(F.min("ord").alias("ord")).select("doc_id", "ord", "name", T.words(F.col("name")).alias("words"))
-    ordered = distinct.repartition("doc_id").sortWithinPartitions("doc_id", "ord")
+    ordered = named.select("doc_id", "ord", "name").repartition("doc_id").sortWithinPartitions("doc_id", "ord")
     kinds = {c: named.schema[c].dataType.simpleString() for c in ("doc_id", "ord")}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, doc, place = [], pa.int64(), pa.int64()
+        batch, taken = None, 0
 
         def stream():
-            nonlocal doc, place
+            nonlocal batch, taken
             for batch in batches:
-                doc, place = batch.schema.field("doc_id").type, batch.schema.field("ord").type
+                taken = 0
                 yield from zip(*(c.to_pylist() for c in batch.columns))
 
-        def out():
-            columns = list(zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], doc), pa.array(columns[1], pa.string()), pa.array(columns[2], place)], ["d", "n", "leader"])
-
-        for row in lead(stream(), threshold):
-            held.append(row)
-            if len(held) == 4096:
-                yield out()
-                held.clear()
-        if held:
-            yield out()
-
-    places = ordered.mapInArrow(find, f"d {kinds['doc_id']}, n string, leader {kinds['ord']}")
-    joined = rows.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("name") == F.col("n"))).select("doc_id", "ord", "leader")
-    return joined.unionByName(named.where(~known).select("doc_id", "ord", F.col("ord").alias("leader")))
+        found: list = []
+        for _, _, leader in lead(stream(), threshold):
+            found.append(leader)
+            taken += 1
+            if taken == len(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, batch.column(1).type)], ["doc_id", "ord", "leader"])
+                found = []
+
+    return ordered.mapInArrow(find, f"doc_id {kinds['doc_id']}, ord {kinds['ord']}, leader {kinds['ord']}")

@@ -76,6 +76,32 @@ def scl26(spark, sf):
     return derived(spark, sf, "w_records").select("doc_id", "ord", summary(unknown_fields()[1]).alias("result"))
 
 
+#: Characters of an opinion that a summary shows.
+EXCERPT = 500
+#: What stands around an opinion's excerpt.
+EXCERPT_HEAD, EXCERPT_FOOT = "\n            Opinion Excerpt:\n            ", "\n            \n            Full opinion available at: "
+
+
+def excerpt(opinion: Column, url: Column) -> Column:
+    """The begin of an opinion, stripped, and where all of it is; nothing without one."""
+    cut = F.regexp_replace(F.substring(opinion, 1, EXCERPT), r"(?U)^\s+|\s+$", "")
+    said = F.concat(F.lit(EXCERPT_HEAD), cut, F.when(F.length(opinion) > EXCERPT, "...").otherwise(""), F.lit(EXCERPT_FOOT), url, F.lit("\n            "))
+    return F.when(F.coalesce(opinion, F.lit("")) != "", said).otherwise("")
+
+
+_EXCERPT = rf"""CASE WHEN coalesce(opinion, '') <> '' THEN chr(10) || '            Opinion Excerpt:' || chr(10) || '            ' || regexp_replace(substr(opinion, 1, {EXCERPT}), '^[\t-\r\x{{85}}\p{{Z}}]+|[\t-\r\x{{85}}\p{{Z}}]+$', '', 'g') || CASE WHEN length(opinion) > {EXCERPT} THEN '...' ELSE '' END
+|| chr(10) || '            ' || chr(10) || '            Full opinion available at: ' || '/opinion/' || page || '/' || chr(10) || '            ' ELSE '' END"""
+
+
+@query("scl26_summary_with_excerpt", f"SELECT doc_id, ord, {_SUMMARY} || {_EXCERPT} AS result FROM (SELECT r.*, o.text AS opinion FROM w_records r LEFT JOIN documents o ON o.doc_id = r.page)", "w_cites", "w_records")
+def scl26_excerpt(spark, sf):
+    """Summaries with the begin of the opinion; a record's opinion is the document whose id is its page."""
+    opinions = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.substring("text", 1, EXCERPT + 1).alias("opinion"))
+    rows = derived(spark, sf, "w_records").join(opinions, "page", "left")
+    at = F.concat(F.lit("/opinion/"), F.col("page").cast("string"), F.lit("/"))
+    return rows.select("doc_id", "ord", F.concat(summary(unknown_fields()[1]), excerpt(F.col("opinion"), at)).alias("result"))
+
+
 @query("cls12_summary_source", f"""SELECT doc_id, ord, CASE WHEN page % 3 = 0 THEN 'web' WHEN {' OR '.join(f"starts_with(lookup, '{x}')" for x in NO_SUMMARY)} THEN 'mock' ELSE 'lookup' END AS source,
 CASE WHEN page % 3 = 0 THEN 'Web summary of ' || citation WHEN {' OR '.join(f"starts_with(lookup, '{x}')" for x in NO_SUMMARY)} THEN 'Summary of ' || citation || ' would be generated by an LLM in a real implementation.' ELSE lookup END AS summary
 FROM (SELECT *, CASE page % 5 WHEN 0 THEN 'Error: timed out' WHEN 1 THEN 'Case citation not found' WHEN 2 THEN 'CourtListener API is not available' ELSE 'Case Summary: ' || citation END AS lookup FROM w_cites)""", "w_cites")
@@ -301,6 +327,19 @@ def src15_pages(spark: SparkSession, sf: str, said: str = "attion") -> DataFrame
     return table(spark, sf, "pages").select("page_id", found.alias("found"), F.when(found, F.when(title != "", title).otherwise("Unknown Case")).alias("case_name"))
 
 
+def search_result(html: Column, asked: Column) -> Column:
+    """``(found, case_name)``: whether a page holds what was searched for, and then its first result's title or a stand-in."""
+    title = F.regexp_extract(html, TITLE_PATTERN, 1)
+    found = F.contains(html, asked)
+    return F.struct(found.alias("found"), F.when(found, F.when(title != "", title).otherwise("Unknown Case")).alias("case_name"))
+
+
+@query("src15_search_pages", f"SELECT page_id, contains(html, asked) AS found, CASE WHEN contains(html, asked) THEN CASE WHEN {_PAGE} <> '' THEN {_PAGE} ELSE 'Unknown Case' END END AS case_name FROM w_results", "w_results")
+def src15_search(spark, sf):
+    """Every result page, asked for its own words."""
+    return derived(spark, sf, "w_results").select("page_id", search_result(F.col("html"), F.col("asked")).alias("x")).select("page_id", "x.*")
+
+
 # Requests --------------------------------------------------------------------
 
 _BODY = """CASE ord % 4 WHEN 0 THEN '{"brief_text": "  ' || citation || ' "}' WHEN 1 THEN '{"briefText": "' || citation || '"}' WHEN 2 THEN '{"text": "' || citation || '\\n", "id": 1}' ELSE '{"text": " "}' END"""

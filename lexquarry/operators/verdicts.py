@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as T
@@ -120,6 +120,13 @@ def cls08(spark, sf):
     return rows.select("citation_id", F.when(F.col("v.is_real"), "real").otherwise("not real").alias("verdict"), F.round("v.confidence", 6).alias("confidence"), "v.explanation")
 
 
+@query("cls04_no_key_verdicts", f"SELECT doc_id, ord, NOT is_real AS is_hallucinated, round(real_confidence, 6) AS confidence, real_explanation AS explanation, count(*) OVER (PARTITION BY doc_id) AS hallucinated_total, CAST(0 AS BIGINT) AS verified_total FROM ({CHECKED})", "w_cites", "w_checks")
+def cls04_verdicts(spark, sf):
+    """Without a key for the lookup each citation goes by its summaries, while the report counts all of a document's as hallucinated."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    return checked(spark, sf).select("doc_id", "ord", (~F.col("is_real")).alias("is_hallucinated"), F.round("real_confidence", 6).alias("confidence"), F.col("real_explanation").alias("explanation"), n.alias("hallucinated_total"), F.lit(0).cast("long").alias("verified_total"))
+
+
 # The lookup's list of items --------------------------------------------------
 
 

@@ -117,7 +117,15 @@ SELECT doc_id, ord, page, citation, reporter, case_name, url, found, page % 17 <
 FROM w_cites
 """
 
-CTES = {"w_lookup": W_LOOKUP, "w_checks": W_CHECKS, "w_cites": W_CITES, "w_briefs": W_BRIEFS, "w_mirror": W_MIRROR, "w_sources": W_SOURCES, "w_summaries": W_SUMMARIES, "w_records": W_RECORDS, "w_hits": W_HITS, "w_answers": W_ANSWERS, "w_items": W_ITEMS, "w_clusters": W_CLUSTERS}
+#: Result pages: a page with what was searched for, which every other page holds, and a result's title on three in four.
+W_RESULTS = """
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Result for ' || page_id || ' U.S. ' || (page_id % 997) ELSE 'no such words ' || page_id END AS asked,
+  CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '<h3 class="gs_rt"><a href="/x?' || page_id || '">Page ' || page_id || ' v. State</a></h3>' WHEN 2 THEN '<h3 class="gs_rt">' || chr(10) || '  <a id="a" href="#">In re ' || page_id || '</a></h3><h3 class="gs_rt"><a>Second</a></h3>'
+    ELSE '<h3 class="gs_rt"><a></a></h3>' END || html || '<p>Result for ' || page_id || ' U.S. ' || (page_id % 997) || '</p>' AS html
+FROM pages
+"""
+
+CTES = {"w_results": W_RESULTS, "w_lookup": W_LOOKUP, "w_checks": W_CHECKS, "w_cites": W_CITES, "w_briefs": W_BRIEFS, "w_mirror": W_MIRROR, "w_sources": W_SOURCES, "w_summaries": W_SUMMARIES, "w_records": W_RECORDS, "w_hits": W_HITS, "w_answers": W_ANSWERS, "w_items": W_ITEMS, "w_clusters": W_CLUSTERS}
 
 
 def oracle(body: str, *names: str) -> str:
@@ -182,5 +190,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return (summaries if name == "w_summaries" else sources)(spark, sf_dir)
     if name == "w_lookup":
         return lookup_answers(spark, sf_dir)
+    if name == "w_results":
+        return spark.sql(W_RESULTS.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages"))
     query = CTES[name].replace("{", "{{").replace("}", "}}").replace("FROM w_cites", "FROM {w_cites}")
     return spark.sql(query, w_cites=cites(spark, sf_dir))

@@ -80,3 +80,16 @@ def test_readable_answers(spark):
     answers = ["[]", '[{"citation": "x"}]', '{"citations": {}}', '{"detail": "no"}', "Service unavailable", "", None]
     got = [r["ok"] for r in spark.createDataFrame([(a,) for a in answers], "a string").select(rules.readable(F.col("a")).alias("ok")).collect()]
     assert got == [True, True, True, False, False, False, False]
+
+
+def test_search_results(spark):
+    pages = [("<h3 class=\"gs_rt\">\n <a href='x'>Roe v. Wade</a></h3> 410 U.S. 113", "410 U.S. 113"), ("410 U.S. 113", "410 U.S. 113"), ("<h3 class=\"gs_rt\"><a>Other</a></h3>", "410 U.S. 113")]
+    got = spark.createDataFrame(pages, "html string, asked string").select(rules.search_result(F.col("html"), F.col("asked")).alias("x")).collect()
+    assert [tuple(r["x"]) for r in got] == [(True, "Roe v. Wade"), (True, "Unknown Case"), (False, None)]
+
+
+def test_excerpts(spark):
+    rows = spark.createDataFrame([("  short\n",), ("x" * 500,), ("y" * 499 + "  z",), ("",), (None,)], "t string")
+    got = [r[0] for r in rows.select(rules.excerpt(F.col("t"), F.lit("/u/"))).collect()]
+    assert [g.split("\n")[2:3] for g in got] == [["            short"], ["            " + "x" * 500], ["            " + "y" * 499 + "..."], [], []]
+    assert got[0].endswith("Full opinion available at: /u/\n            ")
