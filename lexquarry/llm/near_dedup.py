@@ -14,9 +14,13 @@
 4. Nodes of a key are compared without making all pairs. First each node meets a
    few leaders of its keys, the nearest by signature. Links are confirmed on the
    full sets and joined to components. Then, in keys that still hold several
-   components, the nodes outside the largest meet the nodes of other components,
-   first only the nearest, in the end every candidate. Pairs inside a component
-   need no comparing: they can't change it.
+   components, the nodes outside the largest meet the nodes of other components.
+   Pairs inside a component need no comparing: they can't change it.
+5. That meeting is done twice. First by signatures alone, and what comes out is
+   which nodes of a key are near any; then these nodes bring their full sets, and
+   every near pair is decided where it meets. Only links between components leave
+   a task, fewer than it has nodes, so a group of n texts that are all just too
+   far from one another costs n rows for each of its keys, and not n * n.
 
 A key's nodes are dealt over blocks of BLOCK on either side of the comparison, so a
 key that holds a third of all nodes spreads over many tasks, and a task holds two
@@ -42,6 +46,8 @@ FARTHEST = 26
 #: Every pair that differs in at most so many symbols shares a key; each of them is compared on its sets.
 PROMISED = 2 * CHUNKS - 1
 BLOCK = 4096
+#: Shingles of a block, on average over the blocks of a key (8 bytes each); bytes of blocks that a task reads at once.
+SHINGLES, HELD_BYTES = 1 << 20, 16 << 20
 #: Pairs beyond the promised distance that share a key are confirmed, too, if longer signatures are near: 512 symbols of 4 bits.
 #: At similarity 0.8 they differ in 96 symbols, standard deviation 9; candidates differ in at most six deviations more (beyond it: 5e-9).
 LONG, LONG_FARTHEST = 512, 149
@@ -195,18 +201,23 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return links
 
 
-def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of different components that share a key.
+def dealt(rows: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows ``(key, node, comp)`` on two sides: a key's nodes outside its largest component (probe 1) meet all its nodes (probe 0).
 
-    rows: ``(key, node, comp)``. A key's nodes outside its largest component meet
-    all its nodes of other components; nearest keeps, of a node and another
-    component, the nearest pair only.
+    Either side is cut into blocks of BLOCK nodes and SHINGLES shingles on average,
+    and each block of one meets each of the other in a group ``(key, block, turn)``.
+    columns: what comes along from ``nodes``, besides node and n.
     """
-    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("key").agg(F.sum("k").alias("total"), F.max("k").alias("most"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    blocks, turns = F.ceil(F.col("total") / BLOCK).cast("int"), F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int")
-    rows = rows.join(mixed.select("key", "main", blocks.alias("blocks"), turns.alias("turns")), "key")
-    rows = rows.join(nodes.select("node", "n", "sig", "long"), "node")
+    rows = rows.join(nodes.select("node", "n", *columns), "node")
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    largest = F.struct("k", "comp", "s")
+    mixed = sizes.groupBy("key").agg(F.sum("k").alias("total"), F.sum("s").alias("shingles"), F.max(largest).alias("x"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+
+    def parts(k, s):
+        return F.greatest(F.ceil(k / BLOCK), F.ceil(s / SHINGLES)).cast("int")
+
+    mixed = mixed.select("key", F.col("x.comp").alias("main"), parts(F.col("total"), F.col("shingles")).alias("blocks"), parts(F.col("total") - F.col("x.k"), F.col("shingles") - F.col("x.s")).alias("turns"))
+    rows = rows.join(mixed, "key")
 
     def one_of(count: str):
         return F.pmod(F.xxhash64("node"), count).cast("int")
@@ -214,19 +225,51 @@ def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -
     def each_of(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    side = ["node", "comp", "n", "sig", "long"]
+    side = ["node", "comp", "n", *columns]
     build = rows.select("key", one_of("blocks").alias("block"), each_of("turns").alias("turn"), F.lit(0).alias("probe"), (F.col("comp") == F.col("main")).alias("inner"), *side)
     probe = rows.where("comp <> main").select("key", each_of("blocks").alias("block"), one_of("turns").alias("turn"), F.lit(1).alias("probe"), F.lit(False).alias("inner"), *side)
-    dealt = build.union(probe).repartition("key", "block", "turn").sortWithinPartitions("key", "block", "turn", "probe", "node")
-
-    def group(key: int, cols: list[np.ndarray]):
-        probe, inner, node, comp, n, sig, long = cols
-        p, b = np.flatnonzero(probe == 1), np.flatnonzero(probe == 0)
-        spot = (key >> (SYMBOL_BITS * (WIDTH - 1))) & 0xFFFF
+    return build.union(probe).repartition("key", "block", "turn").sortWithinPartitions("key", "block", "turn", "probe", "node")
+
+
+def groups(batches):
+    """Tables of whole groups ``(key, block, turn)`` of what ``dealt`` returns, with where each group begins and ends."""
+    held: list[pa.RecordBatch] = []
+
+    def cuts(table: pa.Table) -> np.ndarray:
+        key, block, turn = (np.asarray(table[c]) for c in ("key", "block", "turn"))
+        return np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (turn[1:] != turn[:-1])) + 1
+
+    def whole(table: pa.Table):
+        cut = cuts(table).tolist()
+        return table, list(zip([0, *cut], [*cut, len(table)]))
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) < 4 * BLOCK and sum(x.nbytes for x in held) < HELD_BYTES:
+            continue
+        table = pa.Table.from_batches(held)
+        last = int(cuts(table).max(initial=0))
+        if last:
+            yield whole(table.slice(0, last))
+        held = table.slice(last).to_batches()
+    if held and sum(map(len, held)):
+        yield whole(pa.Table.from_batches(held))
+
+
+def near_pairs(table: pa.Table, found: list[tuple[int, int]], percent: int):
+    """For each group: its bounds, and pairs (probe row, build row) of different components that are near by their signatures, for a few probes at a time."""
+    keys, probe, node, comp, n = (np.asarray(table[c]) for c in ("key", "probe", "node", "comp", "n"))
+    inner = np.asarray(table["inner"].combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(table), SIGNATURE)
+    long = np.frombuffer(b"".join(table["long"].to_pylist()), np.uint64).reshape(len(table), LONG // 16)
+    for a, z in found:
+        if probe[a] == 1 or probe[z - 1] == 0:
+            continue
+        p, b = a + np.flatnonzero(probe[a:z] == 1), a + np.flatnonzero(probe[a:z] == 0)
+        spot = (int(keys[a]) >> (SYMBOL_BITS * (WIDTH - 1))) & 0xFFFF
         for i in range(0, len(p), 64):
             q = p[i : i + 64]
-            far = long_distances(long[q], long[b])
-            good = (far <= LONG_FARTHEST) | (short_distances(sig[q], sig[b]) <= PROMISED)
+            good = (long_distances(long[q], long[b]) <= LONG_FARTHEST) | (short_distances(sig[q], sig[b]) <= PROMISED)
             good &= comp[q][:, None] != comp[b][None, :]
             good &= inner[b][None, :] | (node[q][:, None] < node[b][None, :])  # two probes meet once
             small, large = np.minimum(n[q][:, None], n[b][None, :]), np.maximum(n[q][:, None], n[b][None, :])
@@ -239,54 +282,110 @@ def candidates(rows: DataFrame, nodes: DataFrame, nearest: bool, percent: int) -
             chunk = (errors.sum(-1) <= 1).argmax(-1)
             here = errors[np.arange(len(x)), chunk]
             keep = chunk * WIDTH + here.argmax(-1) == spot
-            x, y = x[keep], y[keep]
-            if nearest and len(x):
-                order = np.lexsort((far[x, y], comp[b[y]], x))
-                x, y = x[order], y[order]
-                first = np.append(True, (x[1:] != x[:-1]) | (comp[b[y]][1:] != comp[b[y]][:-1]))
-                x, y = x[first], y[first]
-            yield node[q[x]], node[b[y]], comp[b[y]], far[x, y]
+            if keep.any():
+                yield (a, z), q[x[keep]], b[y[keep]]
+
+
+def candidates(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``(key, node)``: nodes that are near a node of another component in a key, by their signatures; at most a row of ``rows(key, node, comp)`` each."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def cuts(table: pa.Table) -> np.ndarray:
-            key, block, turn = (np.asarray(table[c]) for c in ("key", "block", "turn"))
-            return np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (turn[1:] != turn[:-1])) + 1
-
-        def flush(table: pa.Table):
-            if not len(table):
-                return
-            key, cut = np.asarray(table["key"]), cuts(table)
-            probe, node, comp, n = (np.asarray(table[c]) for c in ("probe", "node", "comp", "n"))
-            inner = np.asarray(table["inner"].combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)
-            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(table), SIGNATURE)
-            long = np.frombuffer(b"".join(table["long"].to_pylist()), np.uint64).reshape(len(table), LONG // 16)
-            out = [[], [], [], []]
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
-                if probe[b - 1] == 1 and probe[a] == 0:
-                    for found in group(int(key[a]), [v[a:b] for v in (probe, inner, node, comp, n, sig, long)]):
-                        for o, f in zip(out, found):
-                            o.append(f)
-            if out[0]:
-                a, b, comp, far = (np.concatenate(o) for o in out)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(comp), pa.array(far.astype(np.int32))], ["a", "b", "comp", "far"])
+        for table, found in groups(batches):
+            keys, node = np.asarray(table["key"]), np.asarray(table["node"])
+            near = np.zeros(len(table), bool)
+            for _, x, y in near_pairs(table, found, percent):
+                near[x] = near[y] = True
+            yield pa.RecordBatch.from_arrays([pa.array(keys[near]), pa.array(node[near])], ["key", "node"])
 
+    return map_arrow(dealt(rows, nodes, ["sig", "long"]), run, "key long, node long").distinct()
+
+
+class Overlaps:
+    """How many shingles sets share with each of a group's sets.
+
+    Shingles of many of the sets are counted by a matrix product, others by lists of
+    the sets that hold them.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        owner = np.repeat(np.arange(self.n), [len(s) for s in sets])
+        self.every, which = np.unique(np.concatenate(sets), return_inverse=True)
+        self.held = np.bincount(which, minlength=len(self.every))
+        self.common = np.full(len(self.every), -1, np.int64)
+        many = np.flatnonzero(self.held >= max(8, self.n / 4))
+        self.common[many] = np.arange(len(many))
+        self.matrix = np.zeros((self.n, len(many)), np.float32)
+        column = self.common[which]
+        self.matrix[owner[column >= 0], column[column >= 0]] = 1
+        self.owner = owner[np.argsort(which, kind="stable")]
+        self.begins = np.concatenate(([0], np.cumsum(self.held)))[:-1]
+
+    def counts(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Rows: the sets; columns: those of the group."""
+        row, hashes = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(self.every, hashes), len(self.every) - 1)
+        there = self.every[at] == hashes
+        row, at = row[there], at[there]
+        column = self.common[at]
+        rare, dense = column < 0, np.zeros((len(sets), self.matrix.shape[1]), np.float32)
+        dense[row[~rare], column[~rare]] = 1
+        lengths = self.held[at[rare]]
+        first = np.repeat(self.begins[at[rare]] - np.concatenate(([0], np.cumsum(lengths)))[:-1], lengths)
+        met = self.owner[first + np.arange(len(first))]
+        listed = np.bincount(np.repeat(row[rare], lengths) * self.n + met, minlength=len(sets) * self.n)
+        return np.rint(dense @ self.matrix.T).astype(np.int64) + listed.reshape(len(sets), self.n)
+
+
+def linked(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between different components of rows ``(key, node, comp)``, decided on the full sets where the nodes meet.
+
+    nodes: ``(node, n, sig, long, hashes)``. Of the links between components that a
+    group has joined already none comes out, so a group's links are fewer than its nodes.
+    """
+
+    def run(batches):
+        for table, found in groups(batches):
+            node, comp, n = (np.asarray(table[c]) for c in ("node", "comp", "n"))
+            hashes = table["hashes"].combine_chunks()
+            of, at, root = None, None, {}
+            out = []
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    root[c] = c = root.get(root[c], root[c])
+                return c
+
+            def sets(rows_):
+                return [np.frombuffer(hashes[int(i)].as_buffer(), np.uint64) for i in rows_]
+
+            for (a, z), x, y in near_pairs(table, found, percent):
+                if at != (a, z):
+                    at, root = (a, z), {}
+                    build = a + np.flatnonzero(np.asarray(table["probe"])[a:z] == 0)
+                    of = Overlaps(sets(build))
+                asked, which = np.unique(x, return_inverse=True)
+                both = of.counts(sets(asked))[which, y - a]
+                good = 100 * both >= percent * (n[x] + n[y] - both)
+                for i, j in zip(x[good].tolist(), y[good].tolist()):
+                    r, t = find(int(comp[i])), find(int(comp[j]))
+                    if r != t:
+                        root[max(r, t)] = min(r, t)
+                        out.append((int(node[i]), int(node[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return map_arrow(dealt(rows, nodes, ["sig", "long", "hashes"]), run, "a long, b long").distinct()
+
+
+def sets_of(texts: DataFrame, words: int) -> DataFrame:
+    """``(node, hashes)`` of ``texts(node, text)``: the sorted shingle hashes, 8 bytes each."""
+
+    def run(batches):
         for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) < 4 * BLOCK:
-                continue
-            table = pa.Table.from_batches(held)
-            last = int(cuts(table).max(initial=0))
-            yield from flush(table.slice(0, last))
-            held = table.slice(last).to_batches()
-        if held:
-            yield from flush(pa.Table.from_batches(held))
+            sets = shingle_sets(*utf8_buffer(batch.column(1)), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
-    found = map_arrow(dealt, run, "a long, b long, comp long, far int")
-    if nearest:
-        return found.groupBy("a", "comp").agg(F.min_by("b", F.struct("far", "b")).alias("b")).select("a", "b").distinct()
-    return found.select("a", "b").distinct()
+    return map_arrow(texts.select("node", "text"), run, "node long, hashes binary")
 
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -348,15 +447,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = materialize(star, "star")
     labels = relabel(near.withColumn("comp", F.col("node")), confirm(star, texts, words, percent))
     discard(near, star)
-    tried, kept_pairs = None, []  # pairs that were compared and are not linked need no second look
-    for nearest in (True, True, False):
-        pairs = candidates(rows.join(labels, "node"), wanted, nearest, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        kept_pairs.append(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        labels = relabel(labels, confirm(pairs, texts, words, percent))
-    discard(*kept_pairs)
-    discard(rows, wanted)
+    close = materialize(candidates(rows.join(labels, "node"), wanted, percent), "close")
+    discard(rows)
+    sets = materialize(sets_of(texts.join(close.select("node").distinct(), "node", "left_semi"), words), "sets")
+    links = materialize(linked(close.join(labels, "node"), wanted.join(sets, "node"), percent), "links")
+    discard(close, sets)
+    labels = relabel(labels, links)
+    discard(wanted)
     drop_texts()
     classes = nodes.select("node", F.col("doc").alias("least")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = classes.groupBy("comp").agg(F.min("least").alias("component"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexquarry.llm import common, near_dedup
 
@@ -80,8 +81,55 @@ def test_pairs_within_the_promised_distance_are_candidates(spark):
     rows += [(1000 + int(i), 1000 + int(i), 100, s.tobytes(), bytes([255] * (near_dedup.LONG // 2))) for i, s in enumerate(others)]
     nodes = spark.createDataFrame(rows, "node long, comp long, n long, sig binary, long binary")
     keys = near_dedup.index_keys(nodes).selectExpr("node", "explode(keys) AS key").join(nodes.select("node", "comp"), "node")
-    got = {tuple(sorted((r["a"], r["b"]))) for r in near_dedup.candidates(keys, nodes.drop("comp"), False, 80).collect()}
-    assert {(i, 1000 + i) for i in range(40)} <= got
+    got = {(r["key"], r["node"]) for r in near_dedup.candidates(keys, nodes.drop("comp"), 80).collect()}
+    by_node = {}
+    for key, node in got:
+        by_node.setdefault(node, set()).add(key)
+    assert all(by_node[i] & by_node[1000 + i] for i in range(40))
+    same = nodes.withColumn("hashes", F.lit(np.arange(100, dtype=np.uint64).tobytes()))
+    links = {tuple(sorted((r["a"], r["b"]))) for r in near_dedup.linked(keys, same.drop("comp"), 80).collect()}
+    assert {(i, 1000 + i) for i in range(40)} <= links
+
+
+def test_overlaps_equal_intersections():
+    rng = np.random.default_rng(7)
+    core = np.arange(50, dtype=np.uint64)
+    made = [np.unique(np.concatenate([core[rng.random(50) < 0.9], rng.integers(100, 400, rng.integers(1, 60)).astype(np.uint64)])) for _ in range(70)]
+    of = near_dedup.Overlaps(made[:40])
+    assert (of.counts(made[30:]) == np.array([[len(np.intersect1d(x, y)) for y in made[:40]] for x in made[30:]])).all()
+    assert (near_dedup.Overlaps(made[:1]).counts([np.array([10**6], np.uint64)]) == 0).all()
+
+
+def template_group(n, seed=4):
+    """Texts of one template whose pairs are all a little less alike than the threshold."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(200)]
+    docs = []
+    for i in range(n):
+        own = list(base)
+        for place in rng.sample(range(200), 6):
+            own[place] = f"own{i}x{place}"
+        docs.append((i, " ".join(own)))
+    return docs
+
+
+def test_rows_grow_with_the_size_of_a_group(spark, monkeypatch):
+    made = {}
+
+    def counted(df, name, keep=near_dedup.materialize):
+        out = keep(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    for n in (60, 120):
+        made[n] = {}
+        docs = template_group(n)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, KIND), words=4).collect()}
+        assert got == brute_force(docs)
+        made[n] = {k: made.pop(k) for k in [k for k in made if isinstance(k, str)]}
+    for name in ("close", "links", "star", "sets"):
+        assert made[120][name] <= 3 * max(made[60][name], 60), name
 
 
 def test_short_distances():
