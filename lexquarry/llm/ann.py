@@ -1,12 +1,15 @@
 """Approximate maximum inner product search with score-aware quantisation.
 
-Vectors are product-quantised in subspaces of two dimensions with 16 centres (4
-bits). Codes and centres minimise an anisotropic loss: the part of the residual
+A vector is its nearest coarse centre and a rest. Rests are product-quantised in
+subspaces of two dimensions with 16 centres (4 bits), so that vectors of one
+cluster, which lie close together, still differ in their codes. Codes and centres
+minimise an anisotropic loss: the part of the residual
 that is parallel to the vector weighs more than the rest, because it is what moves
 large inner products. How much more follows from the number of dimensions and the
 cosine THRESHOLD from which on products matter. A query makes a table of 16 inner
 products a subspace; two tables merge into one of 256, so a scan adds one looked-up
-number for every byte of code. The best of the scan are reranked exactly, in double
+number for every byte of code (the first byte is the coarse centre). A factor that
+comes with the code makes up for the parallel part that is left. The best of the scan are reranked exactly, in double
 precision, on the original vectors.
 
 The quantiser is fitted on at most FIT_ROWS vectors, chosen by a hash; every vector
@@ -23,52 +26,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import map_arrow, materialize
+from lexquarry.llm.common import discard, map_arrow, materialize
 
 FIT_ROWS = 8_000
 SWEEPS = 4
+#: Coarse centres, 256 at most, and vectors of the sample for each at least.
+COARSE, COARSE_ROWS = 256, 8
 #: The cosine from which on inner products matter.
 THRESHOLD = 0.2
 #: Codes and queries of one block, at most (on average: they are dealt by hash); and the fewest queries, so that small tables use several tasks.
 BLOCK_ROWS, BLOCK_QUERIES, FEW_QUERIES = 65_536, 8_192, 256
 #: Candidates of a query that are scored exactly.
 RERANK = 400
+#: Names of candidates (24 bytes each) are broadcast up to this many, so that only their vectors are shuffled; with more of them all vectors are.
+BROADCAST_NAMES = 1_000_000
 #: Queries' vectors are broadcast up to so many bytes.
 BROADCAST_BYTES = 32 << 20
 
 
+def coarse_centres(x: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres by k-means. They begin at vectors that are far from those chosen before, so that each cluster gets one."""
+    chosen = [x[rng.integers(len(x))]]
+    far = ((x - chosen[0]) ** 2).sum(1)
+    while len(chosen) < n and far.sum() > 0:
+        chosen.append(x[rng.choice(len(x), p=far / far.sum())])
+        far = np.minimum(far, ((x - chosen[-1]) ** 2).sum(1))
+    centres = np.array(chosen)
+    for _ in range(SWEEPS):
+        of = nearest_centre(x, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, x)
+        count = np.bincount(of, minlength=len(centres))
+        centres[count > 0] = sums[count > 0] / count[count > 0, None]
+    return centres
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
+
+
 class Quantiser:
     def __init__(self, sample: np.ndarray, seed: int = 3):
         self.dims = sample.shape[1]
         self.parallel = max(1.0, (self.dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
         self.parts = -(-self.dims // 4) * 2  # an even number, two dimensions each
-        x = self._padded(sample)
         rng = np.random.default_rng(seed)
+        self.coarse = coarse_centres(sample, max(1, min(COARSE, len(sample) // COARSE_ROWS)), rng)
+        x, unit, _ = self._rests(sample)
         pick = rng.choice(len(x), 16, replace=len(x) < 16)
         self.centres = x[pick].transpose(1, 0, 2).copy()  # (parts, 16, 2)
         for _ in range(SWEEPS):
-            codes = self._assign(x, plain=True)
+            codes = self._assign(x, unit, plain=True)
             for m in range(self.parts):
                 for c in range(16):
                     own = x[codes[:, m] == c, m]
                     if len(own):
                         self.centres[m, c] = own.mean(0)
         for _ in range(SWEEPS):
-            self._fit(x)
+            self._fit(x, unit)
+
+    def _rests(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors less their coarse centres, the vectors' directions, and these centres."""
+        of = nearest_centre(x, self.coarse)
+        unit = x / np.sqrt((x**2).sum(1, keepdims=True))
+        return self._padded(x - self.coarse[of]), self._padded(unit), of
 
     def _padded(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.parts * 2), np.float64)
         out[:, : self.dims] = x
         return out.reshape(len(x), self.parts, 2)
 
-    def _assign(self, x: np.ndarray, plain: bool = False, sweeps: int = 2) -> np.ndarray:
-        """Codes by coordinate descent on the anisotropic loss (plain: nearest centres)."""
+    def _assign(self, x: np.ndarray, unit: np.ndarray, plain: bool = False, sweeps: int = 2) -> np.ndarray:
+        """Codes of rests by coordinate descent on the anisotropic loss along the vectors' directions (plain: nearest centres)."""
         codes = np.empty((len(x), self.parts), np.int64)
         for m in range(self.parts):
             codes[:, m] = ((x[:, m, None] - self.centres[m]) ** 2).sum(-1).argmin(1)
         if plain:
             return codes
-        unit = x / np.sqrt((x**2).sum((1, 2), keepdims=True))
         along = self._along(x, unit, codes)
         total = along.sum(1)
         for _ in range(sweeps):
@@ -86,10 +120,9 @@ class Quantiser:
         centres = self.centres[np.arange(self.parts), codes]
         return ((x - centres) * unit).sum(-1)
 
-    def _fit(self, x: np.ndarray) -> None:
+    def _fit(self, x: np.ndarray, unit: np.ndarray) -> None:
         """Centres that minimise the loss, given the codes."""
-        codes = self._assign(x, sweeps=1)
-        unit = x / np.sqrt((x**2).sum((1, 2), keepdims=True))
+        codes = self._assign(x, unit, sweeps=1)
         along = self._along(x, unit, codes)
         rest = along.sum(1, keepdims=True) - along
         for m in range(self.parts):
@@ -102,21 +135,29 @@ class Quantiser:
                     self.centres[m, c] = np.linalg.solve(a, b)
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """(vectors, parts / 2) bytes of two codes each."""
-        codes = self._assign(self._padded(x))
-        return (codes[:, ::2] * 16 + codes[:, 1::2]).astype(np.uint8)
+        """(vectors, 1 + parts / 2 + 4) bytes: the coarse centre, two codes each, and a factor.
+
+        With its factor a code's product with its own vector is right, so what is
+        left of the residual is at a right angle to the vector.
+        """
+        rests, unit, of = self._rests(x)
+        codes = self._assign(rests, unit)
+        rebuilt = self.centres[np.arange(self.parts), codes].reshape(len(x), -1)[:, : self.dims] + self.coarse[of]
+        own, made = (x * x).sum(1), (x * rebuilt).sum(1)
+        factor = np.where(made > own / 2, own / np.where(made > own / 2, made, 1), 1).astype(np.float32)
+        return np.column_stack([of.astype(np.uint8), (codes[:, ::2] * 16 + codes[:, 1::2]).astype(np.uint8), factor[:, None].view(np.uint8)])
 
     def scan(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Approximate inner products (queries, vectors)."""
         q = self._padded(queries)
         table = np.einsum("nmd,mcd->nmc", q, self.centres).astype(np.float32)
         pairs = (table[:, ::2, :, None] + table[:, 1::2, None, :]).reshape(len(q), -1, 256)
-        out = np.zeros((len(q), len(codes)), np.float32)
         columns = np.ascontiguousarray(codes.T)
+        out = (queries @ self.coarse.T).astype(np.float32)[:, columns[0]]
         for m in range(pairs.shape[1]):
             for i in range(len(q)):
-                out[i] += pairs[i, m][columns[m]]
-        return out
+                out[i] += pairs[i, m][columns[m + 1]]
+        return out * np.ascontiguousarray(codes[:, -4:]).view(np.float32)[:, 0]
 
 
 def rows_of(column: pa.Array, dims: int) -> np.ndarray:
@@ -217,6 +258,10 @@ def search_length(vectors: DataFrame, asked: DataFrame, dims: int, n: int, k: in
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(scan, "query_id long, query_h long, id long, h long, g long, guess double")
     best = F.row_number().over(Window.partitionBy("query_id", "query_h").orderBy(F.desc("guess"), "id", "h"))
     found = found.where("id <> query_id").withColumn("nth", best).where(F.col("nth") <= rerank).select("query_id", "query_h", "id", "h", "g")
+    found = materialize(found, "found")
+    names = found.select("id", "h", "g").distinct()
+    if names.count() <= BROADCAST_NAMES:
+        vectors = vectors.join(F.broadcast(names), ["id", "h", "g"], "left_semi")
     own = wanted.select("query_id", "query_h", F.col("v").alias("q"))
     if n_asked * dims * 8 <= BROADCAST_BYTES:  # else the candidates' vectors are shuffled once more
         own = F.broadcast(own)
@@ -229,7 +274,9 @@ def search_length(vectors: DataFrame, asked: DataFrame, dims: int, n: int, k: in
 
     scored = map_arrow(pairs.select("query_id", "query_h", "id", "v", "q"), score, "query_id long, query_h long, vec_id long, score double")
     order = F.row_number().over(Window.partitionBy("query_id", "query_h").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = materialize(scored.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    discard(codes, wanted, found)
+    return best
 
 
 def nearest(df: DataFrame, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lexquarry.llm import ann
@@ -91,3 +93,21 @@ def test_codes_keep_large_products(dims):
         score[q] = -np.inf
         hit += len(set(np.argsort(-score)[:20]) & set(place))
     assert hit / 4000 >= 0.9
+
+
+def clustered(n, clusters, dims=64, spread=0.3, seed=5):
+    """Unit vectors around centres, close together."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dims))
+    x = centres[rng.integers(clusters, size=n)] + spread * rng.normal(size=(n, dims))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+@pytest.mark.parametrize("n, clusters, spread, every", [(20_000, 20, 0.05, 200), (50_000, 20, 0.2, 500), (100_000, 200, 0.3, 1000)])
+def test_recall_in_clusters(spark, tmp_path, n, clusters, spread, every):
+    x = clustered(n, clusters, spread=spread)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": lists}), f"{tmp_path}/x.parquet")
+    rows = ann.nearest(spark.read.parquet(f"{tmp_path}/x.parquet").repartition(4), every=every).collect()
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows}
+    assert len(got) == 20 * (n // every) and recall(got, brute_force(list(zip(range(n), x)), every=every)) >= 0.9
