@@ -9,8 +9,15 @@ bound are verified by banded alignment, the rest cannot hold the item.
 
 The edit budget is EDIT_SHARE of the item's length. Banded alignment goes by edits:
 with 0, 1, 2, ... edits it finds how far into the item each diagonal of the band
-reaches, so a place with few edits costs little however long the item is. Items
-too short for the lemma are looked up exactly, as whole words.
+reaches, so a place with few edits costs little however long the item is.
+Neighbouring bands are aligned as one, and a place that is no better than the best
+so far is given up.
+
+The budget is the same for all lengths; q is not. Items of LONG_ITEM bytes or more
+have 8-grams, shorter ones 6-grams, for which the bound is above zero down to 13
+bytes, from where on the budget allows an edit. Items below that are looked up
+exactly; since any letters hold a short item by chance, they and their place in
+the text must not go on with a letter or digit on either side.
 
 Items are searched in blocks of at most BLOCK_BYTES of text, so that what a task
 holds of the benchmark is bounded whatever its size.
@@ -30,10 +37,11 @@ from lexquarry.llm.common import map_arrow, materialize, utf8_buffer
 from lexquarry.llm.near_dedup import _BLANK, _TO_LOWER
 from lexquarry.llm.pieces import ranges
 
-Q = 8
 EDIT_SHARE = 0.08
-#: Shorter items (normalised bytes) are found by exact occurrence only, between blanks or a text's ends.
-MIN_ITEM = 32
+#: Bytes of a gram, and the bytes from which on an item has the longer ones.
+LONG_Q, SHORT_Q, LONG_ITEM = 8, 6, 32
+#: Diagonals that are aligned at once.
+WIDEST = 1 << 16
 #: Shared q-grams that are expanded at once.
 HITS_AT_ONCE = 1 << 21
 BLOCK_BYTES = 4 << 20
@@ -57,16 +65,13 @@ def normalise(data: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[at], np.searchsorted(at, ptr), at
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as one integer."""
-    n = len(data) - Q + 1
+def grams(data: np.ndarray, q: int = LONG_Q) -> np.ndarray:
+    """The q bytes (8 at most) from each position as one integer."""
+    n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
-    for o in range(min(Q, n)):
-        k = (n - o + Q - 1) // Q
-        out[o::Q] = np.frombuffer(data.tobytes()[o : o + k * Q], "<u8")
-    return out
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((n,), "<u8", raw, strides=(1,)) & np.uint64((1 << (8 * q)) - 1)
 
 
 def reach(pattern: np.ndarray, region: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -123,31 +128,26 @@ def aligned(pattern: np.ndarray, text: np.ndarray, low: int, high: int, k: int)
     return None
 
 
-class Index:
-    """The q-grams of a block of items, and an automaton of those too short for them."""
+def budget(n: int, edit_share: float, q: int) -> int:
+    """Edits that an item of n bytes may have: its share, and no more than leave one q-gram shared."""
+    return min(int(n * edit_share), (n - q) // q)
 
-    def __init__(self, items: list[tuple[int, bytes]], edit_share: float = EDIT_SHARE):
-        self.ids, self.texts = [], []
-        short: dict[bytes, list[int]] = {}
-        for item, raw in items:
-            data, _, _ = normalise(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            text = data.tobytes().rstrip(b" ")
-            if len(text) >= MIN_ITEM:
-                self.ids.append(item)
-                self.texts.append(text)
-            elif text:
-                short.setdefault(text, []).append(item)
-        self.short = None
-        if short:
-            self.short = ahocorasick.Automaton()
-            for text, own in short.items():
-                self.short.add_word(text.decode("latin-1"), (len(text), own))
-            self.short.make_automaton()
+
+#: Letters and digits, and all bytes of code points beyond ASCII.
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+class Grams:
+    """The q-grams of items of one q, and the search by them."""
+
+    def __init__(self, ids: list[int], texts: list[bytes], q: int, edit_share: float):
+        self.ids, self.texts, self.q = ids, texts, q
         n = np.array([len(t) for t in self.texts], np.int64)
-        self.edits = np.minimum((n * edit_share).astype(np.int64), (n - Q) // Q) if len(n) else n
-        self.least = n - Q + 1 - Q * self.edits
+        self.edits = np.array([budget(len(t), edit_share, q) for t in self.texts], np.int64)
+        self.least = n - q + 1 - q * self.edits
         self.width = self.edits + 1
-        every = [grams(np.frombuffer(t, np.uint8)) for t in self.texts]
+        every = [grams(np.frombuffer(t, np.uint8), q) for t in self.texts]
         flat = np.concatenate(every) if every else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(every)), [len(g) for g in every])
         place = np.concatenate([np.arange(len(g)) for g in every]) if every else np.zeros(0, np.int64)
@@ -166,7 +166,7 @@ class Index:
         """(document, item, band) triples whose shared q-grams reach the bound."""
         none = (np.zeros(0, np.int64),) * 3
         data, ptr = data[ptr[0] : ptr[-1]], ptr - ptr[0]
-        gram = grams(data)
+        gram = grams(data, self.q)
         at = np.flatnonzero(self.seen[self._slot(gram)])
         if not len(at) or not len(self.gram):
             return none
@@ -174,7 +174,7 @@ class Index:
         hit = self.gram[spot] == gram[at]
         at, spot = at[hit], spot[hit]
         doc = np.searchsorted(ptr, at, "right") - 1
-        inside = at + Q <= ptr[doc + 1]
+        inside = at + self.q <= ptr[doc + 1]
         at, spot, doc = at[inside], spot[inside], doc[inside]
         if not len(at):
             return none
@@ -198,25 +198,79 @@ class Index:
         good = counts >= self.least[item]
         return pair[good] // len(self.ids), item[good], keys[good] & ((1 << 34) - 1)
 
-    def verify(self, text: np.ndarray, item: int, band: int) -> tuple[int, int, int] | None:
-        """Start, end and edits of the item's best place on the band's diagonals, if within the budget."""
+    def runs(self, data: np.ndarray, ptr: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item, first band, last band) of neighbouring bands that reach the bound."""
+        step = max(1, (1 << 28) // max(1, len(self.ids)))  # documents times items, so that their numbers fit
+        out: list[tuple[int, int, int, int]] = []
+        for i in range(0, len(ptr) - 1, step):
+            doc, item, band = self.bands(data, ptr[i : i + step + 1])
+            order = np.lexsort((band, item, doc))
+            for d, t, k in zip((doc[order] + i).tolist(), item[order].tolist(), band[order].tolist()):
+                last = out[-1] if out else None
+                if last and last[:2] == (d, t) and k <= last[3] + 2 and (k - last[2] + 2) * int(self.width[t]) <= WIDEST:
+                    out[-1] = (d, t, last[2], k)
+                else:
+                    out.append((d, t, k, k))
+        return out
+
+    def verify(self, text: np.ndarray, item: int, first: int, last: int, most: int) -> tuple[int, int, int] | None:
+        """Start, end and edits of the item's best place on the bands' diagonals, if it has ``most`` edits at most."""
         pattern, k, w = self.texts[item], int(self.edits[item]), int(self.width[item])
-        low = band * w - DIAGONALS - k
-        high = low + 2 * w + 2 * k
+        low = first * w - DIAGONALS - k
+        high = (last + 2) * w - DIAGONALS + k
         exact = text[max(0, low) : max(0, high + len(pattern))].tobytes().find(pattern)
         if exact >= 0:
             exact += max(0, low)
             return exact, exact + len(pattern), 0
-        return aligned(np.frombuffer(pattern, np.uint8), text, low, high, k)
+        return aligned(np.frombuffer(pattern, np.uint8), text, low, high, most) if most > 0 else None
+
+    def places(self, text: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item id, start, end, edits) of each item's best place in each document; positions in the document's normalised bytes."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for doc, item, first, last in self.runs(text, at):
+            known = best.get((doc, item))
+            most = int(self.edits[item]) if known is None else known[0] - 1
+            if most < 0:
+                continue
+            own = text[at[doc] : at[doc + 1]]
+            found = self.verify(own, item, first, last, most)
+            if found and (known is None or found[2] < known[0]):
+                best[doc, item] = (found[2], max(0, found[0]), min(len(own), found[1]))
+        return [(doc, self.ids[item], a, b, edits) for (doc, item), (edits, a, b) in best.items()]
+
+
+class Index:
+    """A block of items: those with q-grams by their q, and an automaton of those too short for any edit."""
+
+    def __init__(self, items: list[tuple[int, bytes]], edit_share: float = EDIT_SHARE):
+        own: dict[int, tuple[list[int], list[bytes]]] = {LONG_Q: ([], []), SHORT_Q: ([], [])}
+        tiny: dict[bytes, list[int]] = {}
+        for item, raw in items:
+            data, _, _ = normalise(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            text = data.tobytes().rstrip(b" ")
+            q = LONG_Q if len(text) >= LONG_ITEM else SHORT_Q
+            if text and budget(len(text), edit_share, q) < 1 and q == SHORT_Q:
+                tiny.setdefault(text, []).append(item)
+            elif text:
+                own[q][0].append(item)
+                own[q][1].append(text)
+        self.grams = [Grams(ids, texts, q, edit_share) for q, (ids, texts) in own.items() if ids]
+        self.tiny = None
+        if tiny:
+            self.tiny = ahocorasick.Automaton()
+            for text, ids in tiny.items():
+                self.tiny.add_word(text.decode("latin-1"), (len(text), ids))
+            self.tiny.make_automaton()
 
     def exact_words(self, text: np.ndarray, ptr: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item id, start, end) of each short item's first place in each document; positions in normalised bytes of the document."""
+        """(document, item id, start, end) of each tiny item's first place in each document; positions in normalised bytes of the document."""
         found: dict[tuple[int, int], tuple[int, int]] = {}
         for doc, (a, b) in enumerate(zip(ptr.tolist(), ptr[1:].tolist())):
-            own = text[a:b].tobytes().decode("latin-1")
-            for last, (n, items) in self.short.iter(own):
+            own = text[a:b]
+            for last, (n, items) in self.tiny.iter(own.tobytes().decode("latin-1")):
                 start, end = last - n + 1, last + 1
-                if (start == 0 or own[start - 1] == " ") and (end == len(own) or own[end] == " "):
+                goes_on = (start > 0 and _WORD[own[start - 1]] and _WORD[own[start]]) or (end < len(own) and _WORD[own[end]] and _WORD[own[end - 1]])
+                if not goes_on:
                     for item in items:
                         found.setdefault((doc, item), (start, end))
         return [(*pair, *span) for pair, span in found.items()]
@@ -224,19 +278,8 @@ class Index:
     def search(self, data: np.ndarray, ptr: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, start, end, edits) of each item's best place in each document; positions in input bytes."""
         text, at, origin = normalise(data, ptr)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        step = max(1, (1 << 28) // max(1, len(self.ids)))  # documents times items, so that their numbers fit
-        spots = [(i + doc, item, band) for i in range(0, len(at) - 1, step) for doc, item, band in zip(*(v.tolist() for v in self.bands(text, at[i : i + step + 1])))]
-        for doc, item, band in spots:
-            known = best.get((doc, item))
-            if known and known[0] == 0:
-                continue
-            own = text[at[doc] : at[doc + 1]]
-            found = self.verify(own, item, band)
-            if found and (known is None or found[2] < known[0]):
-                best[doc, item] = (found[2], max(0, found[0]), min(len(own), found[1]))
-        spans = [(doc, self.ids[item], a, b, edits) for (doc, item), (edits, a, b) in best.items()]
-        if self.short is not None:
+        spans = [x for g in self.grams for x in g.places(text, at)]
+        if self.tiny is not None:
             spans += [(*x, 0) for x in self.exact_words(text, at)]
         out = []
         for doc, item, a, b, edits in sorted(spans):
@@ -249,9 +292,9 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     """Benchmark items found in documents: ``(id, item_id, start, end, edits, contaminated)``.
 
     One row for each document and item with at most ``edit_share`` of the item's
-    bytes edited: its best place, in UTF-8 bytes of the text. Items under MIN_ITEM
-    normalised bytes count where they occur exactly, between blanks or a text's
-    ends. Clean documents, null and empty texts have no row; nor have null items
+    bytes edited: its best place, in UTF-8 bytes of the text. Items too short for
+    an edit (under 13 normalised bytes) count where they occur exactly and no word
+    goes on beyond them. A text is searched whole, however long. Clean documents, null and empty texts have no row; nor have null items
     and items without a sign. Rows that repeat an id or item give repeated rows.
     Only the named columns are read. An empty benchmark or table gives no rows.
     """

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import numpy as np
@@ -42,10 +43,8 @@ def test_edits_equal_the_full_table(letters):
         n = rng.choice([32, 40, 80, 300, 700])
         item = bytes(rng.choice(letters) for _ in range(n)).strip().replace(b"  ", b"a ")
         index = decontaminate.Index([(1, item)])
-        if not index.texts:
-            continue
-        item = index.texts[0]
-        k = int(index.edits[0])
+        own = index.grams[0]
+        item, k = own.texts[0], int(own.edits[0])
         said = edited(rng, item, rng.randint(0, k + 3), letters.strip())
         text = bytes(rng.choice(letters) for _ in range(rng.randint(0, 200))) + said + bytes(rng.choice(letters) for _ in range(rng.randint(0, 200)))
         data, ptr, _ = decontaminate.normalise(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
@@ -89,15 +88,51 @@ def test_recall_by_share_of_edits(share, least):
         index = decontaminate.Index([(1, item)])
         found = index.search(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         caught += bool(found)
-        assert bool(found) == (fewest_edits(item, text) <= index.edits[0])
+        assert bool(found) == (fewest_edits(item, text) <= index.grams[0].edits[0])
     assert caught >= least * 100
 
 
-def test_short_items_as_words(spark):
-    docs = [(1, "say Short  item, now"), (2, "say short items"), (3, "short item,"), (4, None), (5, "ashort item,")]
-    benchmark = spark.createDataFrame([(7, "short\nitem,"), (8, None), (9, ""), (10, " \n ")], "item_id long, text string")
+def test_tiny_items_as_words(spark):
+    docs = [(1, "say Tiny  item, now"), (2, "say tiny items"), (3, "(tiny item)"), (4, None), (5, "atiny item"), (6, "'Tiny Item'."), (7, "tiny itemé")]
+    benchmark = spark.createDataFrame([(7, "tiny\nitem"), (8, None), (9, ""), (10, " \n ")], "item_id long, text string")
     rows = decontaminate.leaks(spark.createDataFrame(docs, KIND), benchmark).collect()
-    assert {(r["doc_id"], r["item_id"], r["start"], r["end"], r["edits"]) for r in rows} == {(1, 7, 4, 16, 0), (3, 7, 0, 11, 0)}
+    assert {(r["doc_id"], r["item_id"], r["start"], r["end"], r["edits"]) for r in rows} == {(1, 7, 4, 14, 0), (3, 7, 1, 10, 0), (6, 7, 1, 10, 0)}
+
+
+def test_short_items_with_edits_and_signs():
+    item = b"the capital of new zealand is"[:28]
+    said = [item + b" now", item.replace(b"new", b"nw") + b" now", b'"' + item + b'"', item + b".", item + b", so", b"(" + item + b")", item.replace(b"new", b"old"), b"nothing of the kind in here, is it"]
+    index = decontaminate.Index([(1, item)])
+    got = [[x[4] for x in index.search(np.frombuffer(t, np.uint8), np.array([0, len(t)]))] for t in said]
+    assert got == [[0], [1], [0], [0], [0], [0], [], []]
+
+
+@pytest.mark.parametrize("letters", [b"abcdefghijklmnop ", b"ab"])
+def test_items_of_8_to_60_bytes_equal_the_full_table(letters):
+    rng = random.Random(11)
+    for _ in range(300):
+        item = (bytes(rng.choice(letters) for _ in range(rng.randint(8, 60))).strip() or b"abcdefgh").replace(b"  ", b"a ")
+        said = edited(rng, item, rng.randint(0, 5), letters.strip()).strip()
+        before, after = (bytes(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in "ab")
+        text = before + rng.choice([b" ", b". ", b"(", b'"']) + said + rng.choice([b" ", b".", b",", b")"]) + after
+        data = decontaminate.normalise(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tobytes()
+        index = decontaminate.Index([(1, item)])
+        found = index.search(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        if index.tiny is None:
+            want = fewest_edits(item, data)
+            assert [x[4] for x in found] == ([want] if want <= index.grams[0].edits[0] else [])
+        else:
+            assert len(item) < 13 and bool(found) == bool(re.search(rb"(?<![0-9a-zA-Z\x80-\xff])" + re.escape(item) + rb"(?![0-9a-zA-Z\x80-\xff])", data))
+
+
+@pytest.mark.parametrize("edits", [0, 300])
+def test_periodic_items(edits):
+    rng = random.Random(3)
+    item = b"abcde fghij " * 500
+    text = edited(rng, item * 10, edits, b"abcdefghij")
+    began = time.time()
+    found = decontaminate.Index([(1, item)]).search(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(found) == 1 and time.time() - began < 4
 
 
 def test_leaks_of_odd_tables(spark, monkeypatch):
