@@ -149,8 +149,8 @@ def _texts(column: pa.Array) -> list[str]:
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Token ids of every text and the bytes they decode to: ``(id, ids array<int>, decoded binary)``.
 
-    A null or empty text has no ids. Repeated rows give repeated results; other
-    columns are not read. Texts of any length are encoded whole.
+    A null or empty text has no ids. Repeated rows give repeated results, an empty
+    table none; other columns are not read. Texts of any length are encoded whole.
     """
     path = path or public_tokenizers.path(VOCABULARY)
 

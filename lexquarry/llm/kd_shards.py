@@ -100,8 +100,8 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadat
     (null: 1), text_crc32 its unsigned CRC (null: 0, as for an empty text), slot
     numbers a shard's rows from 0 without gaps. Repeated rows and ids are rows
     like others, told apart by their place in the input, so which of several
-    equal texts go where depends on it. An empty table gives no rows. Only the
-    named columns are read.
+    equal texts go where depends on it. An empty table gives no rows. A text of
+    any length is one row of one shard. Only the named columns are read.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     size = F.octet_length(raw).cast("long") + 1

@@ -215,7 +215,9 @@ def predict(df: DataFrame, network: Network | None, id_col: str = "doc_id", text
 
     A null text, a text without a letter, and every text where nothing was
     learned, is ``und`` with score 0. Ties go to the first language by name.
-    Repeated rows give repeated results; other columns than those named are not read.
+    Repeated rows give repeated results, an empty table none; other columns than
+    those named are not read. Texts are read whole, in pieces; a piece shorter than
+    others it is computed with is padded, which can move its probabilities slightly.
     """
 
     def run(batches):

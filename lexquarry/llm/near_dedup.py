@@ -407,6 +407,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are null or without words have no shingles and are linked with nothing; rows
     with a null id get the class of their text, and kept false. Equal texts are
     always of one class. Other columns are not read, so their names can't clash.
+    Texts are read whole, however long; an empty table gives no rows.
 
     percent may be 80 or more: the candidate search is built for that.
     """

@@ -159,7 +159,9 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     Learns from labelled ids outside the held-out third only; labels other than 0
     and 1, null labels and null ids are passed over. Without labels of both kinds
     the score is the labels' smoothed mean (0.5 without any). Empty and null
-    texts are scored from zero statistics. Repeated rows give repeated results.
+    texts are scored from zero statistics. Repeated rows give repeated results, an
+    empty table none. Statistics are those of whole texts, however long; other
+    columns than those named are not read.
     """
     stats = materialize(document_statistics(df, id_col, text_col), "statistics")
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))

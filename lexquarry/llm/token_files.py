@@ -187,7 +187,12 @@ def read(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Write all documents into a new folder of the shared directory and read them back."""
+    """Write all documents into a new folder of the shared directory and read them back.
+
+    A null or empty text has its end id alone. Rows that repeat an id, or have
+    none, are documents of their own. An empty table gives no rows. Texts of any
+    length are encoded whole; only the two named columns are read.
+    """
     folder = shared_dir(df.sparkSession)
     folder = folder if "://" in folder or folder.startswith("/") else os.path.abspath(folder)
     folder = f"{folder}/lexquarry/tokens-{uuid.uuid4().hex}"

@@ -51,3 +51,57 @@ def test_nothing_to_learn_and_very_long_texts(spark):
     long = spark.createDataFrame([(1, "ñandú año " * 150_000, "b")], KIND)
     row = lang_id.predict(long, lang_id.fit(spark.createDataFrame(documents(200), KIND))).first()
     assert row["lang_pred"] == "b" and 0.5 < row["score"] <= 1
+
+
+def test_gradients_equal_differences():
+    """Backpropagation through time against finite differences, in one direction."""
+    rng = np.random.default_rng(4)
+    one = lang_id.Direction(rng)
+    one.p = {k: v.astype(np.float64) for k, v in one.p.items()}
+    ids, weight = rng.integers(0, 257, (9, 3)), rng.normal(size=(9, 3, lang_id.HIDDEN))
+
+    def loss():
+        return float((one.forward(ids)[0].astype(float) * weight).sum())
+
+    _, trace = one.forward(ids, True)
+    g = one.backward(ids, trace, weight.astype(np.float32))
+    for name in ("x", "u", "c"):
+        for _ in range(12):
+            at = (int(rng.choice(ids.ravel())) if name == "x" else int(rng.integers(lang_id.HIDDEN)), int(rng.integers(one.p[name].shape[1])))
+            kept, sides = one.p[name][at], []
+            for step in (1e-3, -1e-3):
+                one.p[name][at] = kept + step
+                sides.append(loss())
+            one.p[name][at] = kept
+            assert abs((sides[0] - sides[1]) / 2e-3 - g[name][at]) < 5e-3 * (1 + abs(g[name][at])), (name, at)
+
+
+def walked(network, data):
+    """Pooled probabilities of one text, position by position in plain steps."""
+    h, total = lang_id.HIDDEN, np.zeros(len(network.langs))
+
+    def states(one, piece):
+        s, out = np.zeros(h), []
+        for b in piece:
+            add = one.p["x"][b].astype(float)
+            z, r = np.split(1 / (1 + np.exp(-(add[: 2 * h] + s @ one.p["u"]))), 2)
+            s = s + z * (np.tanh(add[2 * h :] + (r * s) @ one.p["c"]) - s)
+            out.append(s)
+        return out
+
+    for i in range(0, len(data), lang_id.SEGMENT):
+        piece = data[i : i + lang_id.SEGMENT]
+        for a, b in zip(states(network.ahead, piece), states(network.back, piece[::-1])[::-1]):
+            e = np.exp(np.concatenate([a, b]) @ network.out["w"] + network.out["b"])
+            total += e / e.sum()
+    return total / max(1, len(data))
+
+
+def test_pooled_probabilities_equal_a_walk():
+    """Texts of whole pieces, or of one short one, so that no piece is padded."""
+    network = lang_id.Network(["a", "b", "c"])
+    for text in (b"some text", "ñandú año".encode(), b"x", b"xyz " * lang_id.SEGMENT, bytes(range(32, 127)) * lang_id.SEGMENT):
+        data = text[: max(1, len(text) // lang_id.SEGMENT) * lang_id.SEGMENT][: 3 * lang_id.SEGMENT]
+        got = network.documents(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        np.testing.assert_allclose(got[0], walked(network, data), atol=2e-4)
+    assert (network.documents(np.zeros(0, np.uint8), np.array([0, 0])) == 0).all()

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -55,3 +56,36 @@ def test_without_labels(spark):
 def test_a_very_long_text(spark):
     df = spark.createDataFrame([(1, "word " * 500_000), (2, "b")], KIND)
     assert quality.quality_scores(df, spark.createDataFrame([(2, 1)], "doc_id long, quality int")).count() == 2
+
+
+def plain_statistics(text):
+    data = text.encode()
+    if not data:
+        return [0.0] * len(quality.STATISTICS)
+    n = len(data)
+    words = [bytes(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", data)]
+    low = [w.lower() for w in words]  # bytes.lower: A-Z only
+    lines = data.split(b"\n")
+    lines = lines[:-1] if data.endswith(b"\n") else lines
+    letter = [b for b in data if chr(b).isalpha() and b < 128 or b >= 128]
+    sign = [b for b in data if 33 <= b < 127 and not chr(b).isalnum()]
+    share = [c / n for c in np.unique(list(data), return_counts=True)[1]]
+    k = max(1, len(words))
+
+    def of(test):
+        return sum(map(test, data)) / n
+
+    return [
+        np.log1p(n), np.log1p(len(words)), sum(map(len, words)) / k, len(letter) / n, of(lambda b: 65 <= b <= 90), of(lambda b: 48 <= b <= 57), of(lambda b: b == 32), of(lambda b: b == 10),
+        len(sign) / n, of(lambda b: b >= 128), of(lambda b: b < 9), max([sign.count(b) for b in set(sign)], default=0) / n, -sum(s * np.log(s) for s in share), len(set(low)) / k,
+        sum(a == b for a, b in zip(low, low[1:])) / k, sum(2 * sum(65 <= b <= 90 for b in w) > len(w) for w in words) / k, sum(33 <= w[-1] < 127 and not chr(w[-1]).isalnum() for w in words) / k,
+        np.log1p(n / max(1, len(lines))), 1 - len(set(lines)) / max(1, len(lines)), sum(len(w) > 30 for w in words) / k, of(lambda b: b == 58), of(lambda b: b == 124),
+    ]
+
+
+def test_statistics_equal_a_plain_computation():
+    rng = random.Random(2)
+    signs = ["a", "B", "é", "中", "1", " ", "\n", "\t", ".", ":", "|", "-", "word ", "WORD ", "\x01", "\x0b"]
+    texts = ["", "q", "\n", " ", "ab\nab\n", "x" * 40 + " y", "A A a"] + ["".join(rng.choice(signs) for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    got = quality.statistics(*utf8_buffer(pa.array(texts)))
+    np.testing.assert_allclose(got, np.array([plain_statistics(t) for t in texts]), rtol=1e-5, atol=1e-6)
