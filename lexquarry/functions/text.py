@@ -21,6 +21,14 @@ CITATION_PATTERNS = [
 # Fixed value: two parties around "v."
 PARTY_PATTERN = r"([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\s+v\.?\s+([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)"
 WESTLAW_PATTERN = r"(\d{4})\s*W\.?\s*L\.?\s*(\d+)"
+# Fixed value: a Westlaw citation in small letters, as citations are told apart.
+WESTLAW_KEY_PATTERN = r"(\d{4})(?:\s*w\.?\s*l\.?\s*)(\d+)"
+# Spellings of the state's reporters, of which the first that fits is made regular, and that reporter.
+WASHINGTON_FORMATS = [(r"(\d+)\s+Wash\.?\s*2d\s+(\d+)", "Wash. 2d"), (r"(\d+)\s+Wash\.?\s+(\d+)", "Wash."), (r"(\d+)\s+Wash\.?\s*App\.?\s+(\d+)", "Wash. App.")]
+# Fixed value: a citation of the state's reporters in a case name.
+WASHINGTON_PATTERN = r"(\d+\s+Wash\.\s+(?:2d|App\.)?\s+\d+)"
+# Volume, reporter and page, of which the first that fits counts.
+PARTS_PATTERNS = [r"(\d+)\s+([A-Za-z\.\s]+)\s+(\d+)", r"(\d+)\s+([A-Za-z\.\s]+\d+[a-z]*\s+)\s*(\d+)"]
 # Prefixes of case names, of which the first that fits is dropped.
 CASE_PREFIXES = ["in re ", "state v. ", "state of washington v. "]
 # Phrases by which a summary says that it knows nothing.
@@ -55,25 +63,25 @@ def westlaw(c: Column) -> Column:
 def dedup_key(c: Column) -> Column:
     """Key under which spellings of a citation are one (upper-case W and L only occur before lower-casing)."""
     low = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
-    pattern = r"(\d{4})(?:\s*w\.?\s*l\.?\s*)(\d+)"
+    pattern = WESTLAW_KEY_PATTERN
     return F.when(low.rlike(pattern), F.concat_ws("wl", F.regexp_extract(low, pattern, 1), F.regexp_extract(low, pattern, 2))).otherwise(F.regexp_replace(low, r"(?U)[^\w\d]", ""))
 
 
 def washington_format(c: Column) -> Column:
     out = c
-    for pattern, name in reversed([(r"(?i)(\d+)\s+Wash\.?\s*2d\s+(\d+)", "Wash. 2d"), (r"(?i)(\d+)\s+Wash\.?\s+(\d+)", "Wash."), (r"(?i)(\d+)\s+Wash\.?\s*App\.?\s+(\d+)", "Wash. App.")]):
-        out = F.when(c.rlike(pattern), F.regexp_replace(c, pattern, f"$1 {name} $2")).otherwise(out)
+    for pattern, name in reversed(WASHINGTON_FORMATS):
+        out = F.when(c.rlike(f"(?i){pattern}"), F.regexp_replace(c, f"(?i){pattern}", f"$1 {name} $2")).otherwise(out)
     return out
 
 
 def washington_citation(c: Column) -> Column:
-    return F.regexp_extract(c, r"(\d+\s+Wash\.\s+(?:2d|App\.)?\s+\d+)", 1)
+    return F.regexp_extract(c, WASHINGTON_PATTERN, 1)
 
 
 def citation_parts(c: Column) -> Column:
     """Struct of volume, reporter, page; null if no pattern fits."""
     out = F.lit(None)
-    for p in reversed([r"(\d+)\s+([A-Za-z\.\s]+)\s+(\d+)", r"(\d+)\s+([A-Za-z\.\s]+\d+[a-z]*\s+)\s*(\d+)"]):
+    for p in reversed(PARTS_PATTERNS):
         parts = [F.regexp_extract(c, p, i) for i in (1, 2, 3)]
         out = F.when(c.rlike(p), F.struct(parts[0].alias("volume"), F.trim(parts[1]).alias("reporter"), parts[2].alias("page"))).otherwise(out)
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as T
-from lexquarry.operators.queries import _GREEDY, _GROUPABLE, _NORM, _PAIRS, ORACLE_SQL, QUERIES, C, N, U, _words, greedy_groups, query, scalar, summary_pairs
+from lexquarry.operators.queries import _GREEDY, _GROUPABLE, _NORM, _PAIRS, QUERIES, WESTLAW, C, N, U, _words, greedy_groups, query, scalar, summary_pairs
 from lexquarry.plans.workload import W_CITES, W_SUMMARIES, briefs, cites, derived, table
 
 # Scalars ---------------------------------------------------------------------
@@ -160,10 +160,7 @@ def jon05(spark, sf):
     return first_places(cites(spark, sf), 3, True).select("doc_id", "i", F.array_join(F.col("js").cast("array<string>"), ",").alias("js"))
 
 
-_WESTLAW = r"regexp_matches(citation, '(\d{4})\s*W\.?\s*L\.?\s*(\d+)')"
-
-
-@query("jon07_three_steps", f"SELECT c.citation, coalesce(s.source, 'none') AS source FROM (SELECT DISTINCT citation FROM w_cites) c LEFT JOIN (SELECT citation, min_by(source, priority) AS source FROM w_sources WHERE priority <= 3 AND (priority > 1 OR NOT {_WESTLAW}) GROUP BY citation) s ON s.citation = c.citation", "w_cites", "w_sources")
+@query("jon07_three_steps", f"SELECT c.citation, coalesce(s.source, 'none') AS source FROM (SELECT DISTINCT citation FROM w_cites) c LEFT JOIN (SELECT citation, min_by(source, priority) AS source FROM w_sources WHERE priority <= 3 AND (priority > 1 OR NOT {WESTLAW}) GROUP BY citation) s ON s.citation = c.citation", "w_cites", "w_sources")
 def jon07(spark, sf):
     """Lookup (not for Westlaw), then two searches."""
     usable = derived(spark, sf, "w_sources").where((F.col("priority") <= 3) & ((F.col("priority") > 1) | ~T.is_westlaw(C())))

@@ -68,17 +68,24 @@ def _sim(a: str, b: str) -> str:
     )
 
 
+WESTLAW = f"regexp_matches(citation, '{T.WESTLAW_PATTERN}')"
+
+
+def _two(x: str, pattern: str, between: str) -> str:
+    return f"regexp_extract({x}, '{pattern}', 1) || '{between}' || regexp_extract({x}, '{pattern}', 2)"
+
+
 _MESSY = "citation || ', ' || source || ' (19' || (10 + ord) || ')'"
 
 
 def _messy() -> Column:
     return F.concat(C(), F.lit(", "), F.col("source"), F.lit(" (19"), 10 + F.col("ord"), F.lit(")"))
 
-scalar("scl05_dedup_key", lambda: T.dedup_key(F.concat(F.lit(" "), C(), F.lit(" "))), r"CASE WHEN regexp_matches(lower(citation), '(\d{4})(?:\s*w\.?\s*l\.?\s*)(\d+)') THEN regexp_extract(lower(citation), '(\d{4})(?:\s*w\.?\s*l\.?\s*)(\d+)', 1) || 'wl' || regexp_extract(lower(citation), '(\d{4})(?:\s*w\.?\s*l\.?\s*)(\d+)', 2) ELSE regexp_replace(lower(citation), '[^\w\d]', '', 'g') END")
-scalar("scl06_westlaw", lambda: T.westlaw(F.concat(F.lit("see "), C())), r"CASE WHEN regexp_matches(citation, '(\d{4})\s*W\.?\s*L\.?\s*(\d+)') THEN regexp_extract(citation, '(\d{4})\s*W\.?\s*L\.?\s*(\d+)', 1) || ' WL ' || regexp_extract(citation, '(\d{4})\s*W\.?\s*L\.?\s*(\d+)', 2) ELSE 'see ' || citation END")
-scalar("scl07_washington_format", lambda: T.washington_format(F.regexp_replace(C(), "Wash. 2d", "wash 2d")), r"regexp_replace(replace(citation, 'Wash. 2d', 'wash 2d'), '(\d+)\s+wash\.?\s*2d\s+(\d+)', '\1 Wash. 2d \2', 'gi')")
-scalar("scl08_washington_citation", lambda: T.washington_citation(C()), r"regexp_extract(citation, '(\d+\s+Wash\.\s+(?:2d|App\.)?\s+\d+)', 1)")
-scalar("scl09_citation_parts", lambda: F.concat_ws("|", T.citation_parts(C())["volume"], T.citation_parts(C())["reporter"], T.citation_parts(C())["page"]), r"CASE WHEN regexp_matches(citation, '(\d+)\s+([A-Za-z\.\s]+)\s+(\d+)') THEN regexp_extract(citation, '(\d+)\s+([A-Za-z\.\s]+)\s+(\d+)', 1) || '|' || trim(regexp_extract(citation, '(\d+)\s+([A-Za-z\.\s]+)\s+(\d+)', 2)) || '|' || regexp_extract(citation, '(\d+)\s+([A-Za-z\.\s]+)\s+(\d+)', 3) WHEN regexp_matches(citation, '(\d+)\s+([A-Za-z\.\s]+\d+[a-z]*\s+)\s*(\d+)') THEN regexp_extract(citation, '(\d+)\s+([A-Za-z\.\s]+\d+[a-z]*\s+)\s*(\d+)', 1) || '|' || trim(regexp_extract(citation, '(\d+)\s+([A-Za-z\.\s]+\d+[a-z]*\s+)\s*(\d+)', 2)) || '|' || regexp_extract(citation, '(\d+)\s+([A-Za-z\.\s]+\d+[a-z]*\s+)\s*(\d+)', 3) ELSE '' END")
+scalar("scl05_dedup_key", lambda: T.dedup_key(F.concat(F.lit(" "), C(), F.lit(" "))), f"CASE WHEN regexp_matches(lower(citation), '{T.WESTLAW_KEY_PATTERN}') THEN {_two('lower(citation)', T.WESTLAW_KEY_PATTERN, 'wl')} ELSE regexp_replace(lower(citation), '[^\\w\\d]', '', 'g') END")
+scalar("scl06_westlaw", lambda: T.westlaw(F.concat(F.lit("see "), C())), f"CASE WHEN {WESTLAW} THEN {_two('citation', T.WESTLAW_PATTERN, ' WL ')} ELSE 'see ' || citation END")
+scalar("scl07_washington_format", lambda: T.washington_format(F.regexp_replace(C(), "Wash. 2d", "wash 2d")), f"regexp_replace(replace(citation, 'Wash. 2d', 'wash 2d'), '{T.WASHINGTON_FORMATS[0][0]}', '\\1 Wash. 2d \\2', 'gi')")
+scalar("scl08_washington_citation", lambda: T.washington_citation(C()), f"regexp_extract(citation, '{T.WASHINGTON_PATTERN}', 1)")
+scalar("scl09_citation_parts", lambda: F.concat_ws("|", T.citation_parts(C())["volume"], T.citation_parts(C())["reporter"], T.citation_parts(C())["page"]), "CASE " + " ".join(f"WHEN regexp_matches(citation, '{p}') THEN regexp_extract(citation, '{p}', 1) || '|' || trim(regexp_extract(citation, '{p}', 2)) || '|' || regexp_extract(citation, '{p}', 3)" for p in T.PARTS_PATTERNS) + " ELSE '' END")
 scalar("scl10_case_name", lambda: T.normalize_case_name(N()), _NORM.format("case_name"))
 scalar("scl11_clean_key", lambda: T.clean_key(C()), "replace(replace(citation, ' ', ''), '.', '')")
 scalar("scl16_confidence", lambda: F.round(T.confidence(F.col("conf"), F.lit(0.7)), 6), "round(least(2 * abs(conf - CAST(0.7 AS DOUBLE)) / CAST(0.7 AS DOUBLE), 1.0), 6)")
@@ -94,7 +101,7 @@ scalar("prj01_grouping_record", lambda: F.concat_ws("|", F.coalesce(N(), F.lit("
 scalar("prj05_absolute_url", lambda: T.absolute_url(U(), HOST), f"CASE WHEN url <> '' AND NOT starts_with(url, 'http') THEN '{HOST}' || url ELSE url END")
 scalar("prj07_truncate", lambda: T.truncate(F.concat(F.repeat(F.lit("x"), (F.col("page") % 130).cast("int")), C()), 100), "CASE WHEN len(repeat('x', CAST(page % 130 AS INT)) || citation) > 100 THEN substr(repeat('x', CAST(page % 130 AS INT)) || citation, 1, 100) || '...' ELSE repeat('x', CAST(page % 130 AS INT)) || citation END")
 scalar("cls06_two_way", lambda: F.when(F.col("found"), 0.95).otherwise(0.85), "CASE WHEN found THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END")
-scalar("cls11_display_state", lambda: F.when(~F.col("found"), "hallucinated").when((U() == "") | (T.is_westlaw(C()) & N().isNull()), "unconfirmed").otherwise("verified"), r"CASE WHEN NOT found THEN 'hallucinated' WHEN url = '' OR (regexp_matches(citation, '(\d{4})\s*W\.?\s*L\.?\s*(\d+)') AND case_name IS NULL) THEN 'unconfirmed' ELSE 'verified' END")
+scalar("cls11_display_state", lambda: F.when(~F.col("found"), "hallucinated").when((U() == "") | (T.is_westlaw(C()) & N().isNull()), "unconfirmed").otherwise("verified"), f"CASE WHEN NOT found THEN 'hallucinated' WHEN url = '' OR ({WESTLAW} AND case_name IS NULL) THEN 'unconfirmed' ELSE 'verified' END")
 
 # Texts -----------------------------------------------------------------------
 
@@ -186,7 +193,7 @@ def filtered(name: str, condition: Callable[[], Column], sql: str) -> None:
 filtered("flt01_hallucinated", lambda: ~F.col("found"), "NOT found")
 filtered("flt02_unverified", lambda: ~F.col("found") & C().isNotNull(), "NOT found AND citation IS NOT NULL")
 filtered("flt03_groupable", lambda: N().isNotNull() & (F.lower(N()) != "unknown case"), "case_name IS NOT NULL AND lower(case_name) <> 'unknown case'")
-filtered("flt04_westlaw", lambda: T.is_westlaw(C()), r"regexp_matches(citation, '(\d{4})\s*W\.?\s*L\.?\s*(\d+)')")
+filtered("flt04_westlaw", lambda: T.is_westlaw(C()), WESTLAW)
 filtered("flt05_not_lexis", lambda: ~F.contains(F.lower(F.concat(C(), F.when(F.col("page") % 4 == 0, " LEXIS").otherwise(""))), F.lit("lexis")), "page % 4 <> 0")
 filtered("flt06_flag", lambda: F.col("found") & (F.col("conf") > 0), "found AND conf > 0")
 

@@ -30,6 +30,9 @@ NO_SUMMARY = ["Error", "Case citation", "CourtListener API is not available"]
 WARNING = "WARNING: CASE VERIFICATION FAILED - INSUFFICIENT DATA\n\n"
 UNREAD = "Citation not verified by CourtListener API"
 
+# The summary that stands in for one, around the citation.
+STAND_IN = ("Summary of ", " would be generated by an LLM in a real implementation.")
+
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
@@ -103,7 +106,7 @@ def scl26_excerpt(spark, sf):
 
 
 @query("cls12_summary_source", f"""SELECT doc_id, ord, CASE WHEN page % 3 = 0 THEN 'web' WHEN {' OR '.join(f"starts_with(lookup, '{x}')" for x in NO_SUMMARY)} THEN 'mock' ELSE 'lookup' END AS source,
-CASE WHEN page % 3 = 0 THEN 'Web summary of ' || citation WHEN {' OR '.join(f"starts_with(lookup, '{x}')" for x in NO_SUMMARY)} THEN 'Summary of ' || citation || ' would be generated by an LLM in a real implementation.' ELSE lookup END AS summary
+CASE WHEN page % 3 = 0 THEN 'Web summary of ' || citation WHEN {' OR '.join(f"starts_with(lookup, '{x}')" for x in NO_SUMMARY)} THEN '{STAND_IN[0]}' || citation || '{STAND_IN[1]}' ELSE lookup END AS summary
 FROM (SELECT *, CASE page % 5 WHEN 0 THEN 'Error: timed out' WHEN 1 THEN 'Case citation not found' WHEN 2 THEN 'CourtListener API is not available' ELSE 'Case Summary: ' || citation END AS lookup FROM w_cites)""", "w_cites")
 def cls12(spark, sf):
     """The first source that has a summary: the web, the lookup unless it reports a failure, a stand-in text."""
@@ -113,7 +116,7 @@ def cls12(spark, sf):
     rows = cites(spark, sf).select("doc_id", "ord", "citation", web.alias("web"), lookup.alias("lookup"))
     usable = ~any_of([F.col("lookup").startswith(x) for x in NO_SUMMARY])
     source = F.when(F.col("web").isNotNull(), "web").when(usable, "lookup").otherwise("mock")
-    mock = F.concat(F.lit("Summary of "), C(), F.lit(" would be generated by an LLM in a real implementation."))
+    mock = F.concat(F.lit(STAND_IN[0]), C(), F.lit(STAND_IN[1]))
     return rows.select("doc_id", "ord", source.alias("source"), F.coalesce("web", F.when(usable, F.col("lookup")), mock).alias("summary"))
 
 
@@ -193,7 +196,7 @@ def by_similarity(sim: Column, threshold: float) -> tuple[Column, Column]:
 
 
 _SIMILAR = "round(least(2 * abs(sim - CAST(0.7 AS DOUBLE)) / CAST(0.7 AS DOUBLE), 1.0), 6)"
-_WESTLAW = r"regexp_matches(c.citation, '(\d{4})\s*W\.?\s*L\.?\s*(\d+)')"
+_WESTLAW = f"regexp_matches(c.citation, '{T.WESTLAW_PATTERN}')"
 
 
 @query("cls10_brief_verdict", f"""SELECT doc_id, ord, method, CASE method WHEN 'courtlistener' THEN bare WHEN 'westlaw_unverifiable' THEN false ELSE sim < CAST(0.7 AS DOUBLE) END AS is_hallucinated,

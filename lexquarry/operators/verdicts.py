@@ -316,7 +316,7 @@ def three_steps(asked: DataFrame, sources: DataFrame) -> DataFrame:
     return best.select("asked", "citation", F.coalesce("s.source", F.lit("none")).alias("source"))
 
 
-_CLOSED = r"(regexp_matches(asked, '(\d{4})\s*W\.?\s*L\.?\s*(\d+)') OR contains(lower(asked), 'lexis'))"
+_CLOSED = f"(regexp_matches(asked, '{T.WESTLAW_PATTERN}') OR contains(lower(asked), 'lexis'))"
 
 
 @query("jon07_steps_for_reporter", f"SELECT asked, a.citation, coalesce(min_by(source, priority) FILTER (trim(asked) <> '' AND (priority > 1 OR NOT {_CLOSED})), 'none') AS source FROM (SELECT DISTINCT citation, asked FROM w_checks) a LEFT JOIN (SELECT * FROM w_sources WHERE priority <= 3) s ON s.citation = a.citation GROUP BY asked, a.citation", "w_cites", "w_sources", "w_checks")
