@@ -207,10 +207,15 @@ def chosen(cut: DataFrame) -> DataFrame:
     conv_kind, arrow_kind = _kind(cut), _arrow_kind(cut)
     rows = cut.select("conv_id", "block", "costs", "audits").repartition("conv_id").sortWithinPartitions("conv_id", "block")
 
+    def tables(own: Iterator[tuple], at: list[int]) -> Iterator[tuple]:
+        for _, block, costs, audits in own:
+            at.append(block)
+            yield costs, audits
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, own in grouped(x for b in batches for x in zip(*(b[c].to_pylist() for c in ("conv_id", "block", "costs", "audits")))):
             at: list[int] = []
-            path, lead = chained((costs, audits) for _, block, costs, audits in own if at.append(block) is None)
+            path, lead = chained(tables(own, at))
             leads = [lead] + [""] * (len(path) - 1)
             yield pa.RecordBatch.from_arrays([pa.array([conv] * len(path), arrow_kind), pa.array(at, pa.int64()), *(pa.array([p[i] for p in path], pa.int32()) for i in (0, 1)), pa.array(leads, pa.string())], ["conv_id", "block", "entry", "exit", "lead"])
 
