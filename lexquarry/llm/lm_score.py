@@ -175,6 +175,13 @@ class Window:
         score += np.take(self.p["b"], node)
         return word, node, said, vector, turn, score * turn
 
+    def by_word(self, leaves: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Sums of columns over the nodes of each word's path, which stand together; no path is empty unless there is but one leaf."""
+        depth = self.vocabulary.depth[leaves]
+        if not depth.all():
+            return np.zeros((*columns.shape[:-1], len(leaves)), columns.dtype)
+        return np.add.reduceat(columns, np.cumsum(depth) - depth, axis=-1)
+
     def log_probabilities(self, leaves: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Of every word's leaf, given the leaves around it."""
         out = np.zeros(len(leaves))
@@ -205,7 +212,7 @@ class Window:
             pull = turn * (-1 / (1 + np.exp(score)) / len(own)).astype(np.float32)  # the loss's slope at each node's score
             vector *= pull
             said *= pull
-            back = np.stack([np.bincount(word, c, len(own)) for c in vector], 1).astype(np.float32)
+            back = self.by_word(own, vector).T
             at, grad = sums_by(node, [*said, pull], self.vocabulary.nodes)
             self._step("w", (slice(None), at), grad[:, :-1])
             self._step("b", at, grad[:, -1])
