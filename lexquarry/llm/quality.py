@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import held_out, map_arrow, materialize, utf8_buffer
+from lexquarry.llm.common import discard, held_out, map_arrow, materialize, utf8_buffer
 from lexquarry.llm.near_dedup import _BLANK, _TO_LOWER
 from lexquarry.llm.pieces import slice_hashes
 
@@ -39,12 +39,20 @@ _SIGN[33:127] = True
 _SIGN &= ~(_LETTER | _DIGIT)
 
 
+def distinct(keys: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """How many different keys each of ``n`` documents has."""
+    order = np.lexsort((keys, doc))
+    keys, doc = keys[order], doc[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+    return np.bincount(doc[new], minlength=n)
+
+
 def statistics(data: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """(documents, statistics) of texts in one buffer; an empty text has zeros."""
     n = len(ptr) - 1
-    out = np.zeros((n, len(STATISTICS)), np.float32)
     if len(data) == 0:
-        return out
+        return np.zeros((n, len(STATISTICS)), np.float32)
     solid = ~_BLANK[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[ptr] = True
@@ -52,33 +60,36 @@ def statistics(data: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     begins[1:] &= ~solid[:-1] | edge[1:-1]
     finishes[:-1] &= ~solid[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    words = slice_hashes(_TO_LOWER[data], starts, ends)
-    word_at = np.searchsorted(starts, ptr)
+    words, of_word = slice_hashes(_TO_LOWER[data], starts, ends), np.searchsorted(ptr, starts, "right") - 1
     lengths = ends - starts
     uppers = np.concatenate([[0], np.cumsum(_UPPER[data])])
     shouted = (uppers[ends] - uppers[starts]) * 2 > lengths
-    signed = _SIGN[data[ends - 1]]
-    line_edge = (data == 10) | edge[1:]
-    line_ends = np.flatnonzero(line_edge)
-    line_starts = np.concatenate([[0], line_ends[:-1] + 1]) if len(line_ends) else np.zeros(0, int)
+    doubled = np.zeros(len(words), bool)
+    doubled[1:] = (words[1:] == words[:-1]) & (of_word[1:] == of_word[:-1])
+    line_ends = np.flatnonzero((data == 10) | edge[1:])
+    line_starts = np.concatenate([[0], line_ends[:-1] + 1])
     lines = slice_hashes(data, line_starts, line_ends + (data[line_ends] != 10))  # a text's last line may have no line break
-    line_at = np.searchsorted(line_starts, ptr)
-    for i in range(n):
-        a, b = ptr[i], ptr[i + 1]
-        if a == b:
-            continue
-        counts = np.bincount(data[a:b], minlength=256)
-        size = b - a
-        share = counts[counts > 0] / size
-        w, wl = words[word_at[i] : word_at[i + 1]], lengths[word_at[i] : word_at[i + 1]]
-        k, own = max(1, len(w)), lines[line_at[i] : line_at[i + 1]]
-        part = slice(word_at[i], word_at[i + 1])
-        out[i] = (
-            np.log1p(size), np.log1p(len(w)), wl.sum() / k, counts[_LETTER].sum() / size, counts[_UPPER].sum() / size, counts[_DIGIT].sum() / size, counts[32] / size, counts[10] / size,
-            counts[_SIGN].sum() / size, counts[128:].sum() / size, counts[:9].sum() / size, counts[_SIGN].max() / size, -(share * np.log(share)).sum(), len(np.unique(w)) / k,
-            (w[1:] == w[:-1]).sum() / k, shouted[part].sum() / k, signed[part].sum() / k, np.log1p(size / max(1, len(own))), 1 - len(np.unique(own)) / max(1, len(own)), (wl > 30).sum() / k, counts[58] / size, counts[124] / size,
-        )
-    return out
+    of_line = np.searchsorted(ptr, line_starts, "right") - 1
+
+    sizes = np.diff(ptr)
+    counts = np.bincount(np.repeat(np.arange(n) * 256, sizes) + data, minlength=n * 256).reshape(n, 256)
+    size, n_words, n_lines = np.maximum(sizes, 1), np.bincount(of_word, minlength=n), np.bincount(of_line, minlength=n)
+    k, m = np.maximum(n_words, 1), np.maximum(n_lines, 1)
+    share = counts / size[:, None]
+    entropy = -(share * np.log(np.where(counts > 0, share, 1))).sum(1)
+
+    def words_that(are: np.ndarray) -> np.ndarray:
+        return np.bincount(of_word[are], minlength=n) / k
+
+    def bytes_in(kind) -> np.ndarray:
+        return counts[:, kind].sum(1) / size
+
+    out = (
+        np.log1p(size), np.log1p(n_words), np.bincount(of_word, lengths, n) / k, bytes_in(_LETTER), bytes_in(_UPPER), bytes_in(_DIGIT), bytes_in([32]), bytes_in([10]),
+        bytes_in(_SIGN), bytes_in(slice(128, 256)), bytes_in(slice(0, 9)), counts[:, _SIGN].max(1) / size, entropy, distinct(words, of_word, n) / k,
+        words_that(doubled), words_that(shouted), words_that(_SIGN[data[ends - 1]]), np.log1p(size / m), 1 - distinct(lines, of_line, n) / m, words_that(lengths > 30), bytes_in([58]), bytes_in([124]),
+    )
+    return np.where((sizes > 0)[:, None], np.stack(out, 1), 0).astype(np.float32)
 
 
 class Forest:
@@ -178,5 +189,6 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.scores(x))], ["id", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    scored = map_arrow(stats, run, f"id {kind}, score double")
+    scored = materialize(map_arrow(stats, run, f"id {kind}, score double"), "scores")
+    discard(stats)
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
