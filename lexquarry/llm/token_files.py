@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import map_arrow, materialize, shared_dir
+from lexquarry.llm.common import map_arrow, materialize, remove, shared_dir
 from lexquarry.llm.pieces import Bytes, PieceCache
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -183,7 +183,7 @@ def read(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
                     )
 
     parts = max(1, manifest.count())
-    return manifest.repartition(parts, "part").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartitionByRange(parts, "part").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -191,9 +191,12 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     A null or empty text has its end id alone. Rows that repeat an id, or have
     none, are documents of their own. An empty table gives no rows. Texts of any
-    length are encoded whole; only the two named columns are read.
+    length are encoded whole; only the two named columns are read. The files are
+    deleted once they were read; ``write`` and ``read`` keep theirs.
     """
     folder = shared_dir(df.sparkSession)
     folder = folder if "://" in folder or folder.startswith("/") else os.path.abspath(folder)
     folder = f"{folder}/lexquarry/tokens-{uuid.uuid4().hex}"
-    return read(write(df, folder, id_col, text_col, path), folder, id_col)
+    found = materialize(read(write(df, folder, id_col, text_col, path), folder, id_col), "tokens-read")
+    remove(df.sparkSession, folder)
+    return found

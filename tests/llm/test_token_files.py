@@ -1,11 +1,14 @@
+import pathlib
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexquarry.llm import token_files
+from lexquarry.sources.store import shared_dir
 
 KIND = "doc_id long, text string"
 
@@ -56,6 +59,12 @@ def test_as_many_read_tasks_as_parts(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     read = token_files.read(manifest, str(tmp_path))
     assert read.rdd.getNumPartitions() == manifest.count() > 1 and read.count() == len(docs())
+    assert read.select(F.spark_partition_id()).distinct().count() == manifest.count()
+
+
+def test_no_token_files_are_left(spark):
+    token_files.round_trip(spark.createDataFrame(docs(), KIND)).count()
+    assert not list(pathlib.Path(shared_dir(spark).removeprefix("file:"), "lexquarry").glob("tokens-?????????????????*/*.ids"))
 
 
 def test_pieces_of_a_file_that_is_not_local(tmp_path):
