@@ -105,19 +105,17 @@ def scl26_excerpt(spark, sf):
     return rows.select("doc_id", "ord", F.concat(summary(unknown_fields()[1]), excerpt(F.col("opinion"), at)).alias("result"))
 
 
-@query("cls12_summary_source", f"""SELECT doc_id, ord, CASE WHEN page % 3 = 0 THEN 'web' WHEN {' OR '.join(f"starts_with(lookup, '{x}')" for x in NO_SUMMARY)} THEN 'mock' ELSE 'lookup' END AS source,
-CASE WHEN page % 3 = 0 THEN 'Web summary of ' || citation WHEN {' OR '.join(f"starts_with(lookup, '{x}')" for x in NO_SUMMARY)} THEN '{STAND_IN[0]}' || citation || '{STAND_IN[1]}' ELSE lookup END AS summary
-FROM (SELECT *, CASE page % 5 WHEN 0 THEN 'Error: timed out' WHEN 1 THEN 'Case citation not found' WHEN 2 THEN 'CourtListener API is not available' ELSE 'Case Summary: ' || citation END AS lookup FROM w_cites)""", "w_cites")
+_FAILED = " OR ".join(f"starts_with(lookup, '{x}')" for x in NO_SUMMARY)
+
+
+@query("cls12_summary_source", f"""SELECT doc_id, ord, CASE WHEN web IS NOT NULL THEN 'web' WHEN {_FAILED} THEN 'mock' ELSE 'lookup' END AS source,
+CASE WHEN web IS NOT NULL THEN web WHEN {_FAILED} THEN '{STAND_IN[0]}' || citation || '{STAND_IN[1]}' ELSE lookup END AS summary FROM w_told""", "w_cites", "w_told")
 def cls12(spark, sf):
     """The first source that has a summary: the web, the lookup unless it reports a failure, a stand-in text."""
-    page = F.col("page")
-    web = F.when(page % 3 == 0, F.concat(F.lit("Web summary of "), C()))
-    lookup = F.when(page % 5 == 0, "Error: timed out").when(page % 5 == 1, "Case citation not found").when(page % 5 == 2, "CourtListener API is not available").otherwise(F.concat(F.lit("Case Summary: "), C()))
-    rows = cites(spark, sf).select("doc_id", "ord", "citation", web.alias("web"), lookup.alias("lookup"))
     usable = ~any_of([F.col("lookup").startswith(x) for x in NO_SUMMARY])
     source = F.when(F.col("web").isNotNull(), "web").when(usable, "lookup").otherwise("mock")
     mock = F.concat(F.lit(STAND_IN[0]), C(), F.lit(STAND_IN[1]))
-    return rows.select("doc_id", "ord", source.alias("source"), F.coalesce("web", F.when(usable, F.col("lookup")), mock).alias("summary"))
+    return derived(spark, sf, "w_told").select("doc_id", "ord", source.alias("source"), F.coalesce("web", F.when(usable, F.col("lookup")), mock).alias("summary"))
 
 
 # Search hits -----------------------------------------------------------------
@@ -142,14 +140,12 @@ def srt01(spark, sf):
 
 # A lookup's answer -----------------------------------------------------------
 
-_SAID = "CASE WHEN page % 13 = 0 THEN 'see Pringle v JP Morgan Chase, ' ELSE '' END || citation"
-
 
-@query("flt09_denied", f"SELECT doc_id, ord, found AND NOT ({' OR '.join(f'contains({_SAID}, {sql_list([d])})' for d in DENIED)}) AS result FROM w_cites", "w_cites")
+@query("flt09_denied", f"SELECT doc_id, ord, found AND NOT ({' OR '.join(f'contains(asked, {sql_list([d])})' for d in DENIED)}) AS result FROM w_checks", "w_cites", "w_checks")
 def flt09(spark, sf, denied: list[str] = DENIED):
     """A citation that names a case of the deny-list does not exist, whatever was found."""
-    said = F.concat(F.when(F.col("page") % 13 == 0, "see Pringle v JP Morgan Chase, ").otherwise(""), C())
-    return cites(spark, sf).select("doc_id", "ord", (F.col("found") & ~any_of([F.contains(said, F.lit(d)) for d in denied])).alias("result"))
+    named = any_of([F.contains(F.col("asked"), F.lit(d)) for d in denied])
+    return derived(spark, sf, "w_checks").select("doc_id", "ord", (F.col("found") & ~named).alias("result"))
 
 
 def readable(answer: Column) -> Column:
@@ -345,13 +341,10 @@ def src15_search(spark, sf):
 
 # Requests --------------------------------------------------------------------
 
-_BODY = """CASE ord % 4 WHEN 0 THEN '{"brief_text": "  ' || citation || ' "}' WHEN 1 THEN '{"briefText": "' || citation || '"}' WHEN 2 THEN '{"text": "' || citation || '\\n", "id": 1}' ELSE '{"text": " "}' END"""
 _INLINE = "trim(coalesce(json_extract_string(body, '$.brief_text'), json_extract_string(body, '$.briefText'), json_extract_string(body, '$.text')), ' ' || chr(9) || chr(10) || chr(13))"
 
 
-@query("src08_inline_text", f"SELECT doc_id, ord, {_INLINE} AS text FROM (SELECT doc_id, ord, {_BODY} AS body FROM w_cites) WHERE {_INLINE} <> ''", "w_cites")
+@query("src08_inline_text", f"SELECT doc_id, ord, {_INLINE} AS text FROM w_bodies WHERE {_INLINE} <> ''", "w_cites", "w_bodies")
 def src08(spark, sf):
     """Texts that come in a request's body."""
-    said, kind = C(), F.col("ord") % 4
-    body = F.when(kind == 0, F.concat(F.lit('{"brief_text": "  '), said, F.lit(' "}'))).when(kind == 1, F.concat(F.lit('{"briefText": "'), said, F.lit('"}'))).when(kind == 2, F.concat(F.lit('{"text": "'), said, F.lit('\\n", "id": 1}'))).otherwise('{"text": " "}')
-    return inline_texts(cites(spark, sf).select("doc_id", "ord", body.alias("body"))).select("doc_id", "ord", "text")
+    return inline_texts(derived(spark, sf, "w_bodies")).select("doc_id", "ord", "text")

@@ -125,7 +125,21 @@ SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Result for ' || page_id || ' U.S
 FROM pages
 """
 
-CTES = {"w_results": W_RESULTS, "w_lookup": W_LOOKUP, "w_checks": W_CHECKS, "w_cites": W_CITES, "w_briefs": W_BRIEFS, "w_mirror": W_MIRROR, "w_sources": W_SOURCES, "w_summaries": W_SUMMARIES, "w_records": W_RECORDS, "w_hits": W_HITS, "w_answers": W_ANSWERS, "w_items": W_ITEMS, "w_clusters": W_CLUSTERS}
+#: What two sources say of each citation: a summary of the web, where there is one, and the lookup's, which may report a failure.
+W_TOLD = """
+SELECT doc_id, ord, citation, CASE WHEN page % 3 = 0 THEN 'Web summary of ' || citation END AS web,
+  CASE page % 5 WHEN 0 THEN 'Error: timed out' WHEN 1 THEN 'Case citation not found' WHEN 2 THEN 'CourtListener API is not available' ELSE 'Case Summary: ' || citation END AS lookup
+FROM w_cites
+"""
+
+#: Bodies of requests that hold a citation under one of three names, or blanks only; one line break is written as JSON has it.
+W_BODIES = """
+SELECT doc_id, ord, CASE ord % 4 WHEN 0 THEN '{"brief_text": "  ' || citation || ' "}' WHEN 1 THEN '{"briefText": "' || citation || '"}'
+  WHEN 2 THEN '{"text": "' || citation || chr(92) || 'n", "id": 1}' ELSE '{"text": " "}' END AS body
+FROM w_cites
+"""
+
+CTES = {"w_told": W_TOLD, "w_bodies": W_BODIES, "w_results": W_RESULTS, "w_lookup": W_LOOKUP, "w_checks": W_CHECKS, "w_cites": W_CITES, "w_briefs": W_BRIEFS, "w_mirror": W_MIRROR, "w_sources": W_SOURCES, "w_summaries": W_SUMMARIES, "w_records": W_RECORDS, "w_hits": W_HITS, "w_answers": W_ANSWERS, "w_items": W_ITEMS, "w_clusters": W_CLUSTERS}
 
 
 def oracle(body: str, *names: str) -> str:
