@@ -111,3 +111,75 @@ def test_recall_in_clusters(spark, tmp_path, n, clusters, spread, every):
     rows = ann.nearest(spark.read.parquet(f"{tmp_path}/x.parquet").repartition(4), every=every).collect()
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows}
     assert len(got) == 20 * (n // every) and recall(got, brute_force(list(zip(range(n), x)), every=every)) >= 0.9
+
+
+def odd(kind, n, dims, rng):
+    """Vectors whose codes alone do not tell the nearest."""
+    x = rng.normal(size=(n, dims))
+    if kind == "tight":
+        return clustered(n, 5, dims, 1e-4).astype(float)
+    if kind == "near copies":
+        return clustered(n, 1, dims, 1e-3).astype(float)
+    if kind == "many tight":
+        return rng.normal(size=(n // 25, dims))[rng.integers(n // 25, size=n)] + 1e-3 * x
+    if kind == "lognormal lengths":
+        return clustered(n, n, dims) * np.exp(x[:, :1])
+    if kind == "heavy lengths":
+        return clustered(n, n, dims) * (rng.pareto(1, size=(n, 1)) + 0.1)
+    if kind == "signs":
+        return np.sign(x)
+    if kind == "one outlier":
+        return np.where(np.arange(n)[:, None] == 7, 1e6 * x, 1e-3 * x)
+    assert kind == "large and small"
+    return x * 10.0 ** rng.integers(-150, 150, size=(n, 1))
+
+
+KINDS = ["tight", "near copies", "many tight", "lognormal lengths", "heavy lengths", "signs", "one outlier", "large and small"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_no_neighbour_is_missed(spark, tmp_path, kind):
+    n, dims, every = 20_000, 48, 400
+    x = odd(kind, n, dims, np.random.default_rng(9))
+    x = x if kind == "large and small" else x.astype(np.float32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dims), pa.int32()), pa.array(x.reshape(-1)))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": lists}), f"{tmp_path}/x.parquet")
+    rows = ann.nearest(spark.read.parquet(f"{tmp_path}/x.parquet").repartition(4), every=every).collect()
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows}
+    want = brute_force(list(zip(range(n), x)), every=every)
+    assert {key: v[0] for key, v in got.items()} == {key: v[0] for key, v in want.items()}
+    assert all(np.isclose(got[key][1], want[key][1], rtol=1e-9, atol=0) for key in want)
+
+
+def test_blocks_of_either_side_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 40)
+    x = clustered(3000, 4, 16, 1e-3)
+    x[500:1500] = x[500]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    same(found(spark.createDataFrame(rows + rows[480:540] * 5, KIND)), brute_force(rows))
+
+
+def test_products_that_vanish_are_ties(spark):
+    x = np.random.default_rng(4).normal(size=(1200, 6)) * 1e-170
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    same(found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), brute_force(rows))
+
+
+def test_bounds_hold_and_leave_few():
+    """Every product is within its bound, and of structureless vectors few are scored beyond the best of the scan."""
+    for kind in KINDS[:-1]:
+        x = odd(kind, 6000, 33, np.random.default_rng(2))
+        quantiser = ann.Quantiser(x[:4000])
+        codes = quantiser.encode(x)
+        unit = x[:40] / np.sqrt((x[:40] ** 2).sum(1, keepdims=True))
+        _, _, off, length, margin = ann.numbers_of(codes)
+        for q, (_, guess) in zip(unit, ann.scan_block(quantiser, np.arange(len(x)), codes, unit, 30)):
+            product = x @ q / quantiser.scale
+            assert (np.abs(product - guess) <= margin + off).all()
+            for least in np.quantile(product, [0.2, 0.9, 0.999]):
+                assert np.isin(np.flatnonzero(product >= least), ann.within(guess, off, length, margin, least)).all()
+    x = vectors(20_000, 64).astype(float)
+    quantiser = ann.Quantiser(x[: ann.FIT_ROWS])
+    found = ann.nearest_in_block(quantiser, np.arange(len(x)), quantiser.encode(x), x, np.arange(50), x[:50], 20, 100)
+    assert np.mean([scored for _, _, scored in found]) < 1000
