@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lexquarry.functions import text as T
 from lexquarry.operators.queries import _GREEDY, _GROUPABLE, _NORM, _PAIRS, QUERIES, WESTLAW, C, N, U, _words, greedy_groups, query, scalar, summary_pairs
 from lexquarry.plans.workload import W_CITES, W_SUMMARIES, briefs, cites, derived, table
+from lexquarry.sources.store import new_path
 
 # Scalars ---------------------------------------------------------------------
 
@@ -186,19 +188,41 @@ def jon12(spark, sf):
     """Whether some file of all has enough of a citation's parts in its name.
 
     Never more than two parts are asked for, so parts are looked up singly or as
-    pairs that one file name holds: no citation meets every file.
+    pairs that one file name holds: no citation meets every file. These pairs are
+    written first, so that they are broadcast if they are few. Most parts are in
+    no file name and so in no pair; they are known by their hashes, and no pair is
+    made of them.
     """
     said = F.concat(F.coalesce(F.concat(N(), F.lit(", ")), F.lit("")), C())
-    rows = cites(spark, sf).select("doc_id", "ord", said.alias("said"))
     parts = F.array_sort(F.transform(T.search_tokens(F.col("said")), F.lower))
-    texts = rows.select("said").distinct().select("said", parts.alias("parts"))
-    words = texts.select(F.explode("parts").alias("part")).distinct()
+    words = cites(spark, sf).select(said.alias("said")).select(F.explode(parts).alias("part")).distinct()
     files = table(spark, sf, "part").where("p_name IS NOT NULL").select(F.lower(F.concat("p_name", F.lit(".pdf"))).alias("file")).distinct()
     inside = held(words, files).groupBy("file").agg(F.array_sort(F.collect_set("part")).alias("parts"))  # a file name has few parts
-    known = inside.select(F.explode(F.concat(_twice("parts"), _pairs("parts"))).alias("k")).select("k.*").distinct()
-    asked = F.when(F.size("parts") >= 4, _pairs("parts")).otherwise(_twice("parts"))
-    hits = texts.select("said", F.explode(asked).alias("k")).select("said", "k.*").join(known, ["p", "q"], "left_semi").select("said").distinct()
-    return rows.join(hits.withColumn("hit", F.lit(True)), "said", "left").select("doc_id", "ord", F.coalesce("hit", F.lit(False)).alias("found"))
+    path = new_path(spark, "pairs")
+    inside.select(F.explode(F.concat(_twice("parts"), _pairs("parts"))).alias("k")).select("k.*").distinct().write.parquet(path)
+    known = spark.read.schema("p string, q string").parquet(path)
+    rows = cites(spark, sf).select("doc_id", "ord", said.alias("said")).groupBy("doc_id", "ord", "said").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    some = rows.select("*", parts.alias("parts")).select("*", F.filter("parts", _marked(known.where("p = q").select("p"))).alias("own"))
+    asked = some.select("doc_id", "ord", "said", "n", F.explode_outer(F.when(F.size("parts") >= 4, _pairs("own")).otherwise(_twice("own"))).alias("k"))
+    met = asked.select("doc_id", "ord", "said", "n", "k.*").join(known.withColumn("hit", F.lit(True)), ["p", "q"], "left")
+    found = met.groupBy("doc_id", "ord", "said", "n").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("found"))
+    return found.select("doc_id", "ord", "found", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy")).drop("copy")
+
+
+#: Hashes of parts that are told apart, a byte each in every task.
+_MARKS = 1 << 16
+
+
+def _marked(words: DataFrame) -> Callable[[Column], Column]:
+    """Whether a word's hash is that of one of these words: true of all of them, and of few others while they are fewer than _MARKS."""
+
+    def mark(w: Column) -> Column:
+        return F.pmod(F.xxhash64(w), F.lit(_MARKS)).cast("int")
+
+    marks = bytearray(_MARKS)
+    for (at,) in words.select(mark(F.col(words.columns[0]))).distinct().collect():  # _MARKS numbers at most
+        marks[at] = 1
+    return lambda w: F.substring(F.lit(marks), mark(w) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
 
 
 #: File names of one gram that meet its parts in one task.

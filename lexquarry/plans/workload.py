@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-W_CITES = """
+#: The place of a line in its order.
+_PLACE = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus)"
+
+#: What is said of each line, with the part and the customer that it has.
+_FIELDS = """
 SELECT doc_id, ord, volume, reporter, page, volume || ' ' || reporter || ' ' || page AS citation, case_name, url, found, source, conf, supp, court, date_filed, docket_number
 FROM (
   SELECT l_orderkey AS doc_id, CAST(ord AS INT) AS ord, l_partkey AS page, l_suppkey AS supp,
@@ -22,8 +26,10 @@ FROM (
     CASE WHEN l_suppkey % 4 = 0 THEN 'Unknown court' WHEN l_partkey % 8 = 6 THEN 'wash' ELSE 'scotus' END AS court,
     CASE WHEN l_partkey % 3 = 0 THEN 'Unknown date' ELSE '' || CAST(l_shipdate AS DATE) END AS date_filed,
     CASE WHEN l_suppkey % 3 = 0 THEN 'Unknown docket number' ELSE l_orderkey || '-' || l_linenumber END AS docket_number
-  FROM (
-    SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) AS ord
+"""
+
+W_CITES = f"""{_FIELDS}  FROM (
+    SELECT *, {_PLACE} AS ord
     FROM lineitem
   ) l
   JOIN part ON p_partkey = l_partkey
@@ -156,12 +162,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The citations, as ``W_CITES`` states them."""
-    names = ("lineitem", "part", "orders", "customer")
-    query = W_CITES
-    for n in names:
-        query = query.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n} ", f"JOIN {{{n}}} ")
-    return spark.sql(query, **{n: table(spark, sf_dir, n) for n in names})
+    """The citations, as ``W_CITES`` states them; a document's rows are in one partition, so what goes by document needs no further shuffle.
+
+    Lines travel twice: to their parts, and with the parts' names to their orders,
+    where they get their places and the customer's segment. A part's names meet a
+    line as an array, since a line has one place however many parts have its key.
+    """
+    lines, part, orders, customer = (table(spark, sf_dir, n) for n in ("lineitem", "part", "orders", "customer"))
+    names = part.groupBy("p_partkey").agg(F.transform(F.collect_list(F.struct("p_name")), lambda x: x["p_name"]).alias("names"))
+    segments = orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "left").select("o_orderkey", "c_mktsegment")
+    placed = lines.join(names, lines["l_partkey"] == names["p_partkey"], "left").withColumn("ord", F.expr(_PLACE))
+    met = placed.join(segments, placed["l_orderkey"] == segments["o_orderkey"], "left")
+    rows = met.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "ord", "c_mktsegment", F.explode("names").alias("p_name"))
+    return spark.sql(f"{_FIELDS}  FROM {{rows}}\n) x", rows=rows)
 
 
 def in_order(rows: DataFrame, said: Column, between: str) -> DataFrame:
