@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import reporters as R
@@ -18,22 +18,38 @@ ITEMS = "array<struct<citation: string, normalized_citations: array<string>, sta
 CASE = "struct<absolute_url: string, case_name: string, citations: array<struct<volume: int, reporter: string, page: string>>>"
 
 
+#: Code points of an answer up to which its items are asked one by one, as one row; a longer one's are told apart by what they know.
+_SHORT = 1 << 14
+
+
 def lookup_items(answers: DataFrame) -> DataFrame:
     """``(doc_id, item_ord, status, normalized, named, case)`` of answers ``(doc_id, answer)``: items in order, each with its first case.
 
     An answer that is no list of items has none. named: whether the case has the field of a name at all.
     """
     items = answers.select("doc_id", F.posexplode(F.from_json("answer", ITEMS)).alias("item_ord", "x")).where("x is not null")
-    first = F.get("x.clusters", F.lit(0))
-    return items.select("doc_id", "item_ord", F.col("x.status").alias("status"), F.col("x.normalized_citations").alias("normalized"), F.array_contains(F.json_object_keys(first), "case_name").alias("named"), F.from_json(first, CASE).alias("case"))
+    return items.select("doc_id", "item_ord", F.col("x.status").alias("status"), F.col("x.normalized_citations").alias("normalized"), *_first_case(F.col("x")))
+
+
+def _first_case(x: Column) -> tuple[Column, Column]:
+    first = F.get(x["clusters"], F.lit(0))
+    return F.array_contains(F.json_object_keys(first), "case_name").alias("named"), F.from_json(first, CASE).alias("case")
 
 
 def _same(c: Column) -> Column:
     return F.lower(c)
 
 
-def match_lookup(citations: DataFrame, answers: DataFrame, strict: bool = True, host: str = HOST) -> DataFrame:
-    """``(doc_id, ord, citation, item_ord, stage, case_name, url)``: every citation with the first item of its document's answer that knows it.
+def _knows(x: Column, host: str) -> list[Column]:
+    """Of an item with its first case: what it says of a citation that it knows, and both stages' keys."""
+    name = F.when(x["case"].isNotNull(), F.when(x["named"], x["case"]["case_name"]).otherwise(UNKNOWN_CASE))
+    spelt = F.transform(x["normalized"], _same)
+    parts = F.transform(x["case"]["citations"], lambda c: T.clean_key(F.concat_ws(" ", c["volume"].cast("string"), c["reporter"], c["page"])))
+    return [x["item_ord"].alias("item_ord"), name.alias("case_name"), T.absolute_url(x["case"]["absolute_url"], host).alias("url"), F.coalesce(spelt, F.array().cast("array<string>")).alias("spelt"), F.coalesce(parts, F.array().cast("array<string>")).alias("parts")]
+
+
+def match_lookup(citations: DataFrame, answers: DataFrame, strict: bool = True, host: str = HOST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, ord, citation, item_ord, stage, case_name, url)``, and the columns ``carry``: every citation with the first item of its document's answer that knows it.
 
     Items are asked in order, and each in two stages: 1, one of its normalised
     spellings is the citation, whatever the case of letters; 2, one of the
@@ -42,20 +58,55 @@ def match_lookup(citations: DataFrame, answers: DataFrame, strict: bool = True,
 
     strict: only items that were found and have a case. Otherwise an item that was
     not found can match by its own spelling, and has neither name nor URL then.
+
+    Equal rows are one, unless they carry something. Short answers meet their
+    documents' citations by document alone, so what holds a document's rows
+    together is not shuffled; documents with long ones go by document and key.
     """
+    rows = citations.select("doc_id", "ord", "citation", *carry)
+    rows = rows if carry else rows.distinct()
+    rows, lost = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")  # apart, so that both sides of the join read the same
+    answers = answers.where("doc_id IS NOT NULL")
+    long = F.sum(F.length("answer")).over(Window.partitionBy("doc_id")) > _SHORT
+    sized = answers.select("doc_id", "answer", F.coalesce(long, F.lit(False)).alias("long"))
+    apart = sized.where("long")
+    in_order = asked_in_order(rows, sized, strict, host, carry)
+    by_key = asked_by_key(rows.join(apart.select("doc_id").distinct(), "doc_id", "left_semi"), apart, strict, host, carry)
+    none = lost.select("doc_id", "ord", "citation", *(F.lit(None).cast(in_order.schema[c].dataType).alias(c) for c in ("item_ord", "stage", "case_name", "url")), *carry)
+    return in_order.unionByName(by_key).unionByName(none)
+
+
+def _found(strict: bool):
+    """Whether a match may rest on an item with its first case."""
+    return lambda x: (x["status"] == 200) & x["case"].isNotNull() if strict else F.lit(True)
+
+
+def asked_in_order(rows: DataFrame, sized: DataFrame, strict: bool, host: str, carry: tuple[str, ...]) -> DataFrame:
+    """``match_lookup`` of the citations whose documents have no long answer, of answers ``(doc_id, answer, long)``."""
+    items = F.filter(F.transform(F.from_json("answer", ITEMS), lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("item_ord"), x["status"].alias("status"), x["normalized_citations"].alias("normalized"), *_first_case(x)))), lambda x: x.isNotNull())
+    known = F.transform(F.filter("items", _found(strict)), lambda x: F.struct(*_knows(x, host)))
+    read = sized.select("doc_id", "long", F.when(~F.col("long"), items).alias("items")).select("doc_id", "long", known.alias("known"))
+    docs = read.groupBy("doc_id").agg(F.max("long").alias("long"), F.array_sort(F.flatten(F.collect_list("known"))).alias("known"))
+    asked = rows.select("*", _same(F.col("citation")).alias("spelling"), T.clean_key(F.col("citation")).alias("key"))
+    first = F.get(F.filter("known", lambda x: F.array_contains(x["spelt"], F.col("spelling")) | F.array_contains(x["parts"], F.col("key"))), F.lit(0))
+    met = asked.join(docs, "doc_id", "left").where(~F.coalesce("long", F.lit(False))).select("doc_id", "ord", "citation", *carry, "spelling", first.alias("m"))
+    stage = F.when(F.array_contains("m.spelt", F.col("spelling")), 1).when(F.col("m").isNotNull(), 2)
+    return met.select("doc_id", "ord", "citation", "m.item_ord", stage.alias("stage"), "m.case_name", "m.url", *carry)
+
+
+def asked_by_key(rows: DataFrame, answers: DataFrame, strict: bool, host: str, carry: tuple[str, ...]) -> DataFrame:
+    """``match_lookup`` of citations and answers of any length."""
     items = lookup_items(answers)
-    if strict:
-        items = items.where("status = 200 AND case IS NOT NULL")
-    name = F.when(F.col("case").isNotNull(), F.when(F.col("named"), F.col("case.case_name")).otherwise(UNKNOWN_CASE))
-    known = items.select("doc_id", "item_ord", name.alias("case_name"), T.absolute_url(F.col("case.absolute_url"), host).alias("url"), "normalized", "case.citations")
-    spelt = F.transform("normalized", lambda c: F.struct(F.lit(1).alias("stage"), _same(c).alias("key")))
-    parts = F.transform("citations", lambda c: F.struct(F.lit(2).alias("stage"), T.clean_key(F.concat_ws(" ", c["volume"].cast("string"), c["reporter"], c["page"])).alias("key")))
-    keys = known.select("doc_id", "item_ord", "case_name", "url", F.explode(F.concat(F.coalesce(spelt, F.array()), F.coalesce(parts, F.array()))).alias("k"))
+    known = items.where(_found(strict)({c: F.col(c) for c in items.columns})).select("doc_id", *_knows({c: F.col(c) for c in items.columns}, host))
+    spelt = F.transform("spelt", lambda k: F.struct(F.lit(1).alias("stage"), k.alias("key")))
+    parts = F.transform("parts", lambda k: F.struct(F.lit(2).alias("stage"), k.alias("key")))
+    keys = known.select("doc_id", "item_ord", "case_name", "url", F.explode(F.concat(spelt, parts)).alias("k"))
     first = keys.groupBy("doc_id", "k.stage", "k.key").agg(F.min_by(F.struct("item_ord", "case_name", "url"), "item_ord").alias("x"))
     asked = F.explode(F.array(F.struct(F.lit(1).alias("stage"), _same(F.col("citation")).alias("key")), F.struct(F.lit(2).alias("stage"), T.clean_key(F.col("citation")).alias("key"))))
-    hits = citations.select("doc_id", "ord", "citation", asked.alias("a")).select("doc_id", "ord", "citation", "a.*").join(first, ["doc_id", "stage", "key"], "left")
-    best = hits.groupBy("doc_id", "ord", "citation").agg(F.min(F.when(F.col("x").isNotNull(), F.struct("x.item_ord", "stage", "x.case_name", "x.url"))).alias("m"))
-    return best.select("doc_id", "ord", "citation", "m.item_ord", "m.stage", "m.case_name", "m.url")
+    hits = rows.select("*", asked.alias("a")).select("doc_id", "ord", "citation", *carry, "a.*").join(first, ["doc_id", "stage", "key"], "left")
+    every = F.collect_list(F.when(F.col("stage") == 1, F.struct(F.lit(1).alias("one"), *carry)))
+    best = hits.groupBy("doc_id", "ord", "citation").agg(F.min(F.when(F.col("x").isNotNull(), F.struct("x.item_ord", "stage", "x.case_name", "x.url"))).alias("m"), every.alias("c"))
+    return best.select("doc_id", "ord", "citation", "m.item_ord", "m.stage", "m.case_name", "m.url", F.explode("c").alias("c")).select("doc_id", "ord", "citation", "item_ord", "stage", "case_name", "url", *(f"c.{x}" for x in carry))
 
 
 # The same in SQL: an answer's items by position, then both stages' keys.
