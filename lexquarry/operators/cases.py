@@ -114,9 +114,9 @@ _PLACES = 4
 
 
 def distinct_places(rows: DataFrame) -> DataFrame:
-    """``(doc_id, x, places)`` of rows ``(doc_id, ord, x)``: a document's distinct texts, with the first places of each."""
+    """``(doc_id, x, places)`` of rows ``(doc_id, ord, x, n)``: a document's distinct texts, with the first places of each and how many rows have them."""
     nth = F.row_number().over(Window.partitionBy("doc_id", "x").orderBy("ord"))
-    return rows.withColumn("k", nth).where(F.col("k") <= _PLACES).groupBy("doc_id", "x").agg(F.array_sort(F.collect_list("ord")).alias("places"))
+    return rows.withColumn("k", nth).where(F.col("k") <= _PLACES).groupBy("doc_id", "x").agg(F.array_sort(F.collect_list(F.struct("ord", "n"))).alias("places"))
 
 
 def held_pairs(texts: DataFrame) -> DataFrame:
@@ -134,10 +134,38 @@ def held_pairs(texts: DataFrame) -> DataFrame:
     return asked.join(parts, ["doc_id", "part"]).where((F.col("x") != F.col("y")) & F.contains("y", "x")).select("doc_id", "x", "y")
 
 
+#: Documents of so many citations at most have them compared with one another as one row; those of longer ones are looked up.
+_FEW = 32
+
+
 def first_places(citations: DataFrame, n: int, both_ways: bool) -> DataFrame:
     """``(doc_id, i, js)`` of ``(doc_id, ord, citation)``: the first n (three at most) other places of a document whose citation holds the one at i (or either the other), whatever the case of letters."""
-    rows = citations.select("doc_id", "ord", F.lower("citation").alias("x"))
-    texts = distinct_places(rows)
+    rows = citations.select("doc_id", "ord", F.lower("citation").alias("x")).where("doc_id IS NOT NULL AND x IS NOT NULL")
+    rows = rows.groupBy("doc_id", "ord", "x").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    return compared(rows.where(F.col("size") <= _FEW), n, both_ways).unionByName(looked_up(rows.where(F.col("size") > _FEW), n, both_ways))
+
+
+def _first(own: Column, met: Column, n: int) -> Column:
+    """The first n places of met, once for each pair of rows that have own's place and theirs."""
+    return F.slice(F.flatten(F.transform(met, lambda b: F.array_repeat(b["ord"], F.least(own * b["n"], F.lit(n))))), 1, n)
+
+
+def compared(rows: DataFrame, n: int, both_ways: bool) -> DataFrame:
+    """``first_places`` of rows ``(doc_id, ord, x, n)`` of documents that have few; n rows have the place."""
+
+    def places(a: Column) -> Column:
+        met = F.filter("m", lambda b: (b["ord"] != a["ord"]) & ((F.contains(b["x"], a["x"]) | F.contains(a["x"], b["x"])) if both_ways else F.contains(b["x"], a["x"])))
+        return _first(a["n"], met, n)
+
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "n"))).alias("m"))
+    found = docs.select("doc_id", F.explode(F.filter(F.transform("m", lambda a: F.struct(a["ord"].alias("i"), places(a).alias("js"))), lambda r: F.size(r["js"]) > 0)).alias("r"))
+    return found.select("doc_id", "r.i", "r.js")
+
+
+def looked_up(rows: DataFrame, n: int, both_ways: bool) -> DataFrame:
+    """``first_places`` of rows ``(doc_id, ord, x, n)`` of documents of any length; n rows have the place."""
+    texts = distinct_places(rows.select("doc_id", "ord", "x", "n"))
     pairs = held_pairs(texts.select("doc_id", "x"))
     if both_ways:
         pairs = pairs.unionByName(pairs.select("doc_id", F.col("y").alias("x"), F.col("x").alias("y")))
@@ -145,8 +173,9 @@ def first_places(citations: DataFrame, n: int, both_ways: bool) -> DataFrame:
     other = pairs.join(same.withColumnRenamed("x", "y"), ["doc_id", "y"]).select("doc_id", "x", "j")
     met = same.unionByName(other)
     nth = F.row_number().over(Window.partitionBy("doc_id", "x").orderBy("j"))
-    least = met.withColumn("k", nth).where(F.col("k") <= n + 1).groupBy("doc_id", "x").agg(F.array_sort(F.collect_list("j")).alias("js"))
-    return rows.withColumnRenamed("ord", "i").join(least, ["doc_id", "x"]).select("doc_id", "i", F.slice(F.filter("js", lambda j: j != F.col("i")), 1, n).alias("js")).where(F.size("js") > 0)
+    least = met.withColumn("k", nth).where(F.col("k") <= n + 1).groupBy("doc_id", "x").agg(F.array_sort(F.collect_list("j")).alias("m"))
+    js = _first(F.col("n"), F.filter("m", lambda b: b["ord"] != F.col("i")), n)
+    return rows.select("doc_id", F.col("ord").alias("i"), "x", "n").join(least, ["doc_id", "x"]).select("doc_id", "i", js.alias("js")).where(F.size("js") > 0)
 
 
 _WITHIN = "SELECT a.doc_id, a.ord AS i, b.ord AS j FROM w_cites a JOIN w_cites b ON a.doc_id = b.doc_id AND a.ord <> b.ord AND (contains(lower(b.citation), lower(a.citation)){0})"
