@@ -90,7 +90,7 @@ def written(spark, df):
     return total() - before
 
 
-@pytest.mark.parametrize("query, most", [("jon12_token_overlap", 6), ("jon03_two_stages_lenient", 3), ("jon03_two_stages", 3), ("cls01_verdict", 3), ("jon04_first_substring", 3)])
+@pytest.mark.parametrize("query, most", [("jon12_token_overlap", 6), ("jon03_two_stages_lenient", 3), ("jon03_two_stages", 3), ("cls01_verdict", 3), ("jon04_first_substring", 3), ("jon05_three_substrings", 3)])
 def test_shuffles_a_few_times_the_lines(unaided, query, most):
     """They shuffled 8 to 11 times what the lines alone take."""
     lines = written(unaided, unaided.read.parquet(f"{SF}/lineitem.parquet").repartition(4, "l_orderkey"))
