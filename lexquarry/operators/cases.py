@@ -324,9 +324,9 @@ def agg09(spark, sf):
 @query("agg04_unique_cases", f"SELECT g.doc_id, count(*) AS cases, count(*) FILTER (h.found) AS verified_cases FROM ({_GROUPS}) g JOIN ({_HEADS}) h ON h.doc_id = g.doc_id AND h.ord = g.ord WHERE g.ord = g.leader GROUP BY g.doc_id", "w_cites")
 def agg04(spark, sf):
     """Groups of citations by URL and then by name, and those whose first citation was found."""
-    first = heads(spark, sf)
-    groups = greedy_groups(first.select("doc_id", "ord", T.normalize_case_name(N()).alias("name"))).where("ord = leader")
-    return groups.join(first.select("doc_id", "ord", "found"), ["doc_id", "ord"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("cases"), F.count_if("found").alias("verified_cases"))
+    first = heads(spark, sf).where("doc_id IS NOT NULL").select("doc_id", "ord", T.normalize_case_name(N()).alias("name"), "found")
+    groups = greedy_groups(first, carry=("found",)).where("ord = leader")
+    return groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cases"), F.count_if("found").alias("verified_cases"))
 
 
 @query("agg17_recount", f"SELECT doc_id, count(*) FILTER (NOT found) AS hallucinated, count(*) FILTER (found) AS verified FROM ({_HEADS}) GROUP BY doc_id", "w_cites")

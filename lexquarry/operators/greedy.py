@@ -16,7 +16,8 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: White space as column functions take it.
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -142,15 +143,17 @@ def lead(rows: Iterator[tuple], threshold: float, few: int = FEW) -> Iterator[tu
         yield doc_id, place, places[n]
 
 
-def greedy_groups(named: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``(doc_id, ord, leader)`` of ``named(doc_id, ord, name)``: each row joins the first leader that is similar enough, or leads.
+def greedy_groups(named: DataFrame, threshold: float = 0.7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, ord, leader)`` of ``named(doc_id, ord, name)``, and the columns ``carry``: each row joins the first leader that is similar enough, or leads.
 
-    Rows without a known name lead themselves.
+    Rows without a known name lead themselves. Rows that come with a document's in
+    one partition stay there: the window needs no more than that.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0, and 1 at most")
-    ordered = named.select("doc_id", "ord", "name").repartition("doc_id").sortWithinPartitions("doc_id", "ord")
-    kinds = {c: named.schema[c].dataType.simpleString() for c in ("doc_id", "ord")}
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
+    ordered = named.select("doc_id", "ord", "name", *carry, place.alias("place")).sortWithinPartitions("doc_id", "ord")
+    kinds = {c: named.schema[c].dataType.simpleString() for c in ("doc_id", "ord", *carry)}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, taken = None, 0
@@ -159,14 +162,15 @@ def greedy_groups(named: DataFrame, threshold: float = 0.7) -> DataFrame:
             nonlocal batch, taken
             for batch in batches:
                 taken = 0
-                yield from zip(*(c.to_pylist() for c in batch.columns))
+                yield from zip(*(c.to_pylist() for c in batch.columns[:3]))
 
         found: list = []
         for _, _, leader in lead(stream(), threshold):
             found.append(leader)
             taken += 1
             if taken == len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, batch.column(1).type)], ["doc_id", "ord", "leader"])
+                kept = [batch.column(i) for i in range(3, 3 + len(carry))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, batch.column(1).type), *kept], ["doc_id", "ord", "leader", *carry])
                 found = []
 
-    return ordered.mapInArrow(find, f"doc_id {kinds['doc_id']}, ord {kinds['ord']}, leader {kinds['ord']}")
+    return ordered.mapInArrow(find, ", ".join(f"{c} {kinds['ord' if c == 'leader' else c]}" for c in ("doc_id", "ord", "leader", *carry)))
